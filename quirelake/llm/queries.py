@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules with QUERIES and SQL.
-MODULES = ("histogram_shard", "exact_dedup")
+MODULES = ("histogram_shard", "tool_calls", "exact_dedup", "mixing")
 
 
 def _merged(what: str) -> dict:
