@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules with QUERIES and SQL.
-MODULES = ("histogram_shard", "tool_calls", "boosted_trees", "exact_dedup", "mixing", "packing", "pu_toxicity", "rolling_windows")
+MODULES = ("histogram_shard", "tool_calls", "boosted_trees", "exact_dedup", "cover_tree", "mixing", "packing", "pu_toxicity", "rolling_windows")
 
 
 def _merged(what: str) -> dict:
