@@ -154,12 +154,14 @@ def quality_scores(documents: DataFrame, labels: DataFrame, column: str = "quali
     chosen = materialize(training_labels(labels, column, limit), "labels")
     sample = stats.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("f", "y").toPandas()  # at most ``limit`` rows
     x = np.array(sample["f"].tolist(), np.float32).reshape(len(sample), len(FEATURES))
-    model = documents.sparkSession.sparkContext.broadcast(BoostedTrees().fit(x, sample["y"].to_numpy(float)))
+    state = documents.sparkSession.sparkContext.broadcast(vars(BoostedTrees().fit(x, sample["y"].to_numpy(float))))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = BoostedTrees()
+        vars(model).update(state.value)
         for batch in batches:
             x = np.array(batch["f"].tolist(), np.float32).reshape(len(batch), len(FEATURES))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": model.value.predict(x)})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": model.predict(x)})
 
     scored = stats.mapInPandas(run, "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -121,10 +121,14 @@ def pack(documents: DataFrame, tokenizer_path: str, weights: dict[str, float] |
     return joined.mapInArrow(run, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
 
 
-def op7_drr_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op7_tokenizer() -> str:
     import public_tokenizers
 
-    pieces = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op7_drr_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack(table(spark, sf_dir, "documents"), op7_tokenizer())
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

@@ -68,9 +68,9 @@ class Vocabulary:
 class NonNegativePU:
     """A linear classifier on sparse binary features with logistic loss, trained by Adam on the whole sample."""
 
-    def __init__(self, width: int, prior: float, steps: int = 400, rate: float = 0.05, l2: float = 5e-5, beta: float = 0.0):
+    def __init__(self, width: int, prior: float, steps: int = 400, rate: float = 0.05, l2: float = 5e-5, beta: float = 0.0, weights: np.ndarray | None = None):
         self.width, self.prior, self.steps, self.rate, self.l2, self.beta = width, prior, steps, rate, l2, beta
-        self.weights = np.zeros(width + 1)
+        self.weights = np.zeros(width + 1) if weights is None else weights
 
     def fit(self, positive: list[list[int]], unlabelled: list[list[int]]) -> NonNegativePU:
         rows = positive + unlabelled
@@ -126,32 +126,22 @@ def _feature_counts(sample: DataFrame) -> DataFrame:
     return sample.select("text", "in_p", "in_u").mapInPandas(run, "feature string, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
 
 
-def toxicity_scores(
-    documents: DataFrame,
-    labels: DataFrame,
-    column: str = "toxic",
-    threshold: float = 0.5,
-    prior: float | None = None,
-    text: str = "text",
-    doc_id: str = "doc_id",
-) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for every row. ``prior``: share of toxic texts; None: that of the labels outside the held-out fold."""
-    rows = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
+def toxicity_model(rows: DataFrame, labels: DataFrame, column: str = "toxic", prior: float | None = None) -> tuple[float, list[str], NonNegativePU | None]:
+    """The prior, the vocabulary and the classifier fitted on rows (doc_id, text); no classifier without examples."""
     if prior is None:
         prior = training_labels(labels, column, 1 << 30).agg(F.avg("y")).first()[0] or 0.0
     one = training_labels(labels.where(F.col(column) == 1), column, MAX_POSITIVE).select("doc_id", F.lit(True).alias("in_p"))
-    any_ = labels.withColumn(column, F.lit(0))
-    any_ = training_labels(any_, column, MAX_UNLABELLED).select("doc_id", F.lit(True).alias("in_u"))
-    chosen = materialize(one.join(any_, "doc_id", "full").select("doc_id", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("in_p", "in_u")]), "sample-ids")
+    any_ = training_labels(labels.withColumn(column, F.lit(0)), column, MAX_UNLABELLED).select("doc_id", F.lit(True).alias("in_u"))
+    chosen = one.join(any_, "doc_id", "full").select("doc_id", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("in_p", "in_u")])
+    chosen = materialize(chosen, "sample-ids")
     # At most MAX_POSITIVE + MAX_UNLABELLED ids, so they may go to every executor.
     sample = materialize(rows.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]), "sample")
-    n = {r[0]: (r[1] or 0) for r in sample.agg(F.sum(F.col("in_p").cast("int")), F.sum(F.col("in_u").cast("int"))).toDF("p", "u").select(F.explode(F.create_map(F.lit("p"), F.col("p"), F.lit("u"), F.col("u")))).collect()}
-    if not n["p"] or not n["u"]:
-        score = F.lit(float(prior))
-        return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), (score >= threshold).cast("int").alias("predicted"))
-    share = (F.col("p") + F.col("u")) / (n["p"] + n["u"])
-    excess = (F.col("p") / n["p"] - F.col("u") / n["u"]) / F.sqrt(F.greatest(share * (1 - share), F.lit(1e-12)) * (1 / n["p"] + 1 / n["u"]))
-    best = _feature_counts(sample).where(F.col("p") >= LEAST_TEXTS).withColumn("z", excess).where(F.col("z") >= LEAST_Z)
+    n_p, n_u = (int(x or 0) for x in sample.agg(F.sum(F.col("in_p").cast("int")), F.sum(F.col("in_u").cast("int"))).first())
+    if not n_p or not n_u:
+        return prior, [], None
+    share = (F.col("p") + F.col("u")) / (n_p + n_u)
+    spread = F.sqrt(F.greatest(share * (1 - share), F.lit(1e-12)) * (1 / n_p + 1 / n_u))
+    best = _feature_counts(sample).where(F.col("p") >= LEAST_TEXTS).withColumn("z", (F.col("p") / n_p - F.col("u") / n_u) / spread).where(F.col("z") >= LEAST_Z)
     features = [r.feature for r in best.orderBy(F.desc("z"), "feature").limit(VOCABULARY).select("feature").collect()]
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -161,17 +151,40 @@ def toxicity_scores(
 
     coded = sample.select("text", "in_p", "in_u").mapInPandas(encode, "in_p boolean, in_u boolean, f array<int>").toPandas()  # the bounded sample
     of = lambda c: [list(f) for f in coded.loc[coded[c], "f"]]
-    model = NonNegativePU(len(features), min(max(prior, 1e-3), 0.999)).fit(of("in_p"), of("in_u"))
-    shared = documents.sparkSession.sparkContext.broadcast((features, model))
+    return prior, features, NonNegativePU(len(features), min(max(prior, 1e-3), 0.999)).fit(of("in_p"), of("in_u"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        features, model = shared.value
-        vocabulary = Vocabulary(features)
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": model.score([vocabulary(t) for t in batch["text"]])})
 
-    scored = rows.mapInPandas(run, "doc_id long, score double")
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+def with_toxicity(
+    documents: DataFrame,
+    labels: DataFrame,
+    column: str = "toxic",
+    threshold: float = 0.5,
+    prior: float | None = None,
+    text: str = "text",
+    doc_id: str = "doc_id",
+) -> DataFrame:
+    """``documents`` with score and predicted. ``prior``: share of toxic texts; None: that of the labels outside the held-out fold."""
+    rows = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    prior, features, model = toxicity_model(rows, labels, column, prior)
+    score = F.lit(float(prior))
+    if model is not None:
+        shared = documents.sparkSession.sparkContext.broadcast((features, model.weights))
+
+        @F.pandas_udf("double")
+        def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            features, weights = shared.value
+            vocabulary, model = Vocabulary(features), NonNegativePU(len(features), 0.5, weights=weights)
+            for batch in batches:
+                yield pd.Series(model.score([vocabulary(t) for t in batch]))
+
+        score = scored(F.col(text).cast("string"))
+    return documents.withColumn("score", score).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def toxicity_scores(documents: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
+    """(doc_id, held_out, score, predicted) for every row."""
+    rows = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    return with_toxicity(rows, labels, **options).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
 def op9_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
