@@ -361,8 +361,8 @@ WITH RECURSIVE v AS (
   SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
   WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.93),
-reach AS (SELECT vec_id AS node, vec_id AS at FROM embeddings UNION SELECT r.node, l.b FROM reach r JOIN l ON r.at = l.a)
-SELECT e.vec_id, (SELECT count(*) FROM l WHERE l.a = e.vec_id) AS n_links, min(r.at) AS component_id, e.vec_id = min(r.at) AS kept
+reach AS (SELECT vec_id AS node, vec_id AS w FROM embeddings UNION SELECT r.node, l.b FROM reach r JOIN l ON r.w = l.a)
+SELECT e.vec_id, (SELECT count(*) FROM l WHERE l.a = e.vec_id) AS n_links, min(r.w) AS component_id, e.vec_id = min(r.w) AS kept
 FROM embeddings e JOIN reach r ON r.node = e.vec_id GROUP BY e.vec_id
 """
 }
