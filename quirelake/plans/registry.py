@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quirelake.plans import relational
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return relational.QUERIES["temporal_metrics"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(relational.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(relational.SQL)
