@@ -29,7 +29,7 @@ from quirelake.llm.common import connected_components, group_ids, materialize, t
 
 THRESHOLD = 0.93
 #: Vectors of a block at most on average, pivots in all, and sampled vectors for choosing them.
-CELL_ROWS, MOST_PIVOTS, SAMPLE = 2048, 4096, 20_000
+CELL_ROWS, MOST_PIVOTS, SAMPLE = 2048, 512, 20_000
 #: Slack for the rounding of sums in double precision.
 EPS = 1e-9
 NO_ID = (1 << 63) - 1
@@ -261,20 +261,18 @@ def _cells(vectors: DataFrame, cell_rows: int) -> DataFrame:
     blocks = cells.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("block", F.col("cell") * (1 << 20) + F.col("part"))
     a, b = blocks.alias("a"), blocks.alias("b")
     reachable = F.lit(True)
+    pairs = a.join(b, ["label", "width"]).where("a.block <= b.block").select(
+        "label", "width", F.col("a.block").alias("low"), F.col("b.block").alias("high"), F.col("a.cell").alias("ca"), F.col("b.cell").alias("cb"), (F.col("a.reach") + F.col("b.reach")).alias("reach")
+    )
     if pivots:
-        near = [  # pivots of a label whose cells may hold a pair, if both reach as far as 2
-            (label, width, int(i), int(j), float(d[i, j]))
+        # Cells whose pivots are too far apart for what their vectors reach hold no pair. MOST_PIVOTS bounds the rows.
+        near = [
+            (label, width, i, j, float(d[i, j]))
             for (label, width), c in pivots.items() for d in [CoverTree._distance(c, c)] for i in range(len(c)) for j in range(len(c))
         ]
         gaps = spark.createDataFrame(near, "label string, width int, ca long, cb long, apart double")
-        joined = a.join(b, ["label", "width"]).where("a.block <= b.block").join(
-            gaps, (F.col("a.cell") == F.col("ca")) & (F.col("b.cell") == F.col("cb")) & (F.col("label") == gaps["label"]) & (F.col("width") == gaps["width"]), "left"
-        ).drop(gaps["label"]).drop(gaps["width"])
-        radius = float(np.sqrt(2 - 2 * THRESHOLD))
-        reachable = F.col("apart").isNull() | (F.col("apart") <= F.col("a.reach") + F.col("b.reach") + radius + EPS)
-    else:
-        joined = a.join(b, ["label", "width"]).where("a.block <= b.block")
-    pairs = joined.where(reachable).select("label", "width", F.col("a.block").alias("low"), F.col("b.block").alias("high"))
+        pairs = pairs.join(gaps, ["label", "width", "ca", "cb"], "left").where(F.col("apart").isNull() | (F.col("apart") <= F.col("reach") + float(np.sqrt(2 - 2 * THRESHOLD)) + EPS))
+    pairs = pairs.select("label", "width", "low", "high")
     sized = placed.join(F.broadcast(cells.select("label", "width", "cell", "blocks")) if len(large) < MOST_PIVOTS // 2 else cells.select("label", "width", "cell", "blocks"), ["label", "width", "cell"])
     blocked = sized.withColumn("block", F.col("cell") * (1 << 20) + F.pmod(F.xxhash64("rep"), F.col("blocks")))
     return blocked.select("rep", "label", "width", "embedding", "weight", "block"), pairs
