@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -243,7 +244,7 @@ def entry_title(text: Column) -> Column:
 
 
 def entry_authors(text: Column) -> Column:
-    head = F.when(entry_year(text) != "", F.regexp_replace(F.substring_index(text, entry_year(text), 1), r"\($", "")).otherwise(text)
+    head = F.when(entry_year(text) != "", F.regexp_replace(F.call_function("substring_index", text, entry_year(text), F.lit(1)), r"\($", "")).otherwise(text)
     parts = F.filter(F.transform(F.split(head, r"\."), F.trim), lambda p: p != "")
     return F.coalesce(F.get(parts, 0), F.trim(head))
 
@@ -330,8 +331,6 @@ def latex_norm(text: Column) -> Column:
 
 def ascii_fold(text: Column) -> Column:
     """Compatibility decomposition without what is not ASCII; in Arrow batches."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def fold(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
@@ -427,7 +426,8 @@ def reply_keywords(reply: Column, most: int = 5) -> Column:
 def reply_score(reply: Column, low: float = 0.0, high: float = 5.0, default: float = 5.0) -> Column:
     """The last ``score: x`` or ``rating: x`` of a reply, held to the range."""
     found = F.regexp_extract_all(F.lower(reply), F.lit(r"(?:balance|bias score|score|rating)\s*[:=]\s*([0-9]+(?:\.[0-9]+)?)"), F.lit(1))
-    return F.coalesce(F.least(F.lit(high), F.greatest(F.lit(low), F.get(found, F.size(found) - 1).try_cast("double"))), F.lit(default))
+    value = F.get(found, F.size(found) - 1).try_cast("double")
+    return F.when(value.isNull(), default).otherwise(F.least(F.lit(high), F.greatest(F.lit(low), value)))
 
 
 def reply_object(reply: Column) -> Column:

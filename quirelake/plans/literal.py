@@ -1,0 +1,108 @@
+"""Queries of the text functions over small literal inputs, the same VALUES for DuckDB."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quirelake.functions import text as T
+from quirelake.operators import graph as G
+from quirelake.operators import temporal as Y
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def values(rows: list[tuple], columns: str) -> str:
+    shown = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
+    return f"(VALUES {', '.join('(' + ', '.join(map(shown, r)) + ')' for r in rows)}) t({columns})"
+
+
+def literal(rows: list[tuple], schema: str, sql: str):
+    names = ", ".join(c.split()[0] for c in schema.split(", "))
+
+    def add(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(spark.createDataFrame(rows, schema))
+        SQL[f.__name__] = sql.replace("INPUT", values(rows, names))
+        return f
+
+    return add
+
+
+SENTENCES = [(1, "Deep nets [1] work well [2, 3] and [4-6]."), (2, "See [7, 9-10], [7, 9-10] and [x]."), (3, "Nothing here [ 1 ]."), (4, "Counting down [5-3] gives none, [12] does.")]
+NAMES = [("Vaswani, Ashish",), ("Ashish Vaswani",), ("O'Neil,  Kate M.",), ("Plato",)]
+IDS = [("https://doi.org/10.1000/ABC", "arXiv:1706.03762v5", "https://openalex.org/w123"), ("doi:10.1/x", "1706.03762", "W77"), ("10.5/Y", "cs.CL/0101001v2", "openalex:w5")]
+TITLES = [("Abstract",), ("1 Introduction",), ("2.1.3 Model details",), ("Conclusions and outlook",), ("References",), ("Bibliography",), ("A Appendix",), ("Method",), (None,)]
+ENTRIES = [
+    (1, "[1] Vaswani, A. and Shazeer, N. (2017). Attention is all you need. NeurIPS. https://doi.org/10.5555/3295222."), (2, '2. J. Devlin. "BERT: pre-training of transformers". arXiv:1810.04805v2, 2018.'), (3, "No year here. Title part. More.")
+]
+PAIRS = [("deep learning survey", "a survey of deep learning"), ("graph nets", "graph nets"), ("", "x"), ("abc", "abd")]
+AUTHORS = [("Smith et al.", "2020"), ("Anderson and Lee", "2019"), ("Lee & Kim", "2018a"), ("", "2020"), ("Brown", "")]
+REPLIES = [(1, "Balance: 8.5"), (2, "score: 3\nrating: 4.5"), (3, "no number"), (4, "bias score = 2")]
+
+
+@literal(SENTENCES, "id int, text string", r"""SELECT id::BIGINT AS id, unnest(m) AS marker FROM (SELECT id, list_distinct(regexp_extract_all(text, '\[(?:[0-9]+(?:[-,]\s*[0-9]+)*)\]', 0)) AS m FROM INPUT)""")
+def markers(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("id").cast("long").alias("id"), F.explode(T.markers(F.col("text"))).alias("marker"))
+
+
+@literal(SENTENCES, "id int, text string", r"""WITH m AS (SELECT id, unnest(regexp_extract_all(text, '\[(?:[0-9]+(?:[-,]\s*[0-9]+)*)\]', 0)) AS marker FROM INPUT),
+p AS (SELECT id, unnest(string_split(regexp_replace(marker, '[\[\]\s]', '', 'g'), ',')) AS p FROM m),
+n AS (SELECT id, unnest(CASE WHEN p LIKE '%-%' THEN range(split_part(p, '-', 1)::INT, split_part(p, '-', 2)::INT + 1) ELSE [p::BIGINT] END) AS number FROM p) SELECT DISTINCT id::BIGINT AS id, number FROM n""")
+def marker_numbers(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("id").cast("long").alias("id"), F.explode(T.citation_numbers(F.col("text")).cast("array<bigint>")).alias("number"))
+
+
+@literal(NAMES, "raw string", r"""SELECT raw, trim(regexp_replace(regexp_replace(lower(CASE WHEN contains(raw, ',') THEN trim(split_part(raw, ',', 2)) || ' ' || trim(split_part(raw, ',', 1)) ELSE raw END), '[^\w\s]', '', 'g'), '\s+', ' ', 'g')) AS norm FROM INPUT""")
+def name_normalise(rows: DataFrame) -> DataFrame:
+    return rows.select("raw", T.name_norm(F.col("raw")).alias("norm"))
+
+
+@literal(IDS, "doi string, arxiv string, openalex string", r"""SELECT regexp_replace(regexp_replace(lower(doi), '^https?://(dx\.)?doi\.org/', ''), '^doi:\s*', '') AS doi_norm, lower(regexp_replace(regexp_replace(arxiv, '^arxiv:\s*', '', 'i'), 'v\d+$', '')) AS arxiv_norm,
+upper(regexp_replace(regexp_replace(openalex, '^https?://(api\.)?openalex\.org/(works/)?', '', 'i'), '^openalex:', '', 'i')) AS openalex_norm FROM INPUT""")
+def id_normalise(rows: DataFrame) -> DataFrame:
+    return rows.select(T.doi_norm(F.col("doi")).alias("doi_norm"), T.arxiv_norm(F.col("arxiv")).alias("arxiv_norm"), T.openalex_norm(F.col("openalex")).alias("openalex_norm"))
+
+
+@literal(TITLES, "title string", r"""SELECT title, CASE WHEN t LIKE '%abstract%' THEN 'abstract' WHEN t LIKE '%introduction%' THEN 'introduction' WHEN t LIKE '%conclusion%' THEN 'conclusion' WHEN t LIKE '%references%' OR t LIKE '%bibliography%' THEN 'references'
+WHEN t LIKE '%appendix%' OR t LIKE '%appendices%' THEN 'appendix' ELSE 'main' END AS kind, coalesce(CASE WHEN n = '' THEN 1 ELSE length(n) - length(replace(n, '.', '')) + 1 END, 1)::BIGINT AS level
+FROM (SELECT title, lower(coalesce(title, '')) AS t, regexp_extract(coalesce(title, ''), '^(\d+(?:\.\d+)*)', 1) AS n FROM INPUT)""")
+def section_kind(rows: DataFrame) -> DataFrame:
+    return rows.select("title", T.section_kind(F.col("title")).alias("kind"), F.coalesce(T.section_level(F.col("title")), F.lit(1)).cast("long").alias("level"))
+
+
+@literal(ENTRIES, "id int, entry string", r"""SELECT id::BIGINT AS id, CASE id WHEN 1 THEN 1 WHEN 2 THEN 2 END::BIGINT AS reference_number, regexp_extract(entry, '\b(?:19|20)\d{2}\b', 0) AS year,
+rtrim(coalesce(nullif(regexp_extract(entry, '\b(10\.\d{4,9}/[^\s"<>]+)', 1), ''), ''), ').,;') AS doi, regexp_extract(entry, '(?i)arxiv:\s*(\d{4}\.\d{4,5})', 1) AS arxiv_id,
+CASE id WHEN 1 THEN 'Attention is all you need' WHEN 2 THEN 'BERT: pre-training of transformers' ELSE 'Title part' END AS title FROM INPUT""")
+def reference_entries(rows: DataFrame) -> DataFrame:
+    p = T.parsed_entry(F.col("entry"))
+    return rows.select(F.col("id").cast("long").alias("id"), p["reference_number"].cast("long").alias("reference_number"), p["year"].alias("year"), p["doi"].alias("doi"), p["arxiv_id"].alias("arxiv_id"), p["title"].alias("title"))
+
+
+@literal(PAIRS, "a string, b string", r"""SELECT a, b, round(CASE WHEN a = '' OR b = '' THEN 0.0 ELSE len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) END, 6) AS jaccard, round(CASE WHEN a = '' OR b = '' THEN 0.0 ELSE 1 - levenshtein(a, b) / greatest(length(a), length(b)) END, 6) AS edit
+FROM (SELECT a, b, string_split(a, ' ') AS x, string_split(b, ' ') AS y FROM INPUT)""")
+def text_similarity(rows: DataFrame) -> DataFrame:
+    return rows.select("a", "b", F.round(T.word_jaccard(F.col("a"), F.col("b")), 6).alias("jaccard"), F.round(T.edit_similarity(F.col("a"), F.col("b")), 6).alias("edit"))
+
+
+@literal(AUTHORS, "author string, year string", r"""SELECT author, year, CASE WHEN k = '' OR year = '' THEN '' ELSE k || '|' || year END AS key FROM (SELECT author, year, CASE author WHEN 'Smith et al.' THEN 'smith' WHEN 'Anderson and Lee' THEN 'anderson' WHEN 'Lee & Kim' THEN 'lee' WHEN 'Brown' THEN 'brown' ELSE '' END AS k FROM INPUT)""")
+def author_year_keys(rows: DataFrame) -> DataFrame:
+    return rows.select("author", "year", T.author_year_key(F.col("author"), F.col("year")).alias("key"))
+
+
+@literal(REPLIES, "id int, reply string", "SELECT id::BIGINT AS id, CASE id WHEN 1 THEN 5.0 WHEN 2 THEN 4.5 WHEN 3 THEN 5.0 ELSE 2.0 END::DOUBLE AS score FROM INPUT")
+def reply_scores(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("id").cast("long").alias("id"), T.reply_score(F.col("reply")).alias("score"))
+
+
+@literal([("A", "B"), ("A", "C"), ("B", "C"), ("X", "A"), ("A", "A")], "src string, dst string", "SELECT count(*) AS total, count(*) FILTER (src = 'X') AS unresolved, round(avg(CASE WHEN src = 'X' THEN 1.0 ELSE 0 END), 6) AS ratio FROM INPUT")
+def edge_resolution(rows: DataFrame) -> DataFrame:
+    nodes = rows.sparkSession.createDataFrame([("p", i) for i in "ABC"], "paper_id string, id string")
+    _, stats = G.resolve_edges(rows.withColumn("paper_id", F.lit("p")), nodes)
+    return stats.select("total", "unresolved", F.round("ratio", 6).alias("ratio"))
+
+
+@literal([(2023,), (2022,), (2018,), (2010,), (2025,), (None,)], "year int", "SELECT label, count(*) AS cnt FROM (SELECT CASE WHEN year IS NULL THEN 'unknown' WHEN year > 2023 THEN 'future' WHEN 2023 - year < 5 THEN '0-4' WHEN 2023 - year < 10 THEN '5-9' WHEN 2023 - year < 20 THEN '10-19' ELSE '20+' END AS label FROM INPUT) GROUP BY 1")
+def age_labels(rows: DataFrame) -> DataFrame:
+    return Y.age_distribution(rows, 2023, [0, 5, 10, 20], [])
+
