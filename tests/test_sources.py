@@ -34,7 +34,7 @@ def test_markdown(papers):
     assert papers.count() == 2
     parts = S.paragraphs(papers)
     sections = {r.section_title: (r.kind, r.level) for r in S.sections(parts).collect()}
-    assert sections == {"A survey": ("title", 1), "1 Introduction": ("introduction", 1), "References": ("references", 1)}
+    assert sections == {"A survey": ("title", 1), "1 Introduction": ("introduction", 1), "References": ("references", 1), "Only a title": ("title", 1)}
     cited = [(r.section_title, r.paragraph_index, r.reference_number, r.author) for r in S.citations(parts).where("section_title <> 'References'").collect()]
     assert sorted(cited, key=str) == sorted([("A survey", 0, 1, None), ("1 Introduction", 1, 1, None), ("1 Introduction", 1, 2, None), ("1 Introduction", 1, None, "Smith")], key=str)
     refs = S.references(papers).where("year <> ''").orderBy("pos").collect()
