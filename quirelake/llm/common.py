@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows of one key are dealt over so many partial groups before they meet.
 SALTS = 64
+#: Links of at most so many rows are small enough for their minima to be broadcast (16 bytes a row).
+FEW_LINKS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -66,32 +68,33 @@ def group_ids(rows: DataFrame, key: str, row_id: str, salts: int = SALTS) -> Dat
     )
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", rounds: int = 60, few: int = FEW_LINKS) -> DataFrame:
     """(node, component) for every endpoint; component is the least node reachable.
 
     Alternates large-star and small-star rewiring: each round sums neighbour minima with a
-    map-side combine and joins them back, both sides through an exchange, so that a hot
-    centre is a skewed join that Spark splits. Each round is written to the shared folder;
-    the number of rounds grows with the logarithm of the longest path. Self loops and
-    repeated links are allowed; no edges give no rows.
+    map-side combine and joins them back. Up to ``few`` links, which are counted, the minima are
+    broadcast; beyond, both sides are exchanged, so that a hot centre is a skewed join that Spark
+    splits. Each round is written to the shared folder; the number of rounds grows with the
+    logarithm of the longest path. Self loops and repeated links are allowed; no edges give no rows.
     """
-    spark = edges.sparkSession
     pairs = materialize(
         edges.select(F.greatest(src, dst).alias("a"), F.least(src, dst).alias("b")).where("a is not null and b is not null").distinct(), "edges"
     )
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     pairs = pairs.where("a <> b")
+    small = pairs.count() <= few  # rewiring never adds links
+    cut = (lambda df, name: df) if small else materialize
+    near = F.broadcast if small else (lambda df: df)
     before = None
     for _ in range(rounds):
         # Large star: every larger neighbour goes to the least of the neighbourhood.
         both = pairs.union(pairs.select("b", "a"))
-        least = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
-        large = both.join(least, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+        large = cut(both.join(near(least), "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
         # Small star: every smaller neighbour, and the node itself, goes to the least of them.
-        large = materialize(large, "large")
-        least = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "least")
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        pairs = materialize(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "pairs")
+        least = cut(large.groupBy("a").agg(F.min("b").alias("m")), "least")
+        moved = large.join(near(least), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        pairs = materialize(moved.union(least.select("a", F.col("m").alias("b"))).distinct(), "pairs")
         now = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
@@ -99,4 +102,4 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", r
     else:
         raise RuntimeError(f"components did not settle within {rounds} rounds")
     least = pairs.groupBy("a").agg(F.min("b").alias("m"))
-    return nodes.join(least, nodes["node"] == least["a"], "left").select("node", F.coalesce("m", "node").alias("component"))
+    return nodes.join(near(least), nodes["node"] == least["a"], "left").select("node", F.coalesce("m", "node").alias("component"))

@@ -9,7 +9,7 @@ import numpy as np
 import xxhash
 
 #: Words that a worker remembers the numbers of.
-MEMORY = 500_000
+MEMORY = 250_000
 BASE = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
 
