@@ -6,7 +6,7 @@ counted in a sample of documents, last) linked sets share one of the first n - c
 shingles of each, their prefixes.
 
 1. Groups. The nodes that share a prefix shingle are a posting; each is compared with the posting's
-   least node, so that a posting costs one pair a member. Verified links make groups of similar
+   lead, the node that shares most with others, so that a posting costs one pair a member. Verified links make groups of similar
    documents; a large one is dealt to parts of at most ``GROUP_ROWS`` on average.
 2. Matrix. For every group the union of its members' prefix shingles is stored, as rows (shingle,
    group). A document's overlap with a group's union bounds its overlap with every member; only
@@ -38,7 +38,7 @@ from quirelake.llm.words import WordNumbers, split_words, window_hashes
 WIDTH, PERCENT = 5, 75
 #: One document in so many is sampled for frequent shingles; those seen so often there, and at most so many, are ordered last.
 SAMPLE_STEP, SEEN, MOST_FREQUENT = 32, 3, 500_000
-GROUP_ROWS, MAP_BITS, SALTS = 256, 24, 64
+GROUP_ROWS, MAP_BITS, SALTS, ROWS_AT_ONCE = 256, 24, 64, 500
 NO_ID = (1 << 63) - 1
 
 
@@ -60,9 +60,10 @@ def prefix_length(n: int) -> int:
     return n - -(-n * PERCENT // 100) + 1
 
 
-def _sets(batch: pa.RecordBatch, numbers: WordNumbers, wanted=None) -> Iterator[tuple[int, np.ndarray]]:
-    for doc, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-        if wanted is None or wanted(doc):
+def _sets(batch: pa.RecordBatch, numbers: WordNumbers) -> Iterator[tuple[int, np.ndarray]]:
+    for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+        part = batch.slice(at, ROWS_AT_ONCE)
+        for doc, raw in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
             yield doc, shingle_set(raw, numbers)
 
 
@@ -148,31 +149,27 @@ def _prefixes(frequent):
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by (token, node): those of tokens with several nodes, each with the least node of its token."""
-    held = None  # the last row, whether its token had others before, and its token's first row
+    """From rows sorted by (token, node): those of tokens with several nodes."""
+    schema = "token long, node long, n int"
+    held = None  # the last row, and whether its token had others before
     for batch in batches:
         if not batch.num_rows:
             continue
         t, v, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        first_v, first_n, several = None, None, False
+        several = False
         if held:
             t, v, n = np.append(held[0], t), np.append(held[1], v), np.append(held[2], n)
-            several, first_v, first_n = held[3:]
+            several = held[3]
         new = np.append(True, (t[1:] != t[:-1]) | (v[1:] != v[:-1]))
         t, v, n = t[new], v[new], n[new]
         start = np.append(True, t[1:] != t[:-1])
-        at = np.maximum.accumulate(np.where(start, np.arange(len(t)), 0))
-        lead, lead_n = v[at].copy(), n[at].copy()
-        if held:
-            lead[at == 0], lead_n[at == 0] = first_v, first_n
         shared = ~start | np.append(~start[1:], False)
-        if several:
-            shared[0] = True
-        held = (t[-1], v[-1], n[-1], bool(shared[-1]), lead[-1], lead_n[-1])
+        shared[0] |= several
+        held = (t[-1], v[-1], n[-1], bool(shared[-1]))
         m = shared[:-1]
-        yield _table("token long, node long, n int, lead long, lead_n int", token=t[:-1][m], node=v[:-1][m], n=n[:-1][m], lead=lead[:-1][m], lead_n=lead_n[:-1][m])
+        yield _table(schema, token=t[:-1][m], node=v[:-1][m], n=n[:-1][m])
     if held and held[3]:
-        yield _table("token long, node long, n int, lead long, lead_n int", token=[held[0]], node=[held[1]], n=[held[2]], lead=[held[4]], lead_n=[held[5]])
+        yield _table(schema, token=[held[0]], node=[held[1]], n=[held[2]])
 
 
 def _within(x: Column, y: Column) -> Column:
@@ -239,8 +236,8 @@ class TokenGroupJoin:
             for batch in batches:
                 mask = bits.value[batch.column(2).to_numpy() >> 3] >> (batch.column(2).to_numpy() & 7).astype(np.uint8) & 1
                 batch = batch.filter(pa.array(mask.astype(bool)))
-                for at in range(0, batch.num_rows, 500):
-                    out = [(doc, node_of(s), _pack40(s)) for doc, s in _sets(batch.slice(at, 500), numbers) if len(s)]
+                for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                    out = [(doc, node_of(s), _pack40(s)) for doc, s in _sets(batch.slice(at, ROWS_AT_ONCE), numbers) if len(s)]
                     doc, node, packed = zip(*out, strict=True) if out else ((), (), ())
                     yield _table("doc_id long, node long, shingles binary", doc_id=doc, node=node, shingles=packed)
 
@@ -265,11 +262,14 @@ class TokenGroupJoin:
         self.classes = materialize(self.profile.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "classes")
         frequent = spark.sparkContext.broadcast(frequent_shingles(text))
         tokens = text.mapInArrow(_prefixes(frequent), "token long, node long, n int")
-        shared = materialize(
-            tokens.repartition("token").sortWithinPartitions("token", "node").mapInArrow(_postings, "token long, node long, n int, lead long, lead_n int"), "postings"
-        )
-        # Groups: every node against the least of its postings.
-        first = shared.where("node <> lead").where(_within(F.col("n"), F.col("lead_n"))).groupBy("node", "n", "lead", "lead_n").count()
+        shared = materialize(tokens.repartition("token").sortWithinPartitions("token", "node").mapInArrow(_postings, "token long, node long, n int"), "postings")
+        # Groups: every node against the node of each of its postings that shares most with others; edits make shingles of
+        # their own, so that is the text that its copies were made from, or the one nearest to it.
+        weights = shared.groupBy("node").agg(F.count(F.lit(1)).alias("weight"))
+        weighed = shared.join(weights, "node")
+        leads = weighed.groupBy("token").agg(F.max_by(F.struct("node", "n"), F.struct("weight", -F.col("node"))).alias("l"))
+        leads = materialize(leads.select("token", F.col("l.node").alias("lead"), F.col("l.n").alias("lead_n")), "leads")
+        first = shared.join(leads, "token").where("node <> lead").where(_within(F.col("n"), F.col("lead_n"))).groupBy("node", "n", "lead", "lead_n").count()
         first = first.where(F.col("count") >= _least_common(F.col("n"), F.col("lead_n"))).select(F.col("node").alias("a"), "n", F.col("lead").alias("b"), F.col("lead_n").alias("m"))
         links = self.verified(materialize(first, "first"), "first")
         groups = materialize(self.groups(connected_components(links)), "groups")
