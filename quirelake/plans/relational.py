@@ -186,6 +186,15 @@ def graph_edges(a: Analog) -> DataFrame:
     return edges.select("src", "dst")
 
 
+@query("""WITH t AS (SELECT doc_id, source || ':' || lang AS a, 'n:' || n_chars AS b FROM documents),
+c AS (SELECT *, min(doc_id) OVER (PARTITION BY a) AS ca, count(*) OVER (PARTITION BY a) AS na, min(doc_id) OVER (PARTITION BY b) AS cb, count(*) OVER (PARTITION BY b) AS nb, count(*) OVER (PARTITION BY a, b) AS nab FROM t)
+SELECT doc_id, CASE WHEN a IS NOT NULL THEN ca END AS class_a, CASE WHEN b IS NOT NULL THEN cb END AS class_b,
+greatest(CASE WHEN a IS NOT NULL THEN na ELSE 0 END + CASE WHEN b IS NOT NULL THEN nb ELSE 0 END - CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN nab ELSE 0 END - 1, 0)::BIGINT AS links FROM c""")
+def token_edge_classes(a: Analog) -> DataFrame:
+    docs = a.table("documents").select("doc_id", F.concat("source", F.lit(":"), "lang").alias("a"), F.concat(F.lit("n:"), F.col("n_chars").cast("string")).alias("b"))
+    return L.token_classes(docs, "doc_id", "a", "b")
+
+
 @query(f"WITH {DEGREES_SQL} SELECT id::VARCHAR AS id, in_deg, out_deg FROM deg")
 def graph_degrees(a: Analog) -> DataFrame:
     return rounded(G.degrees(a.nodes(), a.edges()).drop("paper_id"))
