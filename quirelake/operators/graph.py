@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections import defaultdict, deque
+from collections import defaultdict
 
 import numpy as np
 import pandas as pd
@@ -218,47 +218,104 @@ def _pagerank_rounds(nodes: DataFrame, edges: DataFrame, damping: float, rounds:
     return ranks.select(*by, "id", "pr")
 
 
-def betweenness(edges: DataFrame, by: list[str] = BY, components: DataFrame | None = None) -> DataFrame:
+def _path_scores(src: np.ndarray, dst: np.ndarray, n: int, sources: np.ndarray, width: int = 64) -> np.ndarray:
+    """What shortest paths from ``sources`` add to each node's betweenness, ``width`` sources at a time.
+
+    A level is taken edge by edge of its front where that is little, else over all edges at once.
+    """
+    width = max(1, min(width, 4_000_000 // max(n, 1)))
+    forth, back = np.argsort(src, kind="stable"), np.argsort(dst, kind="stable")
+    out_deg, in_deg = np.bincount(src, minlength=n), np.bincount(dst, minlength=n)
+    first, heads = np.cumsum(out_deg) - out_deg, dst[forth]
+
+    def pull(x: np.ndarray, deg: np.ndarray, ends: np.ndarray, block: int = 1 << 12) -> np.ndarray:
+        """Sums of ``x`` over each node's ends."""
+        total = np.zeros_like(x)
+        held = np.flatnonzero(deg)
+        upto = np.cumsum(deg[held])
+        at = 0
+        while at < len(held):
+            begin = upto[at] - deg[held[at]]
+            end = max(at + 1, int(np.searchsorted(upto, begin + block, "right")))
+            total[held[at:end]] = np.add.reduceat(x[ends[begin : upto[end - 1]]], upto[at:end] - deg[held[at:end]] - begin, axis=0)
+            at = end
+        return total
+
+    def steps(front: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the front each link leaves, and where it leads."""
+        v = front // k
+        of = np.repeat(np.arange(len(front)), out_deg[v])
+        link = np.arange(len(of)) - np.repeat(np.cumsum(out_deg[v]) - out_deg[v] - first[v], out_deg[v])
+        return of, heads[link] * k + front[of] % k
+
+    score = np.zeros(n)
+    for at in range(0, len(sources), width):
+        s = sources[at : at + width]
+        k = len(s)
+        paths, depth, owed = np.zeros((n, k)), np.full((n, k), -1, np.int32), np.zeros((n, k))
+        p, d, o = paths.ravel(), depth.ravel(), owed.ravel()
+        levels = [s * k + np.arange(k)]
+        p[levels[0]], d[levels[0]] = 1, 0
+        many = lambda front: out_deg[front // k].sum() > len(src) * k / 8  # noqa: B023, E731
+        while len(front := levels[-1]):
+            if many(front):
+                x = np.zeros((n, k))
+                x.ravel()[front] = p[front]
+                sums = pull(x, in_deg, src[back]).ravel()
+                new = np.flatnonzero((sums > 0) & (d < 0))
+                p[new] = sums[new]
+            else:
+                of, to = steps(front, k)
+                fresh = d[to] < 0
+                if len(to) > n * k / 16:
+                    sums = np.bincount(to[fresh], p[front[of[fresh]]], n * k)
+                    new = np.flatnonzero(sums)
+                    p[new] = sums[new]
+                else:
+                    new, place = np.unique(to[fresh], return_inverse=True)
+                    p[new] = np.bincount(place, p[front[of[fresh]]], len(new))
+            d[new] = len(levels)
+            levels.append(new)
+        for level in range(len(levels) - 2, 0, -1):
+            front, far = levels[level - 1], levels[level]
+            if many(front):
+                x = np.zeros((n, k))
+                x.ravel()[far] = (1 + o[far]) / p[far]
+                o[front] = p[front] * pull(x, out_deg, heads).ravel()[front]
+            else:
+                of, to = steps(front, k)
+                on = d[to] == level
+                o[front] = p[front] * np.bincount(of[on], (1 + o[to[on]]) / p[to[on]], len(front))
+        o[levels[0]] = 0
+        score += owed.sum(1)
+    return score
+
+
+def betweenness(edges: DataFrame, by: list[str] = BY, components: DataFrame | None = None, sources: int = 2048) -> DataFrame:
     """(by, id, betweenness): shortest-path counts over directed links, not scaled; within the largest component if given.
 
-    The search keeps state from node to node, so each paper's graph is one group.
+    Searches from different nodes are apart, so groups of about ``sources`` of them each get the paper's whole graph.
     """
     keys = _keys(edges, by)
     if components is not None:
         largest = component_summary(components, by, 1).select(*by, "component")
         inside = components.join(largest, [*by, "component"], "left_semi").select(*by, F.col("id").alias("src"))
         edges = edges.join(inside, [*by, "src"], "left_semi")
+    edges = _cut(edges.select(*by, "src", "dst"), "betweenness-edges")
+    shares = edges.groupBy(*by).agg(F.ceil(F.count_distinct("src") / sources).cast("int").alias("_shares"))
+    dealt = edges.join(shares, by).select(*by, "src", "dst", "_shares", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1)).alias("_share"))
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        out = defaultdict(list)
-        for a, b in sorted(zip(part["src"], part["dst"], strict=True)):
-            out[a].append(b)
-        ids = sorted(set(part["src"]) | set(part["dst"]))
-        score = dict.fromkeys(ids, 0.0)
-        for s in ids:
-            paths, distance, before, order, queue = defaultdict(float, {s: 1.0}), {s: 0}, defaultdict(list), [], deque([s])
-            while queue:
-                v = queue.popleft()
-                order.append(v)
-                for w in out.get(v, ()):
-                    if w not in distance:
-                        distance[w] = distance[v] + 1
-                        queue.append(w)
-                    if distance[w] == distance[v] + 1:
-                        paths[w] += paths[v]
-                        before[w].append(v)
-            owed = defaultdict(float)
-            for w in reversed(order):
-                for v in before[w]:
-                    owed[v] += paths[v] / paths[w] * (1 + owed[w])
-                if w != s:
-                    score[w] += owed[w]
-        frame = pd.DataFrame({"id": ids, "betweenness": [score[v] for v in ids]})
+        ids, ends = np.unique(np.concatenate([part["src"].to_numpy(), part["dst"].to_numpy()]), return_inverse=True)
+        src, dst = ends[: len(part)], ends[len(part) :]
+        score = _path_scores(src, dst, len(ids), np.unique(src)[part["_share"].iloc[0] :: part["_shares"].iloc[0]])
+        frame = pd.DataFrame({"id": ids, "betweenness": score})
         for i, k in enumerate(by):
             frame.insert(i, k, part[k].iloc[0])
         return frame
 
-    return edges.groupBy(*by).applyInPandas(run, f"{keys}id string, betweenness double")
+    scores = dealt.groupBy(*by, "_share").applyInPandas(run, f"{keys}id string, betweenness double")
+    return scores.groupBy(*by, "id").agg(F.sum("betweenness").alias("betweenness"))
 
 
 # Clusters

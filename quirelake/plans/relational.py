@@ -245,7 +245,16 @@ def cocitation_pairs(a: Analog) -> DataFrame:
 reach AS (SELECT p_partkey AS node, p_partkey AS w FROM part UNION SELECT r.node, u.b FROM reach r JOIN und u ON u.a = r.w), c AS (SELECT node, min(w) AS comp FROM reach GROUP BY 1), s AS (SELECT comp, count(*) AS size FROM c GROUP BY 1)
 SELECT size, count(*) AS cnt FROM s GROUP BY 1""")
 def components_hist(a: Analog) -> DataFrame:
-    sizes = G.weak_components(a.nodes(), a.brand_edges()).groupBy("paper_id", "component").agg(F.count(F.lit(1)).alias("size"))
+    return _component_sizes(a, a.brand_edges())
+
+
+@query()
+def components_hist_whole(a: Analog) -> DataFrame:
+    return _component_sizes(a, a.edges())
+
+
+def _component_sizes(a: Analog, edges: DataFrame) -> DataFrame:
+    sizes = G.weak_components(a.nodes(), edges).groupBy("paper_id", "component").agg(F.count(F.lit(1)).alias("size"))
     return rounded(sizes.groupBy("size").agg(F.count(F.lit(1)).alias("cnt")))
 
 
@@ -318,10 +327,10 @@ def node_style(a: Analog) -> DataFrame:
     return rounded(G.degrees(a.nodes(), a.edges()).select("id", G.node_size(i, o).alias("size"), G.node_color(i, o, F.lit(None).cast("int")).alias("color")))
 
 
-def _warning_stats(a: Analog) -> DataFrame:
-    stats = G.density(G.degrees(a.nodes(), a.brand_edges()))
-    comps = G.weak_components(a.nodes(), a.brand_edges()).groupBy("paper_id").agg(F.count_distinct("component").alias("components"))
-    lag = G.citation_lag(a.brand_edges(), a.nodes()).select("paper_id", "neg_ratio")
+def _warning_stats(a: Analog, edges: DataFrame) -> DataFrame:
+    stats = G.density(G.degrees(a.nodes(), edges))
+    comps = G.weak_components(a.nodes(), edges).groupBy("paper_id").agg(F.count_distinct("component").alias("components"))
+    lag = G.citation_lag(edges, a.nodes()).select("paper_id", "neg_ratio")
     rec = G.recency(a.nodes(), AS_OF).select("paper_id", "missing_ratio", "median_age")
     return stats.join(comps, "paper_id").join(lag, "paper_id", "left").join(rec, "paper_id").withColumns({"unresolved_ratio": F.lit(0.0), "betweenness_done": F.lit(False)})
 
@@ -331,24 +340,29 @@ reach AS (SELECT p_partkey AS node, p_partkey AS w FROM part UNION SELECT r.node
 x AS (SELECT (SELECT count(*) FROM part) AS n, (SELECT count(DISTINCT comp) FROM c) AS comps, (SELECT count(*) FROM part WHERE p_partkey NOT IN (SELECT a FROM und)) AS iso, (SELECT avg(CASE WHEN s.year < d.year THEN 1.0 ELSE 0 END) FROM bedges JOIN py s ON s.id = src JOIN py d ON d.id = dst) AS neg)
 SELECT 'NEGATIVE_CITATION_LAG_HIGH' AS code, 'warning' AS severity FROM x WHERE neg > 0.05 UNION ALL SELECT 'MANY_COMPONENTS', 'info' FROM x WHERE comps > greatest(10, floor(n * 0.05)) UNION ALL SELECT 'ISOLATES_HIGH', 'info' FROM x WHERE iso / n > 0.05 UNION ALL SELECT 'BETWEENNESS_SKIPPED', 'info'""")
 def graph_warnings(a: Analog) -> DataFrame:
-    return G.graph_warnings(_warning_stats(a)).select("code", "severity")
+    return G.graph_warnings(_warning_stats(a, a.brand_edges())).select("code", "severity")
+
+
+@query()
+def graph_warnings_whole(a: Analog) -> DataFrame:
+    return G.graph_warnings(_warning_stats(a, a.edges())).select("code", "severity")
 
 
 @query()
 def betweenness(a: Analog) -> DataFrame:
-    comps = G.weak_components(a.nodes(), a.brand_edges())
-    return rounded(G.betweenness(a.brand_edges(), components=comps).select("id", "betweenness"))
+    comps = G.weak_components(a.nodes(), a.edges())
+    return rounded(G.betweenness(a.edges(), components=comps).select("id", "betweenness"))
 
 
 @query()
 def authority_clusters(a: Analog) -> DataFrame:
-    deg, ranks = G.degrees(a.nodes(), a.brand_edges()), G.pagerank(a.nodes(), a.brand_edges())
-    return G.authority_clusters(a.nodes(), a.brand_edges(), deg, ranks).select("id", "cluster")
+    deg, ranks = G.degrees(a.nodes(), a.edges()), G.pagerank(a.nodes(), a.edges())
+    return G.authority_clusters(a.nodes(), a.edges(), deg, ranks).select("id", "cluster")
 
 
 @query()
 def louvain_clusters(a: Analog) -> DataFrame:
-    return G.louvain_clusters(a.nodes(), a.brand_edges()).select("id", "cluster")
+    return G.louvain_clusters(a.nodes(), a.edges()).select("id", "cluster")
 
 
 @query(f"""WITH {BRAND_EDGES_SQL}, k AS (SELECT row_number() OVER (ORDER BY src::VARCHAR, dst::VARCHAR) AS rk, src, dst FROM bedges) SELECT 'graph LR' || chr(10) || string_agg('    ' || src || ' --> ' || dst, chr(10) ORDER BY rk) AS diagram FROM k WHERE rk <= 80""")
@@ -356,6 +370,11 @@ def mermaid(a: Analog) -> DataFrame:
     return G.mermaid(a.brand_edges()).select("diagram")
 
 
+@query(f"""WITH {EDGES_SQL}, k AS (SELECT row_number() OVER (ORDER BY src::VARCHAR, dst::VARCHAR) AS rk, src, dst FROM edges) SELECT 'graph LR' || chr(10) || string_agg('    ' || src || ' --> ' || dst, chr(10) ORDER BY rk) AS diagram FROM k WHERE rk <= 80""")
+def mermaid_whole(a: Analog) -> DataFrame:
+    return G.mermaid(a.edges()).select("diagram")
+
+
 # Linkage, coverage, literature
 
 
