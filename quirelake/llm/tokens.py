@@ -37,7 +37,7 @@ class PieceTokenizer:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model, self.letters = self.tokenizer.model, _byte_letters()
         self._clear()
 
@@ -49,7 +49,7 @@ class PieceTokenizer:
     def _learn(self, pieces: list[str]) -> None:
         for piece in pieces:
             self.number[piece] = len(self.number)
-            if _PLAIN(piece):
+            if _PLAIN(piece) and not self._holds_added(piece):
                 for part in _SPLIT.findall(piece.lower()):
                     if not part.isascii():
                         part = "".join(self.letters[b] for b in part.encode())
@@ -59,9 +59,13 @@ class PieceTokenizer:
             self.start.append(len(self.flat))
         self.arrays = None
 
-    @staticmethod
-    def pieces(text: str) -> list[str]:
-        if any(c in text for c in NOT_SPACE):
+    def _holds_added(self, text: str) -> bool:
+        text = text.lower()
+        return any(t in text for t in self.added)
+
+    def pieces(self, text: str) -> list[str]:
+        """White-space pieces; a text with an added token's string goes to the tokenizer whole."""
+        if any(c in text for c in NOT_SPACE) or self._holds_added(text):
             return [text]
         if "Σ" not in text:  # its lower case depends on its place, in Python only
             text = text.lower()
