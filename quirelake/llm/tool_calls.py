@@ -49,7 +49,7 @@ def parse_messages(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def turns_as_calls(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Plain chats as calls: a user's turn calls ``reply``, the next turn, if the assistant's, is its result, and it depends on the call two turns before, if there is one."""
+    """Plain chats as calls: a user's turn calls ``reply``, the next turn, if the assistant's, is its result, and it depends on the call two turns before, if there is one. Turns of other roles give nothing."""
     user = messages.where(F.col("role") == "user")
     ident = lambda turn: F.concat_ws(":", F.coalesce(F.col("conv_id").cast("string"), F.lit("none")), turn)
     calls = user.select(
