@@ -3,23 +3,29 @@ r"""N-gram Jaccard join by a token-group matrix.
 A document's set holds its distinct 5-word shingles as 64-bit numbers. Equal sets are one node. Two
 sets link when 100 * intersection >= 75 * union. In one order of all shingles (frequent ones, as
 counted in a sample of documents, last) linked sets share one of the first n - ceil(0.75 n) + 1
-shingles of each, their prefixes.
-
-1. Groups. The nodes that share a prefix shingle are a posting; each is compared with the posting's
-   lead, the node that shares most with others, so that a posting costs one pair a member. Verified links make groups of similar
-   documents; a large one is dealt to parts of at most ``GROUP_ROWS`` on average.
-2. Matrix. For every group the union of its members' prefix shingles is stored, as rows (shingle,
-   group). A document's overlap with a group's union bounds its overlap with every member; only
-   groups that can reach the threshold are opened, and their members verified on whole sets.
-
-Members of one group are not compared again: they are in one component already. So a group of
-copies costs a number of pairs in proportion to its size, and no link between groups is lost.
+shingles of each, their prefixes. A shingle's remainder in a set is the number of shingles from its
+place on; where two sets first meet, neither remainder is less than their intersection.
+
+1. Prefixes. One pass over the texts writes every set's size, node and prefix. The nodes that share
+   a prefix shingle are a posting.
+2. Groups. A posting's lead is the node that holds the shingle earliest for its size: edits make rare
+   shingles, which come first, so the text that copies were made from leads. Each node is compared
+   with the leads that most of its postings name, at most ``LEADS`` of them; links make groups.
+3. Matrix. For every group the union of the shingles that its members index is stored, as rows
+   (shingle, group) with the members' largest remainder and sizes. A node's overlap with a group is
+   bounded by them; only groups of other nodes that can reach the threshold are opened, and only
+   members that can reach it at that shingle are compared.
+
+Every pair is compared on prefixes first, which must share as many shingles as a link needs, and then
+on whole sets. Members of one group are not compared again: they are in one component already. So a
+group of copies costs pairs in proportion to its size, and no link between groups is lost: the third
+step reaches every pair that the second left out.
 
 Defined cases: words are ``[^\x20\x09-\x0D]+`` with A-Z lower-cased; fewer words than a shingle make one
 shingle of them all; null and empty texts and those without words have an empty set and link with
 nothing; rows that repeat a doc_id are documents of their own that share the id; a null doc_id counts
 after all others; an empty table gives no rows; further columns are ignored. Shingles, and sets, are
-equal when their 64-bit hashes are; within a pair the intersection is taken on 40 bits of them.
+equal when their 64-bit hashes are.
 """
 
 from __future__ import annotations
@@ -29,16 +35,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import connected_components, materialize, table
+from quirelake.llm.common import FEW_LINKS, connected_components, materialize, table
 from quirelake.llm.words import WordNumbers, split_words, window_hashes
 
 WIDTH, PERCENT = 5, 75
 #: One document in so many is sampled for frequent shingles; those seen so often there, and at most so many, are ordered last.
-SAMPLE_STEP, SEEN, MOST_FREQUENT = 32, 3, 500_000
-GROUP_ROWS, MAP_BITS, SALTS, ROWS_AT_ONCE = 256, 24, 64, 500
+SAMPLE_STEP, SEEN, MOST_FREQUENT = 16, 2, 500_000
+LEADS, MAP_BITS, SALTS, ROWS_AT_ONCE = 2, 24, 64, 500
+#: Nodes that a task remembers so as to give the prefix of a set once.
+NODES_KNOWN = 200_000
 NO_ID = (1 << 63) - 1
 
 
@@ -73,14 +81,6 @@ def _table(schema: str, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[n], kinds[k]) for n, k in fields], names=[n for n, _ in fields])
 
 
-def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    numbers = WordNumbers()
-    for batch in batches:
-        out = [(doc, len(s), node_of(s) if len(s) else None) for doc, s in _sets(batch, numbers)]
-        doc, n, node = zip(*out, strict=True) if out else ((), (), ())
-        yield _table("doc_id long, n_shingles long, node long", doc_id=doc, n_shingles=n, node=node)
-
-
 def _sample_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     numbers = WordNumbers()
     for batch in batches:
@@ -109,67 +109,73 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     kept = counts.where(F.col("seen") >= least).toPandas()
     token = kept["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(token)
-    return token[order], np.minimum(np.log2(np.maximum(kept["seen"].to_numpy(float), 1)), 62).astype(np.uint64)[order] + np.uint64(1)
+    return token[order], np.minimum(2 * np.log2(np.maximum(kept["seen"].to_numpy(float), 1)), 62).astype(np.uint64)[order] + np.uint64(1)
+
+
+PREFIXES = "doc_id long, n_shingles long, node long, prefix array<long>"
 
 
 def _prefixes(frequent):
-    """(token, node, n) for the prefix of every set; token holds the order class and 58 bits of the hash."""
+    """One row a document; its prefix in order, as order class and 58 bits of the hash, null where the task gave the same set's before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = WordNumbers()
+        numbers, given = WordNumbers(), set()
         known, classes = frequent.value
+
+        def prefix(s: np.ndarray) -> np.ndarray:
+            rank = s >> np.uint64(6)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                hit = known[at] == s
+                rank[hit] |= classes[at[hit]] << np.uint64(58)
+            p = prefix_length(len(s))
+            return np.sort(np.partition(rank, p - 1)[:p] if p < len(rank) else rank)
+
         for batch in batches:
-            tokens, nodes, sizes, here = [], [], [], set()
-
-            def flush():
-                k = [len(t) for t in tokens]
-                return _table("token long, node long, n int", token=np.concatenate(tokens).view(np.int64), node=np.repeat(np.array(nodes), k), n=np.repeat(np.array(sizes, np.int32), k))
-
-            held = 0
-            for _, s in _sets(batch, numbers):
-                if not len(s) or (node := node_of(s)) in here:
-                    continue
-                here.add(node)
-                rank = s >> np.uint64(6)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                    hit = known[at] == s
-                    rank[hit] |= classes[at[hit]] << np.uint64(58)
-                p = prefix_length(len(s))
-                tokens.append(np.partition(rank, p - 1)[:p] if p < len(rank) else rank)
-                nodes.append(node), sizes.append(len(s))
-                held += p
-                if held > 500_000:
-                    yield flush()
-                    tokens, nodes, sizes, held = [], [], [], 0
-            if tokens:
-                yield flush()
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(at, ROWS_AT_ONCE)
+                sizes, nodes, found = [], [], []
+                for _, s in _sets(part, numbers):
+                    node = node_of(s) if len(s) else None
+                    sizes.append(len(s)), nodes.append(node)
+                    found.append(None if node is None or node in given else prefix(s))
+                    if found[-1] is not None:
+                        if len(given) >= NODES_KNOWN:
+                            given.clear()
+                        given.add(node)
+                ends = np.cumsum([0] + [0 if f is None else len(f) for f in found])
+                flat = np.concatenate([np.zeros(0, np.uint64)] + [f for f in found if f is not None]).view(np.int64)
+                blank = pa.array(np.array([f is None for f in found]))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat), mask=blank)
+                columns = [part.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "node", "prefix"])
 
     return run
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows sorted by (token, node): those of tokens with several nodes."""
-    schema = "token long, node long, n int"
+    schema = "token long, node long, n long, rest long"
     held = None  # the last row, and whether its token had others before
     for batch in batches:
         if not batch.num_rows:
             continue
-        t, v, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
         several = False
         if held:
-            t, v, n = np.append(held[0], t), np.append(held[1], v), np.append(held[2], n)
-            several = held[3]
+            rows = [np.append(x, y) for x, y in zip(held[0], rows, strict=True)]
+            several = held[1]
+        t, v = rows[:2]
         new = np.append(True, (t[1:] != t[:-1]) | (v[1:] != v[:-1]))
-        t, v, n = t[new], v[new], n[new]
+        t, v, n, rest = (x[new] for x in rows)
         start = np.append(True, t[1:] != t[:-1])
         shared = ~start | np.append(~start[1:], False)
         shared[0] |= several
-        held = (t[-1], v[-1], n[-1], bool(shared[-1]))
+        held = ([x[-1] for x in (t, v, n, rest)], bool(shared[-1]))
         m = shared[:-1]
-        yield _table(schema, token=t[:-1][m], node=v[:-1][m], n=n[:-1][m])
-    if held and held[3]:
-        yield _table(schema, token=[held[0]], node=[held[1]], n=[held[2]])
+        yield _table(schema, token=t[:-1][m], node=v[:-1][m], n=n[:-1][m], rest=rest[:-1][m])
+    if held and held[1]:
+        yield _table(schema, **{c: [x] for c, x in zip(("token", "node", "n", "rest"), held[0], strict=True)})
 
 
 def _within(x: Column, y: Column) -> Column:
@@ -177,13 +183,18 @@ def _within(x: Column, y: Column) -> Column:
     return (x * 100 >= y * PERCENT) & (y * 100 >= x * PERCENT)
 
 
-def _least_common(x: Column, y: Column) -> Column:
-    """Least number of shared prefix shingles with which sets of sizes x and y can still link.
+def _needed(x: Column, y: Column) -> Column:
+    """Least intersection with which sets of sizes x and y link."""
+    return F.ceil((x + y) * PERCENT / (100 + PERCENT))
+
+
+def least_common(x: int, y: int) -> int:
+    """Least number of shared prefix shingles with which sets of sizes x and y can link.
 
     A link needs 75 (x + y) / 175 common shingles; beyond the prefixes there are at most
     ceil(0.75 max(x, y)) - 1 of them.
     """
-    return F.ceil((x + y) * PERCENT / (100 + PERCENT)) - F.ceil(F.greatest(x, y) * PERCENT / 100) + 1
+    return -(-(x + y) * PERCENT // (100 + PERCENT)) + (-max(x, y) * PERCENT // 100) + 1
 
 
 def _bitmap(ids: DataFrame) -> np.ndarray:
@@ -196,24 +207,24 @@ def _bitmap(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def _pack40(shingles: np.ndarray) -> bytes:
-    low = np.unique(shingles & np.uint64((1 << 40) - 1))
-    return low.view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-
-
-def _unpack40(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-    return out.reshape(-1).view(np.uint64)
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (a, n, x, b, m, y), with prefixes x and y, the pairs whose prefixes share enough."""
+    for batch in batches:
+        a, n, b, m = (batch.column(i).to_numpy() for i in (0, 1, 3, 4))
+        x, y = batch.column(2), batch.column(5)
+        mask = [
+            len(np.intersect1d(x[i].values.to_numpy(), y[i].values.to_numpy(), assume_unique=True)) >= least_common(int(n[i]), int(m[i]))
+            for i in range(batch.num_rows)
+        ]
+        k = np.array(mask, bool)
+        yield _table("a long, n long, b long, m long", a=a[k], n=n[k], b=b[k], m=m[k])
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        src, dst, cached = [], [], (None, None)
+        src, dst = [], []
         for a, n, x, b, m, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if cached[0] != b:
-                cached = (b, _unpack40(y))
-            common = len(np.intersect1d(_unpack40(x), cached[1], assume_unique=True))
+            common = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
             if common * (100 + PERCENT) >= (n + m) * PERCENT:
                 src.append(a), dst.append(b)
         yield _table("src long, dst long", src=src, dst=dst)
@@ -225,10 +236,23 @@ class TokenGroupJoin:
     def __init__(self, docs: DataFrame):
         self.docs, self.spark = docs, docs.sparkSession
 
+    def _with_both(self, pairs: DataFrame, found: DataFrame, value: str) -> DataFrame:
+        """(a, n, x, b, m, y): the pairs with the value of each end."""
+        left = pairs.join(found.select(F.col("node").alias("a"), F.col(value).alias("x")), "a").select("a", "n", "x", "b", "m")
+        return left.join(found.select(F.col("node").alias("b"), F.col(value).alias("y")), "b").select("a", "n", "x", "b", "m", "y")
+
+    def _holders(self, pairs: DataFrame, name: str) -> DataFrame:
+        """(node, doc_id): a document with a prefix for every node of the pairs."""
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        return materialize(self.classes.select("node", F.col("holder").alias("doc_id")).join(ends, "node", "left_semi"), f"holders-{name}")
+
     def verified(self, pairs: DataFrame, name: str) -> DataFrame:
         """Those of the pairs (a, n, b, m) of nodes that link: (src, dst)."""
-        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        holders = materialize(self.classes.join(ends, "node", "left_semi").select("node", "doc_id"), f"holders-{name}")
+        holders = self._holders(pairs, f"{name}-prefixes")
+        prefixes = self.prefixes.where("prefix is not null").join(holders, ["node", "doc_id"], "left_semi").select("node", "prefix")
+        prefixes = materialize(prefixes.dropDuplicates(["node"]), f"prefixes-{name}")
+        pairs = materialize(self._with_both(pairs, prefixes, "prefix").mapInArrow(_near, "a long, n long, b long, m long"), f"near-{name}")
+        holders = self._holders(pairs, f"{name}-sets")
         bits = self.spark.sparkContext.broadcast(_bitmap(holders.select("doc_id")))
 
         def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,69 +261,65 @@ class TokenGroupJoin:
                 mask = bits.value[batch.column(2).to_numpy() >> 3] >> (batch.column(2).to_numpy() & 7).astype(np.uint8) & 1
                 batch = batch.filter(pa.array(mask.astype(bool)))
                 for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-                    out = [(doc, node_of(s), _pack40(s)) for doc, s in _sets(batch.slice(at, ROWS_AT_ONCE), numbers) if len(s)]
+                    out = [(doc, node_of(s), s.tobytes()) for doc, s in _sets(batch.slice(at, ROWS_AT_ONCE), numbers) if len(s)]
                     doc, node, packed = zip(*out, strict=True) if out else ((), (), ())
                     yield _table("doc_id long, node long, shingles binary", doc_id=doc, node=node, shingles=packed)
 
         hashed = self.docs.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << MAP_BITS)).cast("int"))
         sets = hashed.mapInArrow(extract, "doc_id long, node long, shingles binary").join(holders, ["doc_id", "node"], "left_semi")
-        sets = materialize(sets.select("node", "shingles"), f"sets-{name}")
-        left = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").select("a", "n", "x", "b", "m")
-        both = left.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").select("a", "n", "x", "b", "m", "y")
-        return materialize(both.mapInArrow(_linked, "src long, dst long").distinct(), f"links-{name}")
+        sets = materialize(sets.dropDuplicates(["doc_id", "node"]).select("node", "shingles"), f"sets-{name}")
+        return materialize(self._with_both(pairs, sets, "shingles").mapInArrow(_linked, "src long, dst long").distinct(), f"links-{name}")
+
+    def lead_pairs(self, shared: DataFrame) -> DataFrame:
+        """(a, n, b, m): every node and the leads that most of its postings name."""
+        earliest = F.struct(F.col("rest") / F.col("n"), -F.col("node"))
+        leads = shared.groupBy("token").agg(F.max_by(F.struct("node", "n", "rest"), earliest).alias("l"))
+        leads = leads.select("token", F.col("l.node").alias("b"), F.col("l.n").alias("m"), F.col("l.rest").alias("lead_rest"))
+        met = shared.join(leads, "token").where("node <> b").where(_within(F.col("n"), F.col("m")))
+        votes = met.groupBy(F.col("node").alias("a"), "n", "b", "m").agg(
+            F.count(F.lit(1)).alias("votes"), F.max(F.least("rest", "lead_rest")).alias("bound")
+        )
+        best = Window.partitionBy("a").orderBy(F.desc("votes"), "b")
+        return votes.where(F.col("bound") >= _needed(F.col("n"), F.col("m"))).withColumn("k", F.row_number().over(best)).where(F.col("k") <= LEADS).select("a", "n", "b", "m")
 
-    def groups(self, components: DataFrame) -> DataFrame:
-        """(node, comp, grp) of nodes in groups of several; parts of a large group have numbers of their own."""
-        sizes = components.groupBy("component").count()
-        part = F.pmod(F.xxhash64("node", F.lit(3)), F.ceil(F.col("count") / GROUP_ROWS))
-        return components.join(sizes, "component").select("node", F.col("component").alias("comp"), F.xxhash64("component", part).alias("grp"))
+    def matrix_pairs(self, shared: DataFrame, groups: DataFrame) -> DataFrame:
+        """(a, n, b, m): nodes of different groups that the groups' unions, and then the members, don't rule out.
 
-    def run(self) -> DataFrame:
-        """(doc_id, n_shingles, node, component node) for every row."""
-        spark = self.spark
-        text = self.docs
-        self.profile = materialize(text.mapInArrow(_profile, "doc_id long, n_shingles long, node long"), "profile")
-        self.classes = materialize(self.profile.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "classes")
-        frequent = spark.sparkContext.broadcast(frequent_shingles(text))
-        tokens = text.mapInArrow(_prefixes(frequent), "token long, node long, n int")
-        shared = materialize(tokens.repartition("token").sortWithinPartitions("token", "node").mapInArrow(_postings, "token long, node long, n int"), "postings")
-        # Groups: every node against the node of each of its postings that shares most with others; edits make shingles of
-        # their own, so that is the text that its copies were made from, or the one nearest to it.
-        weights = shared.groupBy("node").agg(F.count(F.lit(1)).alias("weight"))
-        weighed = shared.join(weights, "node")
-        leads = weighed.groupBy("token").agg(F.max_by(F.struct("node", "n"), F.struct("weight", -F.col("node"))).alias("l"))
-        leads = materialize(leads.select("token", F.col("l.node").alias("lead"), F.col("l.n").alias("lead_n")), "leads")
-        first = shared.join(leads, "token").where("node <> lead").where(_within(F.col("n"), F.col("lead_n"))).groupBy("node", "n", "lead", "lead_n").count()
-        first = first.where(F.col("count") >= _least_common(F.col("n"), F.col("lead_n"))).select(F.col("node").alias("a"), "n", F.col("lead").alias("b"), F.col("lead_n").alias("m"))
-        links = self.verified(materialize(first, "first"), "first")
-        groups = materialize(self.groups(connected_components(links)), "groups")
-        # Matrix: postings with several groups, and the union of prefixes of each group.
-        placed = shared.select("token", "node", "n").join(groups, "node", "left").select(
-            "token", "node", "n", F.coalesce("comp", "node").alias("comp"), F.coalesce("grp", "node").alias("grp")
-        )
+        The smaller set of a pair (of equal ones that with the lesser node) indexes its shingles up
+        to the place where sets of its own size could still link; the larger one asks.
+        """
+        few = groups.count() <= FEW_LINKS
+        placed = shared.join(F.broadcast(groups) if few else groups, "node", "left").withColumn("grp", F.coalesce("component", "node")).drop("component")
         placed = materialize(placed, "placed")
-        mixed = materialize(placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token"), "mixed")
-        rows = materialize(placed.join(mixed, "token"), "mixed-rows")
-        matrix = materialize(
-            rows.groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("comp").alias("other")), "matrix"
-        )
-        n, low, high = F.col("n"), F.greatest(F.col("least"), F.ceil(F.col("n") * PERCENT / 100)), F.least(F.col("most"), F.floor(F.col("n") * 100 / PERCENT))
-        met = rows.select("token", "node", "n", "comp").join(matrix, "token").where(F.col("comp") > F.col("other")).where(low <= high)
-        # The bounds of a token's members of a group can be narrower than the group's: the widest of them count.
-        met = met.groupBy("node", "n", "grp").agg(F.count(F.lit(1)).alias("common"), F.min("least").alias("least"), F.max("most").alias("most"))
-        met = met.where(F.col("common") >= F.least(_least_common(n, low), _least_common(n, high)) - 1)
-        members = rows.select("grp", F.col("node").alias("b"), F.col("n").alias("m")).distinct()
-        opened = materialize(met.select(F.col("node").alias("a"), "n", "grp"), "opened").join(materialize(members, "members"), "grp")
-        pairs = materialize(opened.where(_within(n, F.col("m"))).select("a", "n", "b", "m").distinct(), "second")
+        members = placed.where(F.col("rest") >= _needed(F.col("n"), F.col("n"))).withColumnsRenamed({"node": "b", "n": "m", "rest": "m_rest"})
+        matrix = members.groupBy("token", F.col("grp").alias("other")).agg(F.max("m_rest").alias("most_rest"), F.min("m").alias("least"), F.max("m").alias("most"))
+        n = F.col("n")
+        needed = _needed(n, F.greatest(F.col("least"), F.ceil(n * PERCENT / 100)))
+        met = placed.join(matrix, "token").where("grp <> other and least <= n").where(n * PERCENT <= F.col("most") * 100)
+        met = met.where((F.col("most_rest") >= needed) & (F.col("rest") >= needed)).select("token", F.col("node").alias("a"), "n", "rest", F.col("other").alias("grp"))
+        opened = met.join(members, ["token", "grp"]).where("m < n or (m = n and b < a)").where(_within(n, F.col("m")))
+        return opened.where(F.least("rest", "m_rest") >= _needed(n, F.col("m"))).select("a", "n", "b", "m").distinct()
+
+    def run(self) -> DataFrame:
+        """(doc_id, n_shingles, component_id) for every row."""
+        frequent = self.spark.sparkContext.broadcast(frequent_shingles(self.docs))
+        self.prefixes = materialize(self.docs.mapInArrow(_prefixes(frequent), PREFIXES), "prefixes")
+        known = self.prefixes.where("node is not null").select("node", "doc_id", F.when(F.col("prefix").isNotNull(), F.col("doc_id")).alias("holder"))
+        self.classes = materialize(known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("holder").alias("holder")), "classes")
+        tokens = self.prefixes.where("prefix is not null").select("node", F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("place", "token"))
+        tokens = tokens.select("token", "node", "n", (F.col("n") - F.col("place")).alias("rest")).repartition("token").sortWithinPartitions("token", "node")
+        shared = materialize(tokens.mapInArrow(_postings, "token long, node long, n long, rest long"), "postings")
+        links = self.verified(materialize(self.lead_pairs(shared), "first"), "first")
+        groups = materialize(connected_components(links), "groups")
+        pairs = materialize(self.matrix_pairs(shared, groups), "second")
         if not pairs.isEmpty():
             links = links.union(self.verified(pairs, "second"))
-        parts = connected_components(links)
-        named = parts.join(self.classes, "node")
+        named = connected_components(links).join(self.classes.select("node", "doc_id"), "node")
         least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
         classes = self.classes.join(named.join(least, "component").select("node", "component_id"), "node", "left").select(
             "node", F.coalesce("component_id", "doc_id").alias("component_id")
         )
-        salted = self.profile.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+        salted = self.prefixes.select("doc_id", "n_shingles", "node", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
         seen = salted.where("node is not null").select("node", "salt").distinct().join(classes, "node")
         return salted.join(seen, ["node", "salt"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
