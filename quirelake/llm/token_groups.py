@@ -188,13 +188,13 @@ def _needed(x: Column, y: Column) -> Column:
     return F.ceil((x + y) * PERCENT / (100 + PERCENT))
 
 
-def least_common(x: int, y: int) -> int:
+def _least_common(x: Column, y: Column) -> Column:
     """Least number of shared prefix shingles with which sets of sizes x and y can link.
 
     A link needs 75 (x + y) / 175 common shingles; beyond the prefixes there are at most
     ceil(0.75 max(x, y)) - 1 of them.
     """
-    return -(-(x + y) * PERCENT // (100 + PERCENT)) + (-max(x, y) * PERCENT // 100) + 1
+    return _needed(x, y) - F.ceil(F.greatest(x, y) * PERCENT / 100) + 1
 
 
 def _bitmap(ids: DataFrame) -> np.ndarray:
@@ -207,39 +207,17 @@ def _bitmap(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (a, n, x, b, m, y), with prefixes x and y, the pairs whose prefixes share enough."""
-    for batch in batches:
-        a, n, b, m = (batch.column(i).to_numpy() for i in (0, 1, 3, 4))
-        x, y = batch.column(2), batch.column(5)
-        mask = [
-            len(np.intersect1d(x[i].values.to_numpy(), y[i].values.to_numpy(), assume_unique=True)) >= least_common(int(n[i]), int(m[i]))
-            for i in range(batch.num_rows)
-        ]
-        k = np.array(mask, bool)
-        yield _table("a long, n long, b long, m long", a=a[k], n=n[k], b=b[k], m=m[k])
-
-
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        src, dst = [], []
-        for a, n, x, b, m, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            common = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
-            if common * (100 + PERCENT) >= (n + m) * PERCENT:
-                src.append(a), dst.append(b)
-        yield _table("src long, dst long", src=src, dst=dst)
-
-
 class TokenGroupJoin:
     """The join over (doc_id, text as binary); doc_id not null."""
 
     def __init__(self, docs: DataFrame):
         self.docs, self.spark = docs, docs.sparkSession
 
-    def _with_both(self, pairs: DataFrame, found: DataFrame, value: str) -> DataFrame:
-        """(a, n, x, b, m, y): the pairs with the value of each end."""
+    def _common(self, pairs: DataFrame, found: DataFrame, value: str) -> DataFrame:
+        """The pairs and, as ``common``, how many numbers the arrays of both ends share."""
         left = pairs.join(found.select(F.col("node").alias("a"), F.col(value).alias("x")), "a").select("a", "n", "x", "b", "m")
-        return left.join(found.select(F.col("node").alias("b"), F.col(value).alias("y")), "b").select("a", "n", "x", "b", "m", "y")
+        both = left.join(found.select(F.col("node").alias("b"), F.col(value).alias("y")), "b")
+        return both.select("a", "n", "b", "m", F.size(F.array_intersect("x", "y")).alias("common"))
 
     def _holders(self, pairs: DataFrame, name: str) -> DataFrame:
         """(node, doc_id): a document with a prefix for every node of the pairs."""
@@ -251,7 +229,8 @@ class TokenGroupJoin:
         holders = self._holders(pairs, f"{name}-prefixes")
         prefixes = self.prefixes.where("prefix is not null").join(holders, ["node", "doc_id"], "left_semi").select("node", "prefix")
         prefixes = materialize(prefixes.dropDuplicates(["node"]), f"prefixes-{name}")
-        pairs = materialize(self._with_both(pairs, prefixes, "prefix").mapInArrow(_near, "a long, n long, b long, m long"), f"near-{name}")
+        near = self._common(pairs, prefixes, "prefix").where(F.col("common") >= _least_common(F.col("n"), F.col("m")))
+        pairs = materialize(near.drop("common"), f"near-{name}")
         holders = self._holders(pairs, f"{name}-sets")
         bits = self.spark.sparkContext.broadcast(_bitmap(holders.select("doc_id")))
 
@@ -261,14 +240,17 @@ class TokenGroupJoin:
                 mask = bits.value[batch.column(2).to_numpy() >> 3] >> (batch.column(2).to_numpy() & 7).astype(np.uint8) & 1
                 batch = batch.filter(pa.array(mask.astype(bool)))
                 for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-                    out = [(doc, node_of(s), s.tobytes()) for doc, s in _sets(batch.slice(at, ROWS_AT_ONCE), numbers) if len(s)]
-                    doc, node, packed = zip(*out, strict=True) if out else ((), (), ())
-                    yield _table("doc_id long, node long, shingles binary", doc_id=doc, node=node, shingles=packed)
+                    out = [(doc, node_of(s), s) for doc, s in _sets(batch.slice(at, ROWS_AT_ONCE), numbers) if len(s)]
+                    if out:
+                        doc, node, found = zip(*out, strict=True)
+                        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(np.concatenate(found).view(np.int64)))
+                        yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(node, pa.int64()), lists], names=["doc_id", "node", "shingles"])
 
         hashed = self.docs.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << MAP_BITS)).cast("int"))
-        sets = hashed.mapInArrow(extract, "doc_id long, node long, shingles binary").join(holders, ["doc_id", "node"], "left_semi")
+        sets = hashed.mapInArrow(extract, "doc_id long, node long, shingles array<long>").join(holders, ["doc_id", "node"], "left_semi")
         sets = materialize(sets.dropDuplicates(["doc_id", "node"]).select("node", "shingles"), f"sets-{name}")
-        return materialize(self._with_both(pairs, sets, "shingles").mapInArrow(_linked, "src long, dst long").distinct(), f"links-{name}")
+        linked = self._common(pairs, sets, "shingles").where(F.col("common") * (100 + PERCENT) >= (F.col("n") + F.col("m")) * PERCENT)
+        return materialize(linked.select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct(), f"links-{name}")
 
     def lead_pairs(self, shared: DataFrame) -> DataFrame:
         """(a, n, b, m): every node and the leads that most of its postings name."""
