@@ -5,6 +5,7 @@ Everything here is distributed; nothing gathers an unbounded set of rows in one
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -18,9 +19,11 @@ FEW_LINKS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where none is set (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or where all run in one JVM (tests) a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='checkpoint-')}"
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -30,11 +33,35 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
+#: Spark removes the shuffle files of a written table at once, not when the driver happens to collect garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession):
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
+def materialize(df: DataFrame, name: str = "stage", codec: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there, and a lost executor loses nothing."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, shared_path(df.sparkSession, name)
+    with shuffles_removed(spark):
+        (df.write.option("compression", codec) if codec else df.write).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` that nothing unfinished reads any more."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.written_at)
+        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,7 +110,15 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", r
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     pairs = pairs.where("a <> b")
     small = pairs.count() <= few  # rewiring never adds links
-    cut = (lambda df, name: df) if small else materialize
+    held = [pairs]  # read by the nodes until the end
+    old: list[DataFrame] = []
+
+    def cut(df: DataFrame, name: str) -> DataFrame:
+        if small:
+            return df
+        old.append(materialize(df, name))
+        return old[-1]
+
     near = F.broadcast if small else (lambda df: df)
     before = None
     for _ in range(rounds):
@@ -94,7 +129,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", r
         # Small star: every smaller neighbour, and the node itself, goes to the least of them.
         least = cut(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         moved = large.join(near(least), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        pairs = materialize(moved.union(least.select("a", F.col("m").alias("b"))).distinct(), "pairs")
+        rewired = materialize(moved.union(least.select("a", F.col("m").alias("b"))).distinct(), "pairs")
+        release(*old, *held[1:])
+        old, held = [], [held[0], rewired]
+        pairs = rewired
         now = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -38,12 +38,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import FEW_LINKS, connected_components, materialize, table
+from quirelake.llm.common import FEW_LINKS, connected_components, materialize, release, table
 from quirelake.llm.words import WordNumbers, split_words, window_hashes
 
 WIDTH, PERCENT = 5, 75
 #: One document in so many is sampled for frequent shingles; those seen so often there, and at most so many, are ordered last.
-SAMPLE_STEP, SEEN, MOST_FREQUENT = 16, 2, 500_000
+SAMPLE_STEP, SEEN, MOST_FREQUENT = 8, 2, 500_000
 LEADS, MAP_BITS, SALTS, ROWS_AT_ONCE = 2, 24, 64, 500
 #: Nodes that a task remembers so as to give the prefix of a set once.
 NODES_KNOWN = 200_000
@@ -214,43 +214,53 @@ class TokenGroupJoin:
         self.docs, self.spark = docs, docs.sparkSession
 
     def _common(self, pairs: DataFrame, found: DataFrame, value: str) -> DataFrame:
-        """The pairs and, as ``common``, how many numbers the arrays of both ends share."""
-        left = pairs.join(found.select(F.col("node").alias("a"), F.col(value).alias("x")), "a").select("a", "n", "x", "b", "m")
-        both = left.join(found.select(F.col("node").alias("b"), F.col(value).alias("y")), "b")
+        """The pairs and, as ``common``, how many numbers the arrays of both ends share; found: (node, at_a, at_b, value)."""
+        ends = [found.where(f"at_{k}").select(F.col("node").alias(k), F.col(value).alias(v)) for k, v in (("a", "x"), ("b", "y"))]
+        both = pairs.join(ends[0], "a").select("a", "n", "x", "b", "m").join(ends[1], "b")
         return both.select("a", "n", "b", "m", F.size(F.array_intersect("x", "y")).alias("common"))
 
     def _holders(self, pairs: DataFrame, name: str) -> DataFrame:
-        """(node, doc_id): a document with a prefix for every node of the pairs."""
-        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        return materialize(self.classes.select("node", F.col("holder").alias("doc_id")).join(ends, "node", "left_semi"), f"holders-{name}")
+        """(node, at_a, at_b, doc_id): a document with a prefix for every node of the pairs."""
+        ends = pairs.select(F.posexplode(F.array("a", "b")).alias("end", "node"))
+        ends = ends.groupBy("node").agg(F.bool_or(F.col("end") == 0).alias("at_a"), F.bool_or(F.col("end") == 1).alias("at_b"))
+        return materialize(self.classes.select("node", F.col("holder").alias("doc_id")).join(ends, "node"), f"holders-{name}")
 
     def verified(self, pairs: DataFrame, name: str) -> DataFrame:
         """Those of the pairs (a, n, b, m) of nodes that link: (src, dst)."""
         holders = self._holders(pairs, f"{name}-prefixes")
-        prefixes = self.prefixes.where("prefix is not null").join(holders, ["node", "doc_id"], "left_semi").select("node", "prefix")
-        prefixes = materialize(prefixes.dropDuplicates(["node"]), f"prefixes-{name}")
+        prefixes = self.prefixes.where("prefix is not null").select("doc_id", "node", "prefix").join(holders, ["node", "doc_id"])
+        prefixes = materialize(prefixes.dropDuplicates(["node"]).drop("doc_id"), f"prefixes-{name}")
         near = self._common(pairs, prefixes, "prefix").where(F.col("common") >= _least_common(F.col("n"), F.col("m")))
-        pairs = materialize(near.drop("common"), f"near-{name}")
-        holders = self._holders(pairs, f"{name}-sets")
+        near = materialize(near.drop("common"), f"near-{name}")
+        release(holders, prefixes)
+        holders = self._holders(near, f"{name}-sets")
         bits = self.spark.sparkContext.broadcast(_bitmap(holders.select("doc_id")))
 
         def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            numbers = WordNumbers()
+            """Sets of the holders and of a few others, whose bits they share; each set once a task, as far as it remembers."""
+            numbers, given = WordNumbers(), set()
             for batch in batches:
                 mask = bits.value[batch.column(2).to_numpy() >> 3] >> (batch.column(2).to_numpy() & 7).astype(np.uint8) & 1
                 batch = batch.filter(pa.array(mask.astype(bool)))
                 for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-                    out = [(doc, node_of(s), s) for doc, s in _sets(batch.slice(at, ROWS_AT_ONCE), numbers) if len(s)]
-                    if out:
-                        doc, node, found = zip(*out, strict=True)
-                        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(np.concatenate(found).view(np.int64)))
-                        yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(node, pa.int64()), lists], names=["doc_id", "node", "shingles"])
+                    out = {node_of(s): s for _, s in _sets(batch.slice(at, ROWS_AT_ONCE), numbers) if len(s)}
+                    new = {k: s for k, s in out.items() if k not in given}
+                    if len(given) >= NODES_KNOWN:
+                        given.clear()
+                    given.update(new)
+                    if new:
+                        lists = pa.ListArray.from_arrays(
+                            pa.array(np.cumsum([0, *map(len, new.values())]), pa.int32()), pa.array(np.concatenate(list(new.values())).view(np.int64))
+                        )
+                        yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.int64()), lists], names=["node", "shingles"])
 
         hashed = self.docs.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << MAP_BITS)).cast("int"))
-        sets = hashed.mapInArrow(extract, "doc_id long, node long, shingles array<long>").join(holders, ["doc_id", "node"], "left_semi")
-        sets = materialize(sets.dropDuplicates(["doc_id", "node"]).select("node", "shingles"), f"sets-{name}")
-        linked = self._common(pairs, sets, "shingles").where(F.col("common") * (100 + PERCENT) >= (F.col("n") + F.col("m")) * PERCENT)
-        return materialize(linked.select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct(), f"links-{name}")
+        sets = hashed.mapInArrow(extract, "node long, shingles array<long>").join(holders.drop("doc_id"), "node")
+        sets = materialize(sets.dropDuplicates(["node"]), f"sets-{name}")
+        linked = self._common(near, sets, "shingles").where(F.col("common") * (100 + PERCENT) >= (F.col("n") + F.col("m")) * PERCENT)
+        links = materialize(linked.select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct(), f"links-{name}")
+        release(near, holders, sets)
+        return links
 
     def lead_pairs(self, shared: DataFrame) -> DataFrame:
         """(a, n, b, m): every node and the leads that most of its postings name."""
@@ -272,7 +282,6 @@ class TokenGroupJoin:
         """
         few = groups.count() <= FEW_LINKS
         placed = shared.join(F.broadcast(groups) if few else groups, "node", "left").withColumn("grp", F.coalesce("component", "node")).drop("component")
-        placed = materialize(placed, "placed")
         members = placed.where(F.col("rest") >= _needed(F.col("n"), F.col("n"))).withColumnsRenamed({"node": "b", "n": "m", "rest": "m_rest"})
         matrix = members.groupBy("token", F.col("grp").alias("other")).agg(F.max("m_rest").alias("most_rest"), F.min("m").alias("least"), F.max("m").alias("most"))
         n = F.col("n")
@@ -291,9 +300,11 @@ class TokenGroupJoin:
         tokens = self.prefixes.where("prefix is not null").select("node", F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("place", "token"))
         tokens = tokens.select("token", "node", "n", (F.col("n") - F.col("place")).alias("rest")).repartition("token").sortWithinPartitions("token", "node")
         shared = materialize(tokens.mapInArrow(_postings, "token long, node long, n long, rest long"), "postings")
-        links = self.verified(materialize(self.lead_pairs(shared), "first"), "first")
+        first = materialize(self.lead_pairs(shared), "first")
+        links = self.verified(first, "first")
         groups = materialize(connected_components(links), "groups")
         pairs = materialize(self.matrix_pairs(shared, groups), "second")
+        release(first, shared, groups)
         if not pairs.isEmpty():
             links = links.union(self.verified(pairs, "second"))
         named = connected_components(links).join(self.classes.select("node", "doc_id"), "node")
