@@ -197,14 +197,22 @@ def _least_common(x: Column, y: Column) -> Column:
     return _needed(x, y) - F.ceil(F.greatest(x, y) * PERCENT / 100) + 1
 
 
-def _bitmap(ids: DataFrame) -> np.ndarray:
-    """2**MAP_BITS bits, set for the hashes of ids; the same size for any number of them."""
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << MAP_BITS)) + 1
-    rows = ids.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m"))
-    out = np.zeros(1 << MAP_BITS >> 3, np.uint8)
-    for r in rows.collect():
-        out[(r.b - 1) * 4096 : r.b * 4096] = np.frombuffer(bytes(r.m), np.uint8)
-    return out
+def _place() -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(1 << MAP_BITS)) + 1
+
+
+def _bitmap(ids: DataFrame) -> DataFrame:
+    """(bucket, bits): 2**MAP_BITS bits, set for the hashes of the doc_ids; the same size for any number of them."""
+    places = ids.select(_place().alias("p"))
+    return places.groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+
+
+def _marked(rows: DataFrame, bitmap: DataFrame) -> DataFrame:
+    """The rows whose doc_id has its bit set: all of the ids that made the bitmap, and a few others."""
+    at = F.bitmap_bit_position(_place())
+    placed = rows.withColumns({"bucket": F.bitmap_bucket_number(_place()), "at": at.cast("int")})
+    byte = F.conv(F.hex(F.expr("substring(bits, at div 8 + 1, 1)")), 16, 10).cast("int")
+    return placed.join(F.broadcast(bitmap), "bucket").where(byte.bitwiseAND(F.expr("shiftleft(1, at % 8)")) != 0).select(rows.columns)
 
 
 class TokenGroupJoin:
@@ -214,10 +222,11 @@ class TokenGroupJoin:
         self.docs, self.spark = docs, docs.sparkSession
 
     def _common(self, pairs: DataFrame, found: DataFrame, value: str) -> DataFrame:
-        """The pairs and, as ``common``, how many numbers the arrays of both ends share; found: (node, at_a, at_b, value)."""
+        """The pairs and, as ``common``, how many shingles both ends share at most; found: (node, at_a, at_b, value)."""
         ends = [found.where(f"at_{k}").select(F.col("node").alias(k), F.col(value).alias(v)) for k, v in (("a", "x"), ("b", "y"))]
         both = pairs.join(ends[0], "a").select("a", "n", "x", "b", "m").join(ends[1], "b")
-        return both.select("a", "n", "b", "m", F.size(F.array_intersect("x", "y")).alias("common"))
+        blurred = F.size("x") - F.size(F.array_distinct("x"))  # numbers that stand for several shingles
+        return both.select("a", "n", "b", "m", (F.size(F.array_intersect("x", "y")) + blurred).alias("common"))
 
     def _holders(self, pairs: DataFrame, name: str) -> DataFrame:
         """(node, at_a, at_b, doc_id): a document with a prefix for every node of the pairs."""
@@ -228,20 +237,20 @@ class TokenGroupJoin:
     def verified(self, pairs: DataFrame, name: str) -> DataFrame:
         """Those of the pairs (a, n, b, m) of nodes that link: (src, dst)."""
         holders = self._holders(pairs, f"{name}-prefixes")
-        prefixes = self.prefixes.where("prefix is not null").select("doc_id", "node", "prefix").join(holders, ["node", "doc_id"])
+        # 31 bits of a prefix shingle do here: shingles that they don't tell apart only let more pairs through.
+        short = F.transform("prefix", lambda t: F.pmod(t, F.lit((1 << 31) - 1)).cast("int"))
+        prefixes = _marked(self.prefixes.where("prefix is not null").select("doc_id", "node", "prefix"), _bitmap(holders))
+        prefixes = prefixes.select("doc_id", "node", short.alias("prefix")).join(holders, ["node", "doc_id"])
         prefixes = materialize(prefixes.dropDuplicates(["node"]).drop("doc_id"), f"prefixes-{name}")
         near = self._common(pairs, prefixes, "prefix").where(F.col("common") >= _least_common(F.col("n"), F.col("m")))
         near = materialize(near.drop("common"), f"near-{name}")
         release(holders, prefixes)
         holders = self._holders(near, f"{name}-sets")
-        bits = self.spark.sparkContext.broadcast(_bitmap(holders.select("doc_id")))
 
         def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """Sets of the holders and of a few others, whose bits they share; each set once a task, as far as it remembers."""
             numbers, given = WordNumbers(), set()
             for batch in batches:
-                mask = bits.value[batch.column(2).to_numpy() >> 3] >> (batch.column(2).to_numpy() & 7).astype(np.uint8) & 1
-                batch = batch.filter(pa.array(mask.astype(bool)))
                 for at in range(0, batch.num_rows, ROWS_AT_ONCE):
                     out = {node_of(s): s for _, s in _sets(batch.slice(at, ROWS_AT_ONCE), numbers) if len(s)}
                     new = {k: s for k, s in out.items() if k not in given}
@@ -254,8 +263,7 @@ class TokenGroupJoin:
                         )
                         yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.int64()), lists], names=["node", "shingles"])
 
-        hashed = self.docs.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << MAP_BITS)).cast("int"))
-        sets = hashed.mapInArrow(extract, "node long, shingles array<long>").join(holders.drop("doc_id"), "node")
+        sets = _marked(self.docs, _bitmap(holders)).mapInArrow(extract, "node long, shingles array<long>").join(holders.drop("doc_id"), "node")
         sets = materialize(sets.dropDuplicates(["node"]), f"sets-{name}")
         linked = self._common(near, sets, "shingles").where(F.col("common") * (100 + PERCENT) >= (F.col("n") + F.col("m")) * PERCENT)
         links = materialize(linked.select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct(), f"links-{name}")
