@@ -200,7 +200,7 @@ def reference_block(text: Column) -> Column:
 
 def split_entries(block: Column) -> Column:
     """Reference entries; lines that start none continue the one before."""
-    lines = F.filter(F.transform(F.split(block, "\n"), F.trim), lambda s: s != "")
+    lines = F.filter(F.transform(F.split(block, "\n"), lambda s: F.trim(s)), lambda s: s != "")
     step = lambda acc, s: F.when(is_reference_start(s) | (F.size(acc) == 0), F.concat(acc, F.array(s))).otherwise(
         F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.concat_ws(" ", F.get(acc, F.size(acc) - 1), s)))
     )
@@ -239,13 +239,13 @@ def entry_title(text: Column) -> Column:
     quoted = F.regexp_extract_all(text, F.lit(r"[\"“”]([^\"“”]+)[\"“”]"), F.lit(1))
     longest = F.aggregate(quoted, F.lit(""), lambda acc, q: F.when(F.length(q) > F.length(acc), q).otherwise(acc))
     after = F.trim(F.regexp_extract(text, r"\(?\b(?:19|20)\d{2}\b\)?[).,;:\- ]*([^.]+)", 1))
-    parts = F.filter(F.transform(F.split(text, r"\."), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(text, r"\."), lambda s: F.trim(s)), lambda p: p != "")
     return F.coalesce(blank_to_null(longest), blank_to_null(after), F.get(parts, 1), F.get(parts, 0), F.substring(text, 1, 200))
 
 
 def entry_authors(text: Column) -> Column:
     head = F.when(entry_year(text) != "", F.regexp_replace(F.call_function("substring_index", text, entry_year(text), F.lit(1)), r"\($", "")).otherwise(text)
-    parts = F.filter(F.transform(F.split(head, r"\."), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(head, r"\."), lambda s: F.trim(s)), lambda p: p != "")
     return F.coalesce(F.get(parts, 0), F.trim(head))
 
 
@@ -351,11 +351,11 @@ def name_norm(name: Column) -> Column:
 
 
 def author_list(authors: Column) -> Column:
-    return F.filter(F.transform(F.split(authors, r"\s+and\s+"), F.trim), lambda a: a != "")
+    return F.filter(F.transform(F.split(authors, r"\s+and\s+"), lambda s: F.trim(s)), lambda a: a != "")
 
 
 def comma_list(authors: Column) -> Column:
-    return F.filter(F.transform(F.split(authors, ","), F.trim), lambda a: a != "")
+    return F.filter(F.transform(F.split(authors, ","), lambda s: F.trim(s)), lambda a: a != "")
 
 
 def word_jaccard(a: Column, b: Column) -> Column:

@@ -116,7 +116,7 @@ def normalised_literature(rows: DataFrame, source: str) -> DataFrame:
     """Any source's columns as the literature schema; a text of authors splits at commas."""
     has = lambda c, kind: F.col(c).cast(kind) if c in rows.columns else F.lit(None).cast(kind)
     kinds = dict(rows.dtypes)
-    authors = has("authors", "array<string>") if kinds.get("authors", "array<string>").startswith("array") else F.filter(F.transform(F.split("authors", ","), F.trim), lambda a: a != "")
+    authors = has("authors", "array<string>") if kinds.get("authors", "array<string>").startswith("array") else F.filter(F.transform(F.split("authors", ","), lambda s: F.trim(s)), lambda a: a != "")
     year = F.coalesce(has("year", "string"), F.substring(has("published", "string"), 1, 4))
     return rows.select(
         F.lit(source).alias("source"), has("title", "string").alias("title"), authors.alias("authors"), year.alias("year"), has("doi", "string").alias("doi"), has("arxiv_id", "string").alias("arxiv_id"),
