@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quirelake.llm.common import shared_path, table
-from quirelake.llm.tokens import PieceTokenizer
+from quirelake.llm.tokens import kept_tokenizer
 
 SEQUENCE, WINDOW_SEQUENCES, END = 2048, 16, 1
 TEXTS_AT_ONCE, QUEUE_BUCKET_ROWS, ROUND_GROUP = 256, 2000, 1024
@@ -33,16 +33,16 @@ PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa
 
 
 def tokenize(documents: DataFrame, tokenizer_path: str, end: int = END) -> DataFrame:
-    """(uid, doc_id, source, n, ids) for every row, written once: ids as little-endian uint32, or uint16 where all fit."""
+    """(uid, doc_id, source, n, ids) for every row, written once: ids as little-endian uint32, or uint16 where the vocabulary fits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = PieceTokenizer(tokenizer_path)
+        tokenizer = kept_tokenizer(tokenizer_path)
+        last = tokenizer.packed([end])
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
                 part = batch.slice(at, TEXTS_AT_ONCE)
-                found = [np.append(x, np.uint32(end)) for x in tokenizer.batch(part.column(3).to_pylist())]
-                ids = [x.astype("<u2").tobytes() if x.max() < 1 << 16 else x.astype("<u4").tobytes() for x in found]
-                n = pa.array([len(x) for x in found], pa.int64())
+                ids = [tokenizer.encoded(x) + last for x in part.column(3).to_pylist()]
+                n = pa.array([len(x) // tokenizer.width for x in ids], pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), n, pa.array(ids, pa.binary())], schema=TOKENS)
 
     rows = documents.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("bigint"), F.col("source").cast("string"), F.col("text").cast("string"))
