@@ -6,6 +6,7 @@ Everything here is distributed; nothing gathers an unbounded set of rows in one
 from __future__ import annotations
 
 import contextlib
+import json
 import tempfile
 import uuid
 
@@ -64,6 +65,23 @@ def release(*tables: DataFrame) -> None:
         path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """These names, with underscores before them until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
+def literal_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """A small table of the driver's, read from one JSON literal in the JVM."""
+    return spark.range(0, 1, 1, 1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

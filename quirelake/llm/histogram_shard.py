@@ -24,12 +24,14 @@ from bisect import bisect_left
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import materialize, table, unsigned_crc32
+from quirelake.llm.common import free_names, literal_table, materialize, table, unsigned_crc32
 
 #: Bits of each of the two hashes, and the bits that one round of probes resolves.
 KEY_BITS, ROUND_BITS = 60, 12
 #: Bytes of text that one exchanged key range should hold, and the least and most ranges of a shard.
 RANGE_BYTES, LEAST_RANGES, MOST_RANGES = 256 << 20, 8, 2048
+#: Columns that the work adds for a while; those of the documents that are called so are renamed meanwhile.
+OWN_NAMES = {"_k1", "_k2", "_range", "_row", "_start", "_head", "_base", "_within"}
 
 
 def text_bytes(text: Column) -> Column:
@@ -57,7 +59,7 @@ class Splitters:
         parent = F.shiftleft(F.shiftright("k1", KEY_BITS - level), KEY_BITS - level) if level else F.lit(0).cast("bigint")
         rows = self.keys.withColumn("bin", parent)
         if level:
-            wanted = self.keys.sparkSession.createDataFrame([(b,) for b in sorted(bins)], "bin bigint").coalesce(1)
+            wanted = literal_table(self.keys.sparkSession, [{"bin": b} for b in sorted(bins)], "bin:bigint")
             rows = rows.join(F.broadcast(wanted), "bin", "left_semi")  # at most one row for each splitter
         low = F.shiftleft(F.shiftright("k1", KEY_BITS - width), KEY_BITS - width)
         sums = rows.groupBy("bin", low.alias("low")).agg(F.sum("size").alias("bytes"), (F.min("k1") == F.max("k1")).alias("one"))
@@ -119,6 +121,12 @@ def histogram_shards(
     bin that holds it is within tolerance, or cannot be cut (one text, in groups within their tolerance).
     """
     spark = documents.sparkSession
+    clashing = [c for c in documents.columns if c.lower() in OWN_NAMES]
+    if clashing:
+        apart = dict(zip(clashing, free_names(documents, *[f"kept{c}" for c in clashing]), strict=True))
+        renamed = {"text": apart.get(text, text), "doc_id": apart.get(doc_id, doc_id)}
+        out = histogram_shards(documents.withColumnsRenamed(apart), shards, **renamed, tolerance=tolerance, group_tolerance=group_tolerance, seed=seed)
+        return out.withColumnsRenamed({v: k for k, v in apart.items()})
     rows = documents.drop("size", "text_crc32", "law", "shard", "slot", "grown_shard").withColumns(
         {"_k1": _hash60(F.col(text), seed), "_k2": _hash60(F.col(doc_id), seed + 1), "size": text_bytes(F.col(text)), "text_crc32": unsigned_crc32(F.col(text))}
     )
@@ -145,7 +153,7 @@ def histogram_shards(
         offset = 0 if r % per == 0 else offset
         first.append(offset)
         offset += sums.get(r, 0)
-    starts = spark.createDataFrame([(r, r // per, first[r]) for r in range(n)], "_range int, shard int, _start bigint").coalesce(1)
+    starts = literal_table(spark, [{"_range": r, "shard": r // per, "_start": first[r]} for r in range(n)], "_range:int,shard:int,_start:bigint")
     order = Window.partitionBy("_range").orderBy("_k1", "_k2")
     return (
         ranged.withColumn("_row", F.row_number().over(order)).join(F.broadcast(starts), "_range")  # one row for each range
@@ -165,9 +173,8 @@ def _with_range(rows: DataFrame, found: list[tuple[int, int]], bits: int) -> Dat
     within: dict[int, list[tuple[int, int]]] = {}
     for head, splitter in zip(heads, found, strict=True):
         within.setdefault(head, []).append(splitter)
-    lookup = rows.sparkSession.createDataFrame(
-        [(h, bisect_left(heads, h), within.get(h, [])) for h in range(1 << bits)], "_head bigint, _base int, _within array<struct<a:bigint,b:bigint>>"
-    ).coalesce(1)
+    heads_rows = [{"_head": h, "_base": bisect_left(heads, h), "_within": [{"a": a, "b": b} for a, b in within.get(h, [])]} for h in range(1 << bits)]
+    lookup = literal_table(rows.sparkSession, heads_rows, "_head:bigint,_base:int,_within:array<struct<a:bigint,b:bigint>>")
     at_or_below = lambda s: (F.col("_k1") > s["a"]) | ((F.col("_k1") == s["a"]) & (F.col("_k2") >= s["b"]))
     return (
         rows.withColumn("_head", F.shiftright("_k1", shift)).join(F.broadcast(lookup), "_head")

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import materialize, table
+from quirelake.llm.common import free_names, materialize, table
 
 #: The largest mean inverted in one piece, and the sources that may be broadcast.
 SPLIT, BROADCAST_SOURCES = 16, 10_000
@@ -76,13 +76,15 @@ def poisson_mix(
     # Sources are few as a rule, and then go to every executor; past the bound both sides are exchanged and Spark splits hot sources.
     few = rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     ident = F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))
-    draw = lambda j: F.size(F.filter("_cdf", lambda c: c <= hashed_uniform(F.lit(str(seed)), ident, j.cast("string"))))
-    counted = documents.join(F.broadcast(rates) if few else rates, documents[source].eqNullSafe(F.col("_source"))).withColumn(
-        "_count", F.aggregate(F.sequence(F.lit(1), F.col("_parts")), F.lit(0), lambda acc, j: acc + draw(j))
+    of, law, count = free_names(documents, "_source", "_law", "_count")
+    rates = rates.select(F.col("_source").alias(of), F.struct("_parts", "_cdf").alias(law))
+    draw = lambda j: F.size(F.filter(F.col(law)["_cdf"], lambda c: c <= hashed_uniform(F.lit(str(seed)), ident, j.cast("string"))))
+    counted = documents.join(F.broadcast(rates) if few else rates, documents[source].eqNullSafe(F.col(of))).withColumn(
+        count, F.aggregate(F.sequence(F.lit(1), F.col(law)["_parts"]), F.lit(0), lambda acc, j: acc + draw(j))
     )
     copies = (
-        counted.where("_count > 0").drop("rate", "_parts", "_cdf", "_source")
-        .withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_count") - 1))).drop("_count")
+        counted.where(F.col(count) > 0).drop(law, of)
+        .withColumn("copy", F.explode(F.sequence(F.lit(0), F.col(count) - 1))).drop(count)
         .withColumn("shuffle_key", F.substring(F.md5(F.concat_ws(":", F.lit(f"shuffle{seed}"), ident, F.col("copy").cast("string"))), 1, 16))
     )
     return copies.repartition(F.col("shuffle_key")).sortWithinPartitions("shuffle_key")
