@@ -11,9 +11,10 @@ argument absent or null, one of another type, or one the schema doesn't name), `
 (a dependency that no call of the conversation has), ``cycle``, else ``ok``; the first that holds
 in the order orphan, bad_json, unknown_tool, bad_arguments, bad_dependency, cycle, unanswered.
 Where an identifier repeats within a conversation the first call by (turn, pos) and the first
-result by turn count and the others are dropped as repeats; null conversation ids are one
-conversation; null identifiers link with nothing; an empty table gives no rows; further columns
-are ignored.
+result by turn count and the others are dropped as repeats. A call or a result with a null
+identifier is a row of its own and links with nothing. Null conversation ids are one conversation.
+``level`` is the longest path of dependencies that ends at the call, 0 without any; null in or
+behind a cycle and for orphans. An empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import materialize, table
+from quirelake.llm.common import materialize, release, table
 
 CALLS = "conv_id bigint, turn bigint, pos int, call_id string, name string, arguments string, depends_on array<string>"
 RESULTS = "conv_id bigint, turn bigint, call_id string, content string"
@@ -77,55 +78,47 @@ def _argument_errors(schemas: dict[str, dict[str, tuple[str, bool]]]) -> Column:
     return broken
 
 
-def call_levels(calls: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level): 0 for all calls of conversations whose dependencies all point to earlier
-    positions (position is then a topological order); elsewhere the longest dependency path, or null in or behind a cycle.
+def call_levels(calls: DataFrame, edges: DataFrame) -> DataFrame:
+    """(call, level): the longest path of ``edges`` (call, needs) from each call; null in or behind a cycle.
 
-    Only conversations with a forward dependency take rounds, one for each level.
+    Walks are doubled: from the pairs that 2**k steps join, and each call's longest walk of fewer
+    steps, follow both for k + 1. So rounds grow with the logarithm of the longest path. A walk of as
+    many steps as there are calls with dependencies runs in a cycle.
     """
-    key = lambda a, b: F.col(f"{a}.conv_id").eqNullSafe(F.col(f"{b}.conv_id"))
-    edges = calls.select("conv_id", "call_id", "turn", "pos", F.explode("depends_on").alias("dep"))
-    known = edges.alias("e").join(calls.alias("c"), key("e", "c") & (F.col("e.dep") == F.col("c.call_id"))).select(
-        "e.conv_id", "e.call_id", "e.dep", (F.struct("c.turn", "c.pos") >= F.struct("e.turn", "e.pos")).alias("forward")
-    )
-    known = materialize(known, "dependencies")
-    tangled = materialize(known.where("forward").select("conv_id").distinct(), "tangled")
-    if tangled.isEmpty():
-        return calls.select("conv_id", "call_id", F.lit(0).alias("level"))
-    inside = calls.alias("c").join(tangled.alias("t"), key("c", "t"), "left_semi").select("conv_id", "call_id")
-    within = materialize(known.alias("k").join(tangled.alias("t"), key("k", "t"), "left_semi").select("conv_id", "call_id", "dep"), "within")
-    level, waiting = 0, within
-    done = materialize(inside.alias("i").join(within.alias("w"), key("i", "w") & (F.col("i.call_id") == F.col("w.call_id")), "left_anti").withColumn("level", F.lit(0)), "levels")
-    front = done
-    while not front.isEmpty():
-        level += 1
-        rest = materialize(waiting.alias("w").join(front.alias("f"), key("w", "f") & (F.col("w.dep") == F.col("f.call_id")), "left_anti"), "waiting")
-        free = waiting.select("conv_id", "call_id").distinct().alias("w").join(rest.alias("r"), key("w", "r") & (F.col("w.call_id") == F.col("r.call_id")), "left_anti")
-        front = materialize(free.withColumn("level", F.lit(level)), "levels")
-        done, waiting = done.union(front), rest
-    stuck = waiting.select("conv_id", "call_id").distinct().withColumn("level", F.lit(None).cast("int"))
-    plain = calls.alias("c").join(tangled.alias("t"), key("c", "t"), "left_anti").select("conv_id", "call_id", F.lit(0).alias("level"))
-    return plain.union(done).union(stuck)
+    walks = materialize(edges.distinct(), "walks")
+    levels = calls.select("call", F.lit(0).alias("level"))
+    longest, steps = walks.select("call").distinct().count(), 1
+    held: list[DataFrame] = []
+    while steps <= longest and not walks.isEmpty():
+        onward = walks.join(levels.withColumnsRenamed({"call": "needs", "level": "_on"}), "needs").groupBy("call").agg((F.max("_on") + steps).alias("_on"))
+        levels = materialize(levels.join(onward, "call", "left").select("call", F.greatest("level", "_on").alias("level")), "levels")
+        twice = materialize(walks.join(walks.select(F.col("call").alias("needs"), F.col("needs").alias("_far")), "needs").select("call", F.col("_far").alias("needs")).distinct(), "walks")
+        release(*held, walks)
+        held, walks, steps = [levels], twice, 2 * steps
+    endless = walks.select("call").distinct().withColumn("_endless", F.lit(True))
+    return levels.join(endless, "call", "left").select("call", F.when(F.col("_endless").isNull(), F.col("level")).alias("level"))
 
 
 def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]]) -> DataFrame:
     """(conv_id, level, turn, pos, call_id, name, status, json), one row for each call and each orphan result."""
     order = F.struct("turn", "pos")
-    calls = calls.groupBy("conv_id", "call_id").agg(F.min_by(F.struct("turn", "pos", "name", "arguments", "depends_on"), order).alias("c")).select("conv_id", "call_id", "c.*")
-    calls = materialize(calls, "calls")
-    results = results.groupBy("conv_id", "call_id").agg(F.min_by(F.struct("content", "turn"), F.col("turn")).alias("r")).select(
-        F.col("conv_id").alias("_rc"), F.col("call_id").alias("_ri"), "r.content", F.col("r.turn").alias("_rt")
+    apart = F.when(F.col("call_id").isNull(), F.monotonically_increasing_id())  # no identifier, no repeat
+    calls = calls.withColumn("_apart", apart).groupBy("conv_id", "call_id", "_apart")
+    calls = calls.agg(F.min_by(F.struct("turn", "pos", "name", "arguments", "depends_on"), order).alias("c")).select("conv_id", "call_id", "c.*")
+    calls = materialize(calls.withColumn("call", F.monotonically_increasing_id()), "calls")
+    results = results.withColumn("_apart", apart).groupBy("conv_id", "call_id", "_apart").agg(F.min_by(F.struct("content", "turn"), F.col("turn")).alias("r")).select(
+        F.col("conv_id").alias("_rc"), F.col("call_id").alias("_ri"), "r.content", F.col("r.turn").alias("_rt"), F.lit(True).alias("_answer")
     )
-    levels = call_levels(calls).select(F.col("conv_id").alias("_lc"), F.col("call_id").alias("_li"), "level")
-    lacking = (
-        calls.select("conv_id", "call_id", F.explode("depends_on").alias("dep")).alias("e")
-        .join(calls.alias("c"), F.col("e.conv_id").eqNullSafe(F.col("c.conv_id")) & (F.col("e.dep") == F.col("c.call_id")), "left_anti")
-        .select(F.col("conv_id").alias("_bc"), F.col("call_id").alias("_bi")).distinct().withColumn("_bad", F.lit(True))
-    )
-    same = lambda a, b: F.col("conv_id").eqNullSafe(F.col(a)) & (F.col("call_id") == F.col(b))
-    linked = calls.join(levels, same("_lc", "_li"), "left").join(lacking, same("_bc", "_bi"), "left")
-    linked = linked.join(results.hint("shuffle_hash"), same("_rc", "_ri"), "full")
-    is_call = F.col("turn").isNotNull()
+    needs = calls.select("conv_id", "call", F.explode("depends_on").alias("dep"))
+    found = calls.select(F.col("conv_id").alias("_nc"), F.col("call_id").alias("dep_id"), F.col("call").alias("needs"))
+    met = needs.join(found, F.col("conv_id").eqNullSafe(F.col("_nc")) & (F.col("dep") == F.col("dep_id")), "left").select("call", "needs")
+    met = materialize(met, "dependencies")
+    levels = call_levels(calls, met.where("needs is not null"))
+    lacking = met.where("needs is null").select("call").distinct().withColumn("_bad", F.lit(True))
+    linked = calls.join(levels, "call", "left").join(lacking, "call", "left")
+    same = F.col("conv_id").eqNullSafe(F.col("_rc")) & (F.col("call_id") == F.col("_ri"))
+    linked = linked.join(results.hint("shuffle_hash"), same, "full")
+    is_call = F.col("call").isNotNull()
     parsed = linked.withColumn("_v", F.try_parse_json("arguments"))
     shape = F.schema_of_variant("_v")
     status = (
@@ -135,7 +128,7 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dic
         .when(_argument_errors(schemas), "bad_arguments")
         .when(F.col("_bad"), "bad_dependency")
         .when(F.col("level").isNull(), "cycle")
-        .when(F.col("_ri").isNull(), "unanswered")
+        .when(F.col("_answer").isNull(), "unanswered")
         .otherwise("ok")
     )
     text = lambda c: F.when(F.col(c).isNull(), F.lit("null")).otherwise(F.substring(F.to_json(F.array(c)), F.lit(2), F.length(F.to_json(F.array(c))) - 2))
@@ -144,7 +137,7 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dic
         F.lit(',"name":'), text("name"), F.lit(',"result":'), text("content"), F.lit("}"),
     )
     return parsed.withColumn("_id", F.coalesce("call_id", "_ri")).select(
-        F.coalesce("conv_id", "_rc").alias("conv_id"), "level", F.coalesce("turn", "_rt").alias("turn"), F.coalesce("pos", F.lit(0)).alias("pos"),
+        F.coalesce("conv_id", "_rc").alias("conv_id"), "level", F.when(is_call, F.col("turn")).otherwise(F.col("_rt")).alias("turn"), F.coalesce("pos", F.lit(0)).alias("pos"),
         F.col("_id").alias("call_id"), "name", status.alias("status"), line.alias("json"),
     )
 
@@ -157,14 +150,16 @@ def op2_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP2_SQL = """
-WITH u AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'), a AS (SELECT * FROM conversations WHERE role = 'assistant')
-SELECT coalesce(u.conv_id, a.conv_id) AS conv_id, CASE WHEN u.turn IS NOT NULL THEN 0 END::INTEGER AS level, coalesce(u.turn, a.turn) AS turn, 0::INTEGER AS pos,
+WITH u AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'), a AS (SELECT * FROM conversations WHERE role = 'assistant'),
+chains AS (SELECT conv_id, turn, turn - 2 * row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS chain FROM (SELECT DISTINCT conv_id, turn FROM u)),
+levels AS (SELECT conv_id, turn, (row_number() OVER (PARTITION BY conv_id, turn % 2, chain ORDER BY turn) - 1)::INTEGER AS level FROM chains)
+SELECT coalesce(u.conv_id, a.conv_id) AS conv_id, levels.level, coalesce(u.turn, a.turn) AS turn, 0::INTEGER AS pos,
   coalesce(u.conv_id || ':' || u.turn, a.conv_id || ':' || (a.turn - 1)) AS call_id, CASE WHEN u.turn IS NOT NULL THEN 'reply' END AS name,
   CASE WHEN u.turn IS NULL THEN 'orphan' WHEN u.text IS NULL THEN 'bad_arguments' WHEN a.turn IS NULL THEN 'unanswered' ELSE 'ok' END AS status,
   '{"arguments":' || CASE WHEN u.turn IS NULL THEN 'null' ELSE '{' || CASE WHEN u.text IS NULL THEN '' ELSE '"text":' || to_json(u.text)::VARCHAR || ',' END || '"turn":' || u.turn || '}' END
   || ',"id":' || to_json(coalesce(u.conv_id || ':' || u.turn, a.conv_id || ':' || (a.turn - 1)))::VARCHAR
   || ',"name":' || CASE WHEN u.turn IS NULL THEN 'null' ELSE '"reply"' END || ',"result":' || coalesce(to_json(a.text)::VARCHAR, 'null') || '}' AS json
-FROM u FULL JOIN a ON u.conv_id = a.conv_id AND a.turn = u.turn + 1
+FROM u FULL JOIN a ON u.conv_id = a.conv_id AND a.turn = u.turn + 1 LEFT JOIN levels ON levels.conv_id = u.conv_id AND levels.turn = u.turn
 """
 
 QUERIES = {"op2_tool_calls": op2_tool_calls}

@@ -1,11 +1,13 @@
 import json
+import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quirelake.llm.common import connected_components
 from quirelake.llm.cover_tree import CoverTree, dual_links, near_duplicates, unit
-from quirelake.llm.tool_calls import SCHEMAS, link_tool_calls, parse_messages, turns_as_calls
+from quirelake.llm.tool_calls import CALLS, RESULTS, SCHEMAS, link_tool_calls, parse_messages, turns_as_calls
 
 
 def vectors(n=260, seed=0, groups=6, dim=16):
@@ -95,7 +97,46 @@ def test_topological_order(spark):
     assert (got["c"].level, got["a"].level, got["b"].level) == (0, 1, 2)
     assert got["d"].status == got["e"].status == "cycle"
     backward = link(spark, [("assistant", call("a", {"q": "1"})), ("assistant", call("b", {"q": "2"}, after=["a"]))])
-    assert (backward["a"].level, backward["b"].level) == (0, 0) and backward["a"].turn < backward["b"].turn
+    assert (backward["a"].level, backward["b"].level) == (0, 1) and backward["a"].turn < backward["b"].turn
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_levels_by_brute_force(spark, seed):
+    """Random dependencies, forward and backward, some in cycles, some on calls that don't exist; a long chain beside them."""
+    rng = random.Random(seed)
+    rows = [(c, t, 0, f"k{t}", "search", '{"q":"x"}', [f"k{rng.randrange(14)}" for _ in range(rng.choice([0, 0, 1, 2]))]) for c in (1, 2, None) for t in range(12)]
+    rows += [(3, t, 0, f"k{t}", "search", '{"q":"x"}', [f"k{t + 1}"] if t < 40 else []) for t in range(41)]
+    got = {(r.conv_id, r.call_id): (r.level, r.status) for r in link_tool_calls(spark.createDataFrame(rows, CALLS), spark.createDataFrame([], RESULTS), TOOLS).collect()}
+    needs = {(r[0], r[3]): [(r[0], d) for d in r[6]] for r in rows}
+
+    def level(k, path=()):
+        if k in path:
+            return None
+        below = [level(d, (*path, k)) for d in needs[k] if d in needs]
+        return None if None in below else max(below, default=-1) + 1
+
+    for k in needs:
+        want = "bad_dependency" if any(d not in needs for d in needs[k]) else "cycle" if level(k) is None else "unanswered"
+        assert got[k] == (level(k), want), k
+
+
+def test_odd_calls(spark):
+    """Null and repeated identifiers, null conversations, null and very long arguments, clashing columns, empty tables."""
+    long = json.dumps({"q": "y" * 300_000})
+    rows = [
+        (1, 0, 0, None, "search", '{"q":"1"}', None), (1, 0, 0, None, "search", '{"q":"1"}', None), (1, 1, 0, None, "search", None, ["a"]), (1, 2, 0, "a", "search", '{"q":"2"}', [None]),
+        (1, 2, 1, "a", "search", '{"q":"3"}', []), (None, 0, 0, "a", None, '{"q":"4"}', []), (None, None, None, "b", "search", long, ["a", "a"]), (2, 0, 0, "", "search", "", []),
+    ]
+    answers = [(1, 3, None, "lost"), (1, 3, None, "lost"), (1, 9, "a", "late"), (1, 4, "a", None), (None, 1, "b", "r"), (2, 0, "", "")]
+    clash = {c: F.lit("z") for c in ("call", "needs", "level", "_rt", "_answer", "json")}
+    calls, results = spark.createDataFrame(rows, CALLS), spark.createDataFrame(answers, RESULTS)
+    got = link_tool_calls(calls.withColumns(clash), results.withColumns(clash), TOOLS).collect()
+    shown = sorted(((r.conv_id, r.call_id, r.level, r.turn, r.status) for r in got), key=str)
+    assert shown == sorted([
+        (1, None, 0, 0, "unanswered"), (1, None, 0, 0, "unanswered"), (1, None, 1, 1, "bad_json"), (1, "a", 0, 2, "bad_dependency"), (None, "a", 0, 0, "unknown_tool"), (None, "b", 1, None, "ok"),
+        (2, "", 0, 0, "bad_json"), (1, None, None, 3, "orphan"), (1, None, None, 3, "orphan"),
+    ], key=str)
+    assert link_tool_calls(calls.where("false"), results.where("false"), TOOLS).count() == 0
 
 
 def test_chats(spark):
