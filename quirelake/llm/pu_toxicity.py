@@ -129,9 +129,11 @@ def _feature_counts(sample: DataFrame) -> DataFrame:
 def toxicity_model(rows: DataFrame, labels: DataFrame, column: str = "toxic", prior: float | None = None) -> tuple[float, list[str], NonNegativePU | None]:
     """The prior, the vocabulary and the classifier fitted on rows (doc_id, text); no classifier without examples."""
     if prior is None:
-        prior = training_labels(labels, column, 1 << 30).agg(F.avg("y")).first()[0] or 0.0
+        prior = labels.where(~held_out(F.col("doc_id"))).agg(F.avg(F.col(column).cast("double"))).first()[0] or 0.0
     one = training_labels(labels.where(F.col(column) == 1), column, MAX_POSITIVE).select("doc_id", F.lit(True).alias("in_p"))
-    any_ = training_labels(labels.withColumn(column, F.lit(0)), column, MAX_UNLABELLED).select("doc_id", F.lit(True).alias("in_u"))
+    # U: documents of any kind, labelled or not, outside the held-out fold; the least hashes of their ids.
+    outside = rows.select("doc_id").where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).distinct()
+    any_ = outside.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_UNLABELLED).withColumn("in_u", F.lit(True))
     chosen = one.join(any_, "doc_id", "full").select("doc_id", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("in_p", "in_u")])
     chosen = materialize(chosen, "sample-ids")
     # At most MAX_POSITIVE + MAX_UNLABELLED ids, so they may go to every executor.
@@ -162,8 +164,10 @@ def with_toxicity(
     prior: float | None = None,
     text: str = "text",
     doc_id: str = "doc_id",
+    score_name: str = "score",
+    predicted_name: str = "predicted",
 ) -> DataFrame:
-    """``documents`` with score and predicted. ``prior``: share of toxic texts; None: that of the labels outside the held-out fold."""
+    """``documents`` with score and predicted (under the names given, in place of columns so called). ``prior``: share of toxic texts; None: that of the labels outside the held-out fold."""
     rows = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     prior, features, model = toxicity_model(rows, labels, column, prior)
     score = F.lit(float(prior))
@@ -178,7 +182,7 @@ def with_toxicity(
                 yield pd.Series(model.score([vocabulary(t) for t in batch]))
 
         score = scored(F.col(text).cast("string"))
-    return documents.withColumn("score", score).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return documents.withColumn(score_name, score).withColumn(predicted_name, (F.col(score_name) >= threshold).cast("int"))
 
 
 def toxicity_scores(documents: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
