@@ -9,13 +9,16 @@ import contextlib
 import json
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of one key are dealt over so many partial groups before they meet.
 SALTS = 64
-#: Links of at most so many rows are small enough for their minima to be broadcast (16 bytes a row).
+#: Links of at most so many rows fit one task, and node tables of at most so many a broadcast (16 bytes a row).
 FEW_LINKS = 500_000
 
 
@@ -113,49 +116,54 @@ def group_ids(rows: DataFrame, key: str, row_id: str, salts: int = SALTS) -> Dat
     )
 
 
+def _least_reachable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, component) of all the links (a, b) of one task: the roots of both ends of a link meet at the lesser one, until none differ."""
+    found = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if not found:
+        return
+    ends = np.concatenate([x for pair in found for x in pair[:1]] + [pair[1] for pair in found])
+    nodes, at = np.unique(ends, return_inverse=True)
+    u, v = at[: len(at) // 2], at[len(at) // 2 :]
+    root = np.arange(len(nodes))
+    while (root[u] != root[v]).any():
+        np.minimum.at(root, np.maximum(root[u], root[v]), np.minimum(root[u], root[v]))
+        while (root[root] != root).any():
+            root = root[root]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root])], names=["node", "component"])
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", rounds: int = 60, few: int = FEW_LINKS) -> DataFrame:
     """(node, component) for every endpoint; component is the least node reachable.
 
-    Alternates large-star and small-star rewiring: each round sums neighbour minima with a
-    map-side combine and joins them back. Up to ``few`` links, which are counted, the minima are
-    broadcast; beyond, both sides are exchanged, so that a hot centre is a skewed join that Spark
-    splits. Each round is written to the shared folder; the number of rounds grows with the
-    logarithm of the longest path. Self loops and repeated links are allowed; no edges give no rows.
+    Up to ``few`` different links, which are counted, one task settles them (16 bytes a link). Beyond,
+    large-star and small-star rewiring alternate: each round sums neighbour minima with a map-side
+    combine and joins them back, so that a hot centre is a skewed join that Spark splits. Each round is
+    written to the shared folder; their number grows with the logarithm of the longest path. Both give
+    the same rows. Self loops and repeated links are allowed; no edges give no rows.
     """
-    pairs = materialize(
-        edges.select(F.greatest(src, dst).alias("a"), F.least(src, dst).alias("b")).where("a is not null and b is not null").distinct(), "edges"
-    )
+    links = edges.select(F.greatest(src, dst).cast("bigint").alias("a"), F.least(src, dst).cast("bigint").alias("b"))
+    first = pairs = materialize(links.where("a is not null and b is not null").distinct(), "edges")
+    if pairs.count() <= few:
+        return pairs.coalesce(1).mapInArrow(_least_reachable, "node long, component long")
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     pairs = pairs.where("a <> b")
-    small = pairs.count() <= few  # rewiring never adds links
-    held = [pairs]  # read by the nodes until the end
-    old: list[DataFrame] = []
-
-    def cut(df: DataFrame, name: str) -> DataFrame:
-        if small:
-            return df
-        old.append(materialize(df, name))
-        return old[-1]
-
-    near = F.broadcast if small else (lambda df: df)
     before = None
     for _ in range(rounds):
         # Large star: every larger neighbour goes to the least of the neighbourhood.
         both = pairs.union(pairs.select("b", "a"))
-        least = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
-        large = cut(both.join(near(least), "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
+        least = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+        large = materialize(both.join(least, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
         # Small star: every smaller neighbour, and the node itself, goes to the least of them.
-        least = cut(large.groupBy("a").agg(F.min("b").alias("m")), "least")
-        moved = large.join(near(least), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        rewired = materialize(moved.union(least.select("a", F.col("m").alias("b"))).distinct(), "pairs")
-        release(*old, *held[1:])
-        old, held = [], [held[0], rewired]
+        lesser = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "least")
+        moved = large.join(lesser, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        rewired = materialize(moved.union(lesser.select("a", F.col("m").alias("b"))).distinct(), "pairs")
+        release(least, large, lesser, *([pairs] if before else []))
         pairs = rewired
         now = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before = now
     else:
-        raise RuntimeError(f"components did not settle within {rounds} rounds")
+        raise RuntimeError(f"components of {first.written_at} did not settle within {rounds} rounds")
     least = pairs.groupBy("a").agg(F.min("b").alias("m"))
-    return nodes.join(near(least), nodes["node"] == least["a"], "left").select("node", F.coalesce("m", "node").alias("component"))
+    return nodes.join(least, nodes["node"] == least["a"], "left").select("node", F.coalesce("m", "node").alias("component"))

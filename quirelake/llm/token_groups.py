@@ -303,6 +303,7 @@ class TokenGroupJoin:
         """(doc_id, n_shingles, component_id) for every row."""
         frequent = self.spark.sparkContext.broadcast(frequent_shingles(self.docs))
         self.prefixes = materialize(self.docs.mapInArrow(_prefixes(frequent), PREFIXES), "prefixes")
+        frequent.destroy()
         known = self.prefixes.where("node is not null").select("node", "doc_id", F.when(F.col("prefix").isNotNull(), F.col("doc_id")).alias("holder"))
         self.classes = materialize(known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("holder").alias("holder")), "classes")
         tokens = self.prefixes.where("prefix is not null").select("node", F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("place", "token"))

@@ -63,10 +63,12 @@ def test_vectors_odd(spark):
     assert near_duplicates(df.where("false")).count() == 0
 
 
-def test_components_of_paths_and_stars(spark):
+@pytest.mark.parametrize("few", [0, 1000])
+def test_components_of_paths_and_stars(spark, few):
     edges = [(i, i + 1) for i in range(100, 160)] + [(0, i) for i in range(1, 40)] + [(7, 7), (200, 201), (201, 200)]
-    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame([*edges, (None, 5)], "src long, dst long"), few=few).collect()}
     assert all(got[i] == 100 for i in range(100, 161)) and all(got[i] == 0 for i in range(40)) and got[201] == 200
+    assert connected_components(spark.createDataFrame([], "src long, dst long"), few=few).count() == 0
 
 
 TOOLS = {"search": {"q": ("string", True), "k": ("integer", False)}}
