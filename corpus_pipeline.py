@@ -29,7 +29,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     digest, the_id, the_digest = free_names(docs, "digest", "kept_id", "kept_digest")
-    kept = exact_duplicates(docs).where("kept").select(F.col("doc_id").alias(the_id), F.unhex("text_sha256").alias(the_digest)).distinct()
+    kept = exact_duplicates(docs, batches=1).where("kept").select(F.col("doc_id").alias(the_id), F.unhex("text_sha256").alias(the_digest)).distinct()
     rows = docs.withColumn(digest, text_digest(F.col("text")))
     stay = rows.join(kept, rows["doc_id"].eqNullSafe(kept[the_id]) & (rows[digest] == kept[the_digest]), "left_semi")
     return stay.dropDuplicates(["doc_id", digest]).select(docs.columns)
