@@ -17,7 +17,7 @@ import regex
 from tokenizers import Tokenizer
 
 #: Pieces of a generation; a worker remembers two, and carries what it uses over to the younger one.
-MEMORY = 250_000
+MEMORY = 400_000
 #: Characters that Python takes for white space and the tokenizer doesn't.
 NOT_SPACE = "\x1c\x1d\x1e\x1f"
 #: Pieces whose normal form and lower case need no tables: printable ASCII and Latin letters.
