@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirelake.functions import text as T
+from quirelake.operators.graph import _cut
 
 BY = ["paper_id"]
 EXCLUDED = ("title", "abstract", "references")
@@ -136,19 +137,20 @@ def section_hierarchy(sections: DataFrame, by: list[str] = BY) -> DataFrame:
     return rows.groupBy(*by).applyInPandas(run, f"{keys}, {HIERARCHY}")
 
 
-def section_rollup(citations: DataFrame, hierarchy: DataFrame, by: list[str] = BY, depth: int = 6) -> DataFrame:
-    """(by, section_index, citations, uniq, paragraphs): each section with all below it.
+def section_rollup(citations: DataFrame, hierarchy: DataFrame, by: list[str] = BY) -> DataFrame:
+    """(by, section_index, citations, uniq, paragraphs): each section with all below it, at any depth.
 
-    Sections are joined to their ancestors level by level (``depth`` joins at most), then summed once.
+    Sections are joined to ancestors twice as far away in each round, until none has one, then summed once.
     """
-    up = hierarchy.select(*by, F.col("section_index").alias("_child"), F.col("parent_index").alias("_parent"))
-    pairs = hierarchy.select(*by, F.col("section_index").alias("leaf"), F.col("section_index").alias("ancestor"))
-    every, front = pairs, pairs
-    for _ in range(depth - 1):
-        front = front.join(up, [*[front[k] == up[k] for k in by], front["ancestor"] == up["_child"]]).where("_parent is not null").select(
-            *[front[k] for k in by], "leaf", F.col("_parent").alias("ancestor")
-        )
-        every = every.union(front)
+    same = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in by]
+    ids = lambda a: [F.col(f"{a}.{k}").alias(k) for k in by]
+    every = hierarchy.select(*by, F.col("section_index").alias("leaf"), F.col("section_index").alias("ancestor"))
+    jump = _cut(hierarchy.where("parent_index is not null").select(*by, F.col("section_index").alias("low"), F.col("parent_index").alias("high")), "sections")
+    while not jump.isEmpty():
+        up = every.alias("e").join(jump.alias("j"), [*same("e", "j"), F.col("e.ancestor") == F.col("j.low")]).select(*ids("e"), "leaf", F.col("high").alias("ancestor"))
+        every = _cut(every.union(up), "ancestors")
+        twice = jump.alias("a").join(jump.alias("b"), [*same("a", "b"), F.col("a.high") == F.col("b.low")])
+        jump = _cut(twice.select(*ids("a"), F.col("a.low").alias("low"), F.col("b.high").alias("high")), "sections")
     own = citations.select(*by, F.col("section_index").alias("leaf"), "ref_key", "paragraph_index")
     return every.join(own, [*by, "leaf"]).groupBy(*by, F.col("ancestor").alias("section_index")).agg(
         F.count(F.lit(1)).alias("citations"), F.count_distinct("ref_key").alias("uniq"), F.count_distinct("paragraph_index").alias("paragraphs")
