@@ -18,7 +18,10 @@ CITATIONS_SQL = """cit AS (SELECT o_custkey AS paper_id, o_orderkey AS paragraph
 BASELINE_SQL = "base AS (SELECT year(o_orderdate)::INTEGER AS year, count(*) AS cnt FROM orders GROUP BY 1)"
 EDGES_SQL = """nxt AS (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS dst FROM lineitem),
   edges AS (SELECT DISTINCT src, dst FROM nxt WHERE dst IS NOT NULL AND src <> dst)"""
-BRAND_EDGES_SQL = EDGES_SQL + """, bedges AS (SELECT src, dst FROM edges JOIN part a ON a.p_partkey = src JOIN part b ON b.p_partkey = dst WHERE a.p_brand = b.p_brand AND a.p_type = b.p_type)"""
+#: Weak components by minima that travel along the links, one row a node at any time; follows EDGES_SQL in a recursive WITH.
+COMPONENTS_SQL = """und AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges),
+  comps(id, comp) USING KEY (id) AS (SELECT p_partkey, p_partkey FROM part UNION
+    SELECT u.a, min(c.comp) FROM comps c JOIN und u ON u.b = c.id JOIN recurring.comps o ON o.id = u.a WHERE c.comp < o.comp GROUP BY u.a)"""
 PART_YEARS_SQL = "py AS (SELECT p_partkey AS id, min(year(o_orderdate))::INTEGER AS year FROM part LEFT JOIN lineitem ON l_partkey = p_partkey LEFT JOIN orders ON o_orderkey = l_orderkey GROUP BY 1)"
 DEGREES_SQL = EDGES_SQL + """, deg AS (SELECT p_partkey AS id, coalesce(i.n, 0) AS in_deg, coalesce(o.n, 0) AS out_deg FROM part
   LEFT JOIN (SELECT dst, count(*) AS n FROM edges GROUP BY 1) i ON i.dst = p_partkey LEFT JOIN (SELECT src, count(*) AS n FROM edges GROUP BY 1) o ON o.src = p_partkey)"""
@@ -51,13 +54,6 @@ class Analog:
         pairs = lines.where("dst is not null and dst <> l_partkey").select(F.col("l_partkey").cast("string").alias("src"), F.col("dst").cast("string").alias("dst")).distinct()
         return pairs.select(F.lit("parts").alias("paper_id"), "src", "dst")
 
-    def brand_edges(self) -> DataFrame:
-        """Those edges whose ends share brand and type: a sparse graph with isolated nodes."""
-        part = self.table("part").select(F.col("p_partkey").cast("string").alias("k"), "p_brand", "p_type")
-        a = part.select(F.col("k").alias("src"), F.col("p_brand").alias("b1"), F.col("p_type").alias("t1"))
-        b = part.select(F.col("k").alias("dst"), F.col("p_brand").alias("b2"), F.col("p_type").alias("t2"))
-        return self.edges().join(a, "src").join(b, "dst").where("b1 = b2 and t1 = t2").select("paper_id", "src", "dst")
-
     def nodes(self) -> DataFrame:
         """(paper_id, id, year): parts, with the first year of their orders."""
         years = self.table("lineitem").select("l_orderkey", "l_partkey").join(self.table("orders").select(F.col("o_orderkey").alias("l_orderkey"), F.year("o_orderdate").alias("year")), "l_orderkey")

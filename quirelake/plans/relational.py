@@ -12,7 +12,7 @@ from quirelake.operators import linkage as L
 from quirelake.operators import paragraphs as P
 from quirelake.operators import temporal as Y
 from quirelake.operators import voting as V
-from quirelake.plans.analog import AS_OF, BASELINE_SQL, BRAND_EDGES_SQL, CITATIONS_SQL, DEGREES_SQL, EDGES_SQL, PART_YEARS_SQL, Analog
+from quirelake.plans.analog import AS_OF, BASELINE_SQL, CITATIONS_SQL, COMPONENTS_SQL, DEGREES_SQL, EDGES_SQL, PART_YEARS_SQL, Analog
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -241,15 +241,8 @@ def cocitation_pairs(a: Analog) -> DataFrame:
     return rounded(G.cocitation_pairs(a.edges()).drop("paper_id"))
 
 
-@query(f"""WITH RECURSIVE {BRAND_EDGES_SQL}, und AS (SELECT src AS a, dst AS b FROM bedges UNION SELECT dst, src FROM bedges),
-reach AS (SELECT p_partkey AS node, p_partkey AS w FROM part UNION SELECT r.node, u.b FROM reach r JOIN und u ON u.a = r.w), c AS (SELECT node, min(w) AS comp FROM reach GROUP BY 1), s AS (SELECT comp, count(*) AS size FROM c GROUP BY 1)
-SELECT size, count(*) AS cnt FROM s GROUP BY 1""")
+@query(f"WITH RECURSIVE {EDGES_SQL}, {COMPONENTS_SQL}, s AS (SELECT comp, count(*) AS size FROM comps GROUP BY 1) SELECT size, count(*) AS cnt FROM s GROUP BY 1")
 def components_hist(a: Analog) -> DataFrame:
-    return _component_sizes(a, a.brand_edges())
-
-
-@query()
-def components_hist_whole(a: Analog) -> DataFrame:
     return _component_sizes(a, a.edges())
 
 
@@ -335,16 +328,12 @@ def _warning_stats(a: Analog, edges: DataFrame) -> DataFrame:
     return stats.join(comps, "paper_id").join(lag, "paper_id", "left").join(rec, "paper_id").withColumns({"unresolved_ratio": F.lit(0.0), "betweenness_done": F.lit(False)})
 
 
-@query(f"""WITH RECURSIVE {BRAND_EDGES_SQL}, {PART_YEARS_SQL}, und AS (SELECT src AS a, dst AS b FROM bedges UNION SELECT dst, src FROM bedges),
-reach AS (SELECT p_partkey AS node, p_partkey AS w FROM part UNION SELECT r.node, u.b FROM reach r JOIN und u ON u.a = r.w), c AS (SELECT node, min(w) AS comp FROM reach GROUP BY 1),
-x AS (SELECT (SELECT count(*) FROM part) AS n, (SELECT count(DISTINCT comp) FROM c) AS comps, (SELECT count(*) FROM part WHERE p_partkey NOT IN (SELECT a FROM und)) AS iso, (SELECT avg(CASE WHEN s.year < d.year THEN 1.0 ELSE 0 END) FROM bedges JOIN py s ON s.id = src JOIN py d ON d.id = dst) AS neg)
-SELECT 'NEGATIVE_CITATION_LAG_HIGH' AS code, 'warning' AS severity FROM x WHERE neg > 0.05 UNION ALL SELECT 'MANY_COMPONENTS', 'info' FROM x WHERE comps > greatest(10, floor(n * 0.05)) UNION ALL SELECT 'ISOLATES_HIGH', 'info' FROM x WHERE iso / n > 0.05 UNION ALL SELECT 'BETWEENNESS_SKIPPED', 'info'""")
+@query(f"""WITH RECURSIVE {EDGES_SQL}, {PART_YEARS_SQL}, {COMPONENTS_SQL},
+x AS (SELECT (SELECT count(*) FROM part) AS n, (SELECT count(DISTINCT comp) FROM comps) AS comps, (SELECT count(*) FROM part WHERE p_partkey NOT IN (SELECT a FROM und)) AS iso,
+  (SELECT avg(CASE WHEN s.year < d.year THEN 1.0 ELSE 0 END) FROM edges JOIN py s ON s.id = src JOIN py d ON d.id = dst) AS neg)
+SELECT 'NEGATIVE_CITATION_LAG_HIGH' AS code, 'warning' AS severity FROM x WHERE neg > 0.05 UNION ALL SELECT 'MANY_COMPONENTS', 'info' FROM x WHERE comps > greatest(10, floor(n * 0.05))
+UNION ALL SELECT 'ISOLATES_HIGH', 'info' FROM x WHERE iso / n > 0.05 UNION ALL SELECT 'BETWEENNESS_SKIPPED', 'info'""")
 def graph_warnings(a: Analog) -> DataFrame:
-    return G.graph_warnings(_warning_stats(a, a.brand_edges())).select("code", "severity")
-
-
-@query()
-def graph_warnings_whole(a: Analog) -> DataFrame:
     return G.graph_warnings(_warning_stats(a, a.edges())).select("code", "severity")
 
 
@@ -365,23 +354,18 @@ def louvain_clusters(a: Analog) -> DataFrame:
     return G.louvain_clusters(a.nodes(), a.edges()).select("id", "cluster")
 
 
-@query(f"""WITH {BRAND_EDGES_SQL}, k AS (SELECT row_number() OVER (ORDER BY src::VARCHAR, dst::VARCHAR) AS rk, src, dst FROM bedges) SELECT 'graph LR' || chr(10) || string_agg('    ' || src || ' --> ' || dst, chr(10) ORDER BY rk) AS diagram FROM k WHERE rk <= 80""")
-def mermaid(a: Analog) -> DataFrame:
-    return G.mermaid(a.brand_edges()).select("diagram")
-
-
 @query(f"""WITH {EDGES_SQL}, k AS (SELECT row_number() OVER (ORDER BY src::VARCHAR, dst::VARCHAR) AS rk, src, dst FROM edges) SELECT 'graph LR' || chr(10) || string_agg('    ' || src || ' --> ' || dst, chr(10) ORDER BY rk) AS diagram FROM k WHERE rk <= 80""")
-def mermaid_whole(a: Analog) -> DataFrame:
+def mermaid(a: Analog) -> DataFrame:
     return G.mermaid(a.edges()).select("diagram")
 
 
 # Linkage, coverage, literature
 
 
-@query("""WITH t AS (SELECT doc_id, unnest(list_distinct([source || ':' || lang, 'n:' || n_chars])) AS token FROM documents WHERE n_chars > 4000)
+@query("""WITH t AS (SELECT doc_id, unnest(list_distinct([source || ':' || lang, 'n:' || n_chars])) AS token FROM documents)
 SELECT DISTINCT a.doc_id AS src, b.doc_id AS dst FROM t a JOIN t b ON a.token = b.token AND a.doc_id <> b.doc_id""")
 def token_edges(a: Analog) -> DataFrame:
-    docs = a.table("documents").where("n_chars > 4000").select(F.lit(0).alias("paper_id"), "doc_id", F.array_distinct(F.array(F.concat_ws(":", "source", "lang"), F.concat(F.lit("n:"), F.col("n_chars").cast("string")))).alias("tokens"))
+    docs = a.table("documents").select(F.lit(0).alias("paper_id"), "doc_id", F.array_distinct(F.array(F.concat_ws(":", "source", "lang"), F.concat(F.lit("n:"), F.col("n_chars").cast("string")))).alias("tokens"))
     edges, _ = L.real_edges(docs.withColumnRenamed("doc_id", "key"), docs.select("paper_id", F.col("doc_id").alias("source"), F.lit(0).alias("target_id"), "tokens"))
     return edges.select("src", "dst")
 

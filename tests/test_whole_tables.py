@@ -135,12 +135,12 @@ def test_clusters_of_the_whole_graph(spark):
 def test_whole_graph_components_warnings_and_drawing(spark):
     edges, nodes, con = part_edges()
     sizes = Counter(Counter(components_of(edges, nodes).values()).values())
-    assert {r["size"]: r["cnt"] for r in entry.queries()["components_hist_whole"](spark, SMALL).collect()} == dict(sizes)
+    assert {r["size"]: r["cnt"] for r in entry.queries()["components_hist"](spark, SMALL).collect()} == dict(sizes)
     year = dict(con.execute("SELECT l_partkey::VARCHAR, min(year(o_orderdate)) FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1").fetchall())
     lags = [year[a] - year[b] for a, b in edges if a in year and b in year]
     want = {"BETWEENNESS_SKIPPED"}
     want |= {"NEGATIVE_CITATION_LAG_HIGH"} if sum(x < 0 for x in lags) / len(lags) > 0.05 else set()
     want |= {"MANY_COMPONENTS"} if sum(sizes.values()) > max(10, len(nodes) // 20) else set()
     want |= {"ISOLATES_HIGH"} if len(set(nodes) - {v for e in edges for v in e}) / len(nodes) > 0.05 else set()
-    assert {r["code"] for r in entry.queries()["graph_warnings_whole"](spark, SMALL).collect()} == want
-    assert entry.queries()["mermaid_whole"](spark, SMALL).first()["diagram"] == con.execute(entry.oracle_sql()["mermaid_whole"]).fetchone()[0]
+    assert {r["code"] for r in entry.queries()["graph_warnings"](spark, SMALL).collect()} == want
+    assert entry.queries()["mermaid"](spark, SMALL).first()["diagram"] == con.execute(entry.oracle_sql()["mermaid"]).fetchone()[0]
