@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirelake.plans import literal, relational
+from quirelake.plans import evidence, literal, relational
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,8 +14,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return relational.QUERIES | literal.QUERIES
+    return relational.QUERIES | literal.QUERIES | evidence.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return relational.SQL | literal.SQL
+    return relational.SQL | literal.SQL | evidence.SQL
