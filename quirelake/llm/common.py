@@ -98,24 +98,6 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def group_ids(rows: DataFrame, key: str, row_id: str, salts: int = SALTS) -> DataFrame:
-    """``rows`` (key, row_id) with ``keep_id`` (least row_id of the key) and ``group_size``.
-
-    A key's rows are first summed by (key, salt), with a map-side combine, and the sums meet
-    at the key; the answer goes back to the rows by (key, salt). So no task holds more than
-    one salt of a hot key. Null keys form one group.
-    """
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(row_id), F.lit(salts)).cast("int"))
-    partial = salted.groupBy(key, "_salt").agg(F.min(row_id).alias("_min"), F.count(F.lit(1)).alias("_n"))
-    totals = partial.groupBy(key).agg(
-        F.min("_min").alias("keep_id"), F.sum("_n").alias("group_size"), F.collect_list("_salt").alias("_salts")
-    )
-    answers = totals.withColumn("_salt", F.explode("_salts")).drop("_salts").withColumnRenamed(key, "_key")
-    return salted.join(answers, salted[key].eqNullSafe(answers["_key"]) & (salted["_salt"] == answers["_salt"]), "left").select(
-        *[salted[c] for c in rows.columns], "keep_id", "group_size"
-    )
-
-
 def _least_reachable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(node, component) of all the links (a, b) of one task: the roots of both ends of a link meet at the lesser one, until none differ."""
     found = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]

@@ -18,6 +18,7 @@ has the id null; an empty table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import connected_components, group_ids, materialize, table
+from quirelake.llm.common import connected_components, materialize, table
 
 THRESHOLD = 0.93
 #: Vectors of a block at most on average, pivots in all, and sampled vectors for choosing them.
@@ -33,6 +34,8 @@ CELL_ROWS, MOST_PIVOTS, SAMPLE = 2048, 512, 20_000
 #: Slack for the rounding of sums in double precision.
 EPS = 1e-9
 NO_ID = (1 << 63) - 1
+#: Cells of at most so many rows are broadcast (some 50 bytes a row).
+FEW_CELLS = 100_000
 
 
 class CoverTree:
@@ -86,13 +89,28 @@ class CoverTree:
         return np.sqrt(np.maximum(2 - 2 * (a @ b.T), 0))
 
 
-def dual_links(a: CoverTree, b: CoverTree, weight_a: np.ndarray, weight_b: np.ndarray, same: bool, threshold: float = THRESHOLD, pairs_at_once: int = 1 << 21):
+def dual_links(a: CoverTree, b: CoverTree, weight_a: np.ndarray, weight_b: np.ndarray, same: bool, threshold: float = THRESHOLD, pairs_at_once: int = 1 << 21, work: Counter | None = None):
     """Weighted link counts of the points of both trees and links that span them (positions in a, in b).
 
-    With ``same`` the trees are one: each pair counts once and a point doesn't link with itself.
+    Distances are taken for the node pairs that survive the level above. Once an eighth of all pairs
+    survive, one matrix product is cheaper than as many single ones and gives them all. With ``same`` the
+    trees are one: each pair counts once and a point doesn't link with itself. ``work`` counts distances.
     """
     radius = np.sqrt(max(2 - 2 * threshold, 0.0))
-    gram = a.x @ b.x.T
+    work = Counter() if work is None else work
+    product: list[np.ndarray] = []
+
+    def cosines(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        if not product and 8 * len(i) >= len(a.x) * len(b.x):
+            product.append(a.x @ b.x.T)
+            work["distances"] += len(a.x) * len(b.x)
+        if product:
+            return product[0][i, j]
+        work["distances"] += len(i)
+        at_once = max(1, (1 << 21) // a.x.shape[1])
+        parts = [np.einsum("ij,ij->i", a.x[i[k : k + at_once]], b.x[j[k : k + at_once]]) for k in range(0, len(i), at_once)]
+        return np.concatenate(parts) if parts else np.zeros(0)
+
     count_a, count_b = np.zeros(len(a.x)), np.zeros(len(b.x))
     links: list[tuple[np.ndarray, np.ndarray]] = []
     # Members of every node, by level: sorted by owner.
@@ -125,7 +143,7 @@ def dual_links(a: CoverTree, b: CoverTree, weight_a: np.ndarray, weight_b: np.nd
             continue
         la, lb = at(a, level), at(b, level)
         ca, cb = a.levels[la][i], b.levels[lb][j]
-        cosine = gram[ca, cb]
+        cosine = cosines(ca, cb)
         d = np.sqrt(np.maximum(2 - 2 * cosine, 0))
         slack = a.reach[la][i] + b.reach[lb][j]
         if level >= depth - 1:  # points
@@ -227,7 +245,7 @@ def unit(rows: list) -> np.ndarray:
 
 def _cells(vectors: DataFrame, cell_rows: int) -> DataFrame:
     """``vectors`` (rep, label, width, embedding, weight) with a block, and the pairs of blocks to compare: (pair, label, width, low, high)."""
-    spark = vectors.sparkSession
+    spark, kind = vectors.sparkSession, vectors.schema["embedding"].dataType.simpleString()
     sizes = vectors.groupBy("label", "width").count()
     large = sizes.where(F.col("count") > cell_rows).orderBy(F.desc("count")).limit(MOST_PIVOTS // 2).collect()
     pivots: dict = {}
@@ -255,9 +273,9 @@ def _cells(vectors: DataFrame, cell_rows: int) -> DataFrame:
                     cell[part.index], gap[part.index] = d.argmin(1), d.min(1)
             yield batch.assign(cell=cell, gap=gap)
 
-    placed = materialize(vectors.mapInPandas(assign, "rep long, label string, width int, embedding array<float>, weight long, cell long, gap double"), "cells")
+    placed = materialize(vectors.mapInPandas(assign, f"rep long, label string, width int, embedding {kind}, weight long, cell long, gap double"), "cells")
     cells = placed.groupBy("label", "width", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("gap").alias("reach"))
-    cells = cells.withColumn("blocks", F.ceil(F.col("n") / cell_rows).cast("int"))
+    cells = materialize(cells.withColumn("blocks", F.ceil(F.col("n") / cell_rows).cast("int")), "cell-sizes")
     blocks = cells.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("block", F.col("cell") * (1 << 20) + F.col("part"))
     a, b = blocks.alias("a"), blocks.alias("b")
     reachable = F.lit(True)
@@ -273,7 +291,8 @@ def _cells(vectors: DataFrame, cell_rows: int) -> DataFrame:
         gaps = spark.createDataFrame(near, "label string, width int, ca long, cb long, apart double")
         pairs = pairs.join(gaps, ["label", "width", "ca", "cb"], "left").where(F.col("apart").isNull() | (F.col("apart") <= F.col("reach") + float(np.sqrt(2 - 2 * THRESHOLD)) + EPS))
     pairs = pairs.select("label", "width", "low", "high")
-    sized = placed.join(F.broadcast(cells.select("label", "width", "cell", "blocks")) if len(large) < MOST_PIVOTS // 2 else cells.select("label", "width", "cell", "blocks"), ["label", "width", "cell"])
+    dealt = cells.select("label", "width", "cell", "blocks")
+    sized = placed.join(F.broadcast(dealt) if cells.count() <= FEW_CELLS else dealt, ["label", "width", "cell"])
     blocked = sized.withColumn("block", F.col("cell") * (1 << 20) + F.pmod(F.xxhash64("rep"), F.col("blocks")))
     return blocked.select("rep", "label", "width", "embedding", "weight", "block"), pairs
 
@@ -311,20 +330,20 @@ def near_links(vectors: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
 
 def near_duplicates(vectors: DataFrame, cell_rows: int = CELL_ROWS, embedding: str = "embedding", label: str = "label", vec_id: str = "vec_id") -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row."""
+    kind = "array<float>" if vectors.schema[embedding].dataType.simpleString() == "array<float>" else "array<double>"
+    zero = F.lit(0.0).cast(kind[6:-1])
     rows = materialize(
-        vectors.select(F.coalesce(F.col(vec_id).cast("bigint"), F.lit(NO_ID)).alias("vec_id"), F.col(label).cast("string").alias("label"), F.col(embedding).cast("array<float>").alias("embedding"))
+        vectors.select(F.coalesce(F.col(vec_id).cast("bigint"), F.lit(NO_ID)).alias("vec_id"), F.col(label).cast("string").alias("label"), F.col(embedding).cast(kind).alias("embedding"))
         .withColumn("fine", F.col("label").isNotNull() & F.coalesce(
             (F.size("embedding") > 0) & F.forall("embedding", lambda x: F.coalesce(x == x, F.lit(False)) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0), F.lit(False)))
-        .withColumn("key", F.when(F.col("fine"), F.sha2(F.concat_ws("|", "label", F.to_json(F.transform("embedding", lambda x: x + F.lit(0.0).cast("float")))), 256))),
+        .withColumn("key", F.when(F.col("fine"), F.sha2(F.concat_ws("|", "label", F.to_json(F.transform("embedding", lambda x: x + zero))), 256))),
         "vectors",
     )
     fine = rows.where("fine")
-    grouped = materialize(group_ids(fine.select("key", "vec_id"), "key", "vec_id"), "classes")
-    reps = fine.join(grouped.select("key", "vec_id", "keep_id", "group_size").where("vec_id = keep_id").dropDuplicates(["key"]).drop("vec_id", "keep_id"), "key")
-    firsts = reps.groupBy("key").agg(F.min_by(F.struct("label", "embedding", "vec_id", "group_size"), "vec_id").alias("r"))
+    firsts = fine.groupBy("key").agg(F.min_by(F.struct("label", "embedding", "vec_id"), "vec_id").alias("r"), F.count(F.lit(1)).alias("group_size"))
     # Two classes may share a least id only where rows repeat a vec_id; a number of their own keeps them apart.
     distinct = materialize(
-        firsts.select("key", F.xxhash64("key").alias("rep"), F.col("r.label").alias("label"), F.size("r.embedding").alias("width"), F.col("r.embedding").alias("embedding"), F.col("r.group_size").alias("weight"), F.col("r.vec_id").alias("least")),
+        firsts.select("key", F.xxhash64("key").alias("rep"), F.col("r.label").alias("label"), F.size("r.embedding").alias("width"), F.col("r.embedding").alias("embedding"), F.col("group_size").alias("weight"), F.col("r.vec_id").alias("least")),
         "distinct",
     )
     found = materialize(near_links(distinct.select("rep", "label", "width", "embedding", "weight"), cell_rows), "links")
@@ -337,7 +356,7 @@ def near_duplicates(vectors: DataFrame, cell_rows: int = CELL_ROWS, embedding: s
         .join(named.join(least, "component").select(F.col("node").alias("rep"), "component_id"), "rep", "left")
         .select("key", "least", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component_id", "least").alias("component_id"))
     )
-    # Copies reach their class over (key, salt), as in group_ids; classes are joined to one row for each class and salt.
+    # Copies reach their class over (key, salt); classes are joined to one row for each class and salt.
     salts = 64
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(salts)).cast("int"))
     seen = salted.where("fine").groupBy("key", "salt").agg(F.count(F.lit(1)).alias("_n")).select("key", "salt").join(classes, "key")

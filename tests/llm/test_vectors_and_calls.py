@@ -1,5 +1,6 @@
 import json
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -71,6 +72,25 @@ def test_components_of_paths_and_stars(spark, few):
     assert connected_components(spark.createDataFrame([], "src long, dst long"), few=few).count() == 0
 
 
+def test_trees_save_distances():
+    """Tight groups far apart: the bounds leave a small part of the pairs to compare, and the links are those of all pairs."""
+    rng = np.random.default_rng(5)
+    x = unit((np.repeat(rng.normal(size=(40, 16)), 25, axis=0) + rng.normal(size=(1000, 16)) * 0.02).tolist())
+    work, tree = Counter(), CoverTree(x)
+    count, _, u, v = dual_links(tree, tree, np.ones(len(x)), np.ones(len(x)), True, work=work)
+    gram = x @ x.T
+    assert work["distances"] < len(x) ** 2 / 4
+    assert (count == (gram >= 0.93).sum(1) - 1).all() and (gram[u, v] >= 0.93 - 1e-9).all()
+
+
+def test_vectors_in_double_precision(spark):
+    """Two doubles that floats can't tell apart stand on either side of the threshold."""
+    angle = np.arccos(0.93)
+    rows = [(1, [1.0, 0.0], "a"), (2, [float(np.cos(angle - 1e-12)), float(np.sin(angle - 1e-12))], "a"), (3, [1.0, 0.0], "b"), (4, [float(np.cos(angle + 1e-12)), float(np.sin(angle + 1e-12))], "b")]
+    got = {r.vec_id: r.n_links for r in near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 0, 4: 0}
+
+
 TOOLS = {"search": {"q": ("string", True), "k": ("integer", False)}}
 
 
