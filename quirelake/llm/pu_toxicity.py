@@ -7,7 +7,8 @@ zero the step goes the other way, so that it cannot be fitted below zero.
 
 Features are whether a lower-cased word, or the start of one, occurs in the text; the vocabulary is
 those that P has significantly more often than U. P and U are bounded samples (``MAX_POSITIVE``,
-``MAX_UNLABELLED``) of labelled rows outside the held-out fold; scores cover every whole text.
+``MAX_UNLABELLED``) of rows outside the held-out fold, U of all documents, labelled or not; scores cover every
+whole text.
 
 Defined cases: null and empty texts have no features and get the score of the bias; null labels and
 labels of unknown documents are ignored; of several labels of a document the mean counts, 1 from one
@@ -72,26 +73,30 @@ class NonNegativePU:
         self.width, self.prior, self.steps, self.rate, self.l2, self.beta = width, prior, steps, rate, l2, beta
         self.weights = np.zeros(width + 1) if weights is None else weights
 
+    def risk(self, w: np.ndarray, columns: np.ndarray, owners: np.ndarray, n_p: int, n_u: int) -> tuple[float, bool, np.ndarray]:
+        """The risk, whether its negative part is at least -beta, and the gradient of the step: that of the risk, or,
+        where the negative part fell below, that of its opposite. Rows are the n_p positives, then the n_u unlabelled."""
+        z = np.bincount(owners, w[columns], n_p + n_u) + w[-1]
+        s, softplus = 1 / (1 + np.exp(-z)), np.logaddexp(0, z)
+        negative = softplus[n_p:].mean() - self.prior * softplus[:n_p].mean()
+        positive = self.prior * np.logaddexp(0, -z[:n_p]).mean()
+        slope, sound = np.zeros(n_p + n_u), negative >= -self.beta
+        if sound:
+            slope[n_p:] = s[n_p:] / n_u
+            slope[:n_p] = -self.prior * s[:n_p] / n_p - self.prior * (1 - s[:n_p]) / n_p
+        else:
+            slope[n_p:] = -s[n_p:] / n_u
+            slope[:n_p] = self.prior * s[:n_p] / n_p
+        return positive + max(0.0, negative), sound, np.append(np.bincount(columns, slope[owners], self.width), slope.sum())
+
     def fit(self, positive: list[list[int]], unlabelled: list[list[int]]) -> NonNegativePU:
         rows = positive + unlabelled
         columns = np.array([c for r in rows for c in r], np.int64)
         owners = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        n_p, n_u = len(positive), len(unlabelled)
         w, m, v = self.weights, np.zeros(self.width + 1), np.zeros(self.width + 1)
         w[-1] = np.log(self.prior / (1 - self.prior))
         for step in range(1, self.steps + 1):
-            z = np.bincount(owners, w[columns], len(rows)) + w[-1]
-            s = 1 / (1 + np.exp(-z))
-            softplus = np.logaddexp(0, z)
-            negative_risk = softplus[n_p:].mean() - self.prior * softplus[:n_p].mean()
-            slope = np.zeros(len(rows))
-            if negative_risk >= -self.beta:
-                slope[n_p:] = s[n_p:] / n_u
-                slope[:n_p] = -self.prior * s[:n_p] / n_p - self.prior * (1 - s[:n_p]) / n_p
-            else:
-                slope[n_p:] = -s[n_p:] / n_u
-                slope[:n_p] = self.prior * s[:n_p] / n_p
-            g = np.append(np.bincount(columns, slope[owners], self.width), slope.sum())
+            _, _, g = self.risk(w, columns, owners, len(positive), len(unlabelled))
             g[:-1] += self.l2 * w[:-1]
             m = 0.9 * m + 0.1 * g
             v = 0.999 * v + 0.001 * g * g

@@ -249,6 +249,31 @@ def test_statistics_of_odd_texts():
     assert statistics(None) == statistics("  ") and len(statistics("a")) == len(statistics("b c\nb c"))
 
 
+@pytest.mark.parametrize("prior", [0.05, 0.9])
+def test_risk_and_gradient_by_finite_differences(prior):
+    """Both branches: a small prior leaves the negative part above zero, a large one takes it below."""
+    rng = np.random.default_rng(2)
+    n_p, n_u, width = 7, 11, 5
+    rows = [sorted(rng.choice(width, 2, replace=False).tolist()) for _ in range(n_p + n_u)]
+    columns, owners = np.array(rows).reshape(-1), np.repeat(np.arange(n_p + n_u), 2)
+    model, w = NonNegativePU(width, prior), rng.normal(size=width + 1)
+    w[:-1] += 1.5 if prior > 0.5 else 0
+
+    def plain(w):
+        z = [sum(w[c] for c in r) + w[-1] for r in rows]
+        loss = lambda x: float(np.log1p(np.exp(-x)))
+        plus, minus = prior * sum(loss(x) for x in z[:n_p]) / n_p, sum(loss(-x) for x in z[n_p:]) / n_u - prior * sum(loss(-x) for x in z[:n_p]) / n_p
+        return plus, minus
+
+    value, sound, gradient = model.risk(w, columns, owners, n_p, n_u)
+    plus, minus = plain(w)
+    assert sound == (minus >= 0) and abs(value - plus - max(0.0, minus)) < 1e-12
+    stepped = (lambda w: sum(plain(w))) if sound else (lambda w: -plain(w)[1])
+    for k in range(width + 1):
+        e = np.eye(width + 1)[k] * 1e-6
+        assert abs((stepped(w + e) - stepped(w - e)) / 2e-6 - gradient[k]) < 1e-6
+
+
 def test_risk_finds_hidden_positives():
     rng = np.random.default_rng(1)
     positive = [[0, int(rng.integers(1, 20))] for _ in range(200)]

@@ -37,3 +37,23 @@ def test_defined_cases(spark, rows):
     sizes, out = check(histogram_shards(docs), 8)
     assert len(out) == len(rows)
     assert sorted(r["size"] for r in out) == sorted(len((b or "").encode()) + 1 for _, b in rows)
+
+
+def test_against_a_plain_sharder(spark):
+    """Sizes, checksums, gapless slots and near-equal bytes, with columns called like the work's own."""
+    import zlib
+    from collections import defaultdict
+
+    texts = [None, "", "ü", "same text"] + [f"text {i} " + "x" * (i * 37 % 400) for i in range(3000)]
+    rows = [(i, t, "kept") for i, t in enumerate(texts)] + [(5000 + i, "same text", "kept") for i in range(900)]
+    made = spark.createDataFrame(rows, "doc_id long, text string, _k1 string").withColumn("_start", F.lit("a")).withColumn("_Row", F.lit("b")).withColumn("size", F.lit("c"))
+    got = histogram_shards(made, 8).collect()
+    assert {(r.doc_id, r.size, r.text_crc32) for r in got} == {(i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, _ in rows}
+    assert len(got) == len(rows) and {(r["_k1"], r["_start"], r["_Row"]) for r in got} == {("kept", "a", "b")}
+    shards, total = defaultdict(list), sum(r.size for r in got)
+    for r in got:
+        shards[r.shard].append(r)
+    assert sorted(shards) == list(range(8))
+    for part in shards.values():
+        assert sorted(r.slot for r in part) == list(range(len(part)))
+        assert abs(sum(r.size for r in part) - total / 8) <= 0.03 * total / 8
