@@ -118,6 +118,7 @@ def exact_duplicates(documents: DataFrame, index: DigestIndex | None = None, tex
         for k in range(batches):
             index.append(digests.where(part == k))
         decided = index.decide(digests).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
+        index.drop()  # the plan holds its files; only the name goes
     return decided.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 

@@ -1,6 +1,8 @@
 import __spark_entry__ as entry
 import duckdb
 
+from quirelake.llm.exact_dedup import exact_duplicates
+
 SMALL = "/root/testdata/sf0.001"
 
 
@@ -14,3 +16,10 @@ def test_query_takes_the_anti_join(spark, monkeypatch):
     con.execute(f"create view documents as select * from '{SMALL}/documents.parquet'")
     want = con.execute("select doc_id, keep_id, group_size, kept, text_sha256 from (" + entry.oracle_sql()["op5_exact_dedup"] + ")").fetchall()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_no_table_is_left_behind(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "a"), (None, "b")], "doc_id long, text string")
+    got = exact_duplicates(docs)
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("digest_index_")]
+    assert sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got.collect()), key=str) == sorted([(1, 1, 2, True), (2, 1, 2, False), (None, None, 1, True)], key=str)
