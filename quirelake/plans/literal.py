@@ -34,7 +34,8 @@ NAMES = [("Vaswani, Ashish",), ("Ashish Vaswani",), ("O'Neil,  Kate M.",), ("Pla
 IDS = [("https://doi.org/10.1000/ABC", "arXiv:1706.03762v5", "https://openalex.org/w123"), ("doi:10.1/x", "1706.03762", "W77"), ("10.5/Y", "cs.CL/0101001v2", "openalex:w5")]
 TITLES = [("Abstract",), ("1 Introduction",), ("2.1.3 Model details",), ("Conclusions and outlook",), ("References",), ("Bibliography",), ("A Appendix",), ("Method",), (None,)]
 ENTRIES = [
-    (1, "[1] Vaswani, A. and Shazeer, N. (2017). Attention is all you need. NeurIPS. https://doi.org/10.5555/3295222."), (2, '2. J. Devlin. "BERT: pre-training of transformers". arXiv:1810.04805v2, 2018.'), (3, "No year here. Title part. More.")
+    (1, "[1] Vaswani, A. and Shazeer, N. (2017). Attention is all you need. NeurIPS. https://doi.org/10.5555/3295222."), (2, '2. J. Devlin. "BERT: pre-training of transformers". arXiv:1810.04805v2, 2018.'), (3, "No year here. Title part. More."),
+    (4, "3) Foo, B. (2010). On 10 graphs of order 0 . Venue 1."), (5, "[12]  C. Baz.  Tables of 1 .  Press 20"), (6, "D. Qux, “Short”, and “A longer quoted 0 ” 1999. doi.org"), (7, "E. Only")
 ]
 PAIRS = [("deep learning survey", "a survey of deep learning"), ("graph nets", "graph nets"), ("", "x"), ("abc", "abd")]
 AUTHORS = [("Smith et al.", "2020"), ("Anderson and Lee", "2019"), ("Lee & Kim", "2018a"), ("", "2020"), ("Brown", "")]
@@ -71,9 +72,11 @@ def section_kind(rows: DataFrame) -> DataFrame:
     return rows.select("title", T.section_kind(F.col("title")).alias("kind"), F.coalesce(T.section_level(F.col("title")), F.lit(1)).cast("long").alias("level"))
 
 
-@literal(ENTRIES, "id int, entry string", r"""SELECT id::BIGINT AS id, CASE id WHEN 1 THEN 1 WHEN 2 THEN 2 END::BIGINT AS reference_number, regexp_extract(entry, '\b(?:19|20)\d{2}\b', 0) AS year,
-rtrim(coalesce(nullif(regexp_extract(entry, '\b(10\.\d{4,9}/[^\s"<>]+)', 1), ''), ''), ').,;') AS doi, regexp_extract(entry, '(?i)arxiv:\s*(\d{4}\.\d{4,5})', 1) AS arxiv_id,
-CASE id WHEN 1 THEN 'Attention is all you need' WHEN 2 THEN 'BERT: pre-training of transformers' ELSE 'Title part' END AS title FROM INPUT""")
+@literal(ENTRIES, "id int, entry string", r"""WITH b AS (SELECT id, entry, trim(regexp_replace(entry, '^(?:\[(\d+)\]|(\d+)[.)])\s+', '')) AS body FROM INPUT),
+p AS (SELECT *, nullif(list_reduce(list_prepend('', regexp_extract_all(body, '["“”]([^"“”]+)["“”]', 1)), lambda acc, q: CASE WHEN length(q) > length(acc) THEN q ELSE acc END), '') AS quoted,
+  nullif(trim(regexp_extract(body, '\(?\b(?:19|20)\d{2}\b\)?[).,;:\- ]*([^.]+)', 1)), '') AS after, list_filter(list_transform(string_split(body, '.'), lambda x: trim(x)), lambda x: x <> '') AS parts FROM b)
+SELECT id::BIGINT AS id, coalesce(nullif(regexp_extract(entry, '^(?:\[(\d+)\]|(\d+)[.)])\s+', 1), ''), nullif(regexp_extract(entry, '^(?:\[(\d+)\]|(\d+)[.)])\s+', 2), ''))::BIGINT AS reference_number, regexp_extract(body, '\b(?:19|20)\d{2}\b', 0) AS year,
+rtrim(coalesce(nullif(regexp_extract(body, '\b(10\.\d{4,9}/[^\s"<>]+)', 1), ''), ''), ').,;') AS doi, regexp_extract(body, '(?i)arxiv:\s*(\d{4}\.\d{4,5})', 1) AS arxiv_id, coalesce(trim(quoted), after, parts[2], parts[1]) AS title FROM p""")
 def reference_entries(rows: DataFrame) -> DataFrame:
     p = T.parsed_entry(F.col("entry"))
     return rows.select(F.col("id").cast("long").alias("id"), p["reference_number"].cast("long").alias("reference_number"), p["year"].alias("year"), p["doi"].alias("doi"), p["arxiv_id"].alias("arxiv_id"), p["title"].alias("title"))
@@ -85,12 +88,14 @@ def text_similarity(rows: DataFrame) -> DataFrame:
     return rows.select("a", "b", F.round(T.word_jaccard(F.col("a"), F.col("b")), 6).alias("jaccard"), F.round(T.edit_similarity(F.col("a"), F.col("b")), 6).alias("edit"))
 
 
-@literal(AUTHORS, "author string, year string", r"""SELECT author, year, CASE WHEN k = '' OR year = '' THEN '' ELSE k || '|' || year END AS key FROM (SELECT author, year, CASE author WHEN 'Smith et al.' THEN 'smith' WHEN 'Anderson and Lee' THEN 'anderson' WHEN 'Lee & Kim' THEN 'lee' WHEN 'Brown' THEN 'brown' ELSE '' END AS k FROM INPUT)""")
+@literal(AUTHORS, "author string, year string", r"""WITH f AS (SELECT author, year, regexp_extract_all(regexp_split_to_array(replace(regexp_replace(lower(author), 'et al\.?', '', 'g'), '&', 'and'), '\band\b')[1], '[a-z]+') AS words FROM INPUT),
+k AS (SELECT author, year, coalesce(words[len(words)], '') AS k FROM f) SELECT author, year, CASE WHEN k = '' OR trim(year) = '' THEN '' ELSE k || '|' || trim(year) END AS key FROM k""")
 def author_year_keys(rows: DataFrame) -> DataFrame:
     return rows.select("author", "year", T.author_year_key(F.col("author"), F.col("year")).alias("key"))
 
 
-@literal(REPLIES, "id int, reply string", "SELECT id::BIGINT AS id, CASE id WHEN 1 THEN 5.0 WHEN 2 THEN 4.5 WHEN 3 THEN 5.0 ELSE 2.0 END::DOUBLE AS score FROM INPUT")
+@literal(REPLIES, "id int, reply string", r"""WITH f AS (SELECT id, regexp_extract_all(lower(reply), '(?:balance|bias score|score|rating)\s*[:=]\s*([0-9]+(?:\.[0-9]+)?)', 1) AS found FROM INPUT)
+SELECT id::BIGINT AS id, (CASE WHEN len(found) = 0 THEN 5.0 ELSE least(5.0, greatest(0.0, found[len(found)]::DOUBLE)) END)::DOUBLE AS score FROM f""")
 def reply_scores(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("id").cast("long").alias("id"), T.reply_score(F.col("reply")).alias("score"))
 
