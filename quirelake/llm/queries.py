@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules with QUERIES and SQL.
-MODULES = ("histogram_shard", "tool_calls", "boosted_trees", "exact_dedup", "cover_tree", "mixing", "packing", "pu_toxicity", "rolling_windows", "token_groups", "filter_audit", "spelling")
+MODULES = ("histogram_shard", "tool_calls", "boosted_trees", "exact_dedup", "cover_tree", "mixing", "packing", "pu_toxicity", "rolling_windows", "token_groups", "filter_audit", "class_ngrams", "spelling")
 
 
 def _merged(what: str) -> dict:
