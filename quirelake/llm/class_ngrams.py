@@ -26,6 +26,7 @@ alike; an empty table gives no rows; further columns are ignored.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -41,8 +42,8 @@ FOLDS, HELD_OUT = 7, 2
 #: Units of the clustering (together a power of two, below 2**16), classes, rounds, turns in which units move, and words whose counts every task holds.
 WORDS, ENDINGS, CLASSES, ROUNDS, TURNS, KNOWN = 12_288, 4_096, 64, 12, 2, 200_000
 UNITS = WORDS + ENDINGS
-#: Buckets that units are dealt to, tokens packed at a time, different words counted at a time.
-BUCKETS, BATCH_TOKENS, MEMORY = 128, 3_000_000, 400_000
+#: Buckets that units are dealt to, tokens packed at a time, different words counted or remembered at a time, and rows scored at a time.
+BUCKETS, BATCH_TOKENS, MEMORY, SLICE = 128, 3_000_000, 250_000, 1_000
 #: The end token, which no word equals, and the class that it has to itself.
 END, END_CLASS = b"", 0
 
@@ -115,19 +116,19 @@ def unit_pairs(units: dict[bytes, int], words: int = WORDS):
     and under the first (kind 1). A number in a payload is unit * UNITS + neighbour."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[int] = [units[END]]
+        held = array("H", [units[END]])
         memory: dict[bytes, int] = dict(units)
 
         def passed_on() -> pa.RecordBatch:
-            ids = np.array(held, np.int64)
+            ids = np.array(held, np.uint32)  # numbers of pairs stay below UNITS squared, 2**28
             del held[:-1]
             rows = []
             for kind, (one, other) in enumerate(((ids[1:], ids[:-1]), (ids[:-1], ids[1:]))):
                 keys, counts = np.unique(one * UNITS + other, return_counts=True)
-                bucket = keys // UNITS % BUCKETS
+                bucket = (keys // UNITS % BUCKETS).astype(np.uint8)
                 order = np.argsort(bucket, kind="stable")
                 keys, counts, bucket = keys[order], counts[order], bucket[order]
-                for a, b in zip(*(np.searchsorted(bucket, np.arange(BUCKETS), side) for side in ("left", "right")), strict=True):
+                for a, b in zip(*(np.searchsorted(bucket, np.arange(BUCKETS, dtype=np.uint8), side) for side in ("left", "right")), strict=True):
                     if b > a:
                         rows.append((int(bucket[a]), kind, _packed(keys[a:b], counts[a:b])))
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int8(), pa.binary()), strict=True)], names=["bucket", "kind", "payload"])
@@ -363,21 +364,20 @@ _PARTS = "row long, doc_id long, held_out boolean, n_tokens long, n_known long,
 
 def _token_parts(shared):
     """Rows (row, doc_id, training, text) to what can be told of them beside the text, and the words whose counts are elsewhere."""
-    schema = pa.schema([
+    plain = pa.schema([
         ("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("log_counts", pa.float64()), ("log_classes", pa.float64()),
-        ("rare", pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int64())]))),
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: ClassModel = shared.value
         # Of each word of a bounded memory: class, count (-1: elsewhere).
         memory: dict[bytes, tuple[int, int]] = {}
-        for batch in batches:
-            out = []
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
+            out, rare_words, rare_times, ends = [], [], [], [0]
             for row, doc, training, raw in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 words = split_words(raw, lower=True)
                 words.append(END)
-                places, counts, rare = [END_CLASS], [], Counter()
+                places, counts, rare = array("B", [END_CLASS]), array("q"), Counter()
                 for w in words:
                     hit = memory.get(w)
                     if hit is None:
@@ -388,13 +388,15 @@ def _token_parts(shared):
                     counts.append(hit[1])
                     if hit[1] < 0:
                         rare[w] += 1
-                at, n = np.array(places), np.array(counts)
+                at, n = np.array(places, np.int64), np.array(counts)
                 log_classes = model.log_transition[at[:-1], at[1:]].sum() - model.log_size[at[1:]].sum()
-                out.append((
-                    row, doc, not training, len(words), int((n > 0).sum()), float(np.log10(n[n > 0] + 1.0).sum()), float(log_classes), [{"word": w, "k": k} for w, k in rare.items()]
-                ))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+                out.append((row, doc, not training, len(words), int((n > 0).sum()), float(np.log10(n[n > 0] + 1.0).sum()), float(log_classes)))
+                rare_words += rare.keys()
+                rare_times += rare.values()
+                ends.append(len(rare_words))
+            columns = [pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), plain, strict=True)]
+            met = pa.StructArray.from_arrays([pa.array(rare_words, pa.binary()), pa.array(rare_times, pa.int64())], names=["word", "k"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), met)], names=[*plain.names, "rare"])
 
     return run
 
