@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 
 from quirelake.llm.common import SALTS, materialize, release, shared_path, table
 
-BUCKETS = 64
-INDEX_SCHEMA = "digest binary, entry boolean, keep_id bigint, n_rows bigint, batch string"
+#: Rows that a bucket of the index should hold, and the least and most buckets.
+BUCKET_ROWS, LEAST_BUCKETS, MOST_BUCKETS = 4_000_000, 64, 1 << 16
+INDEX_SCHEMA = "digest binary, entry boolean, keep_id bigint, n_rows bigint, batch bigint"
 #: Batches that the query deals the documents to, by ranges of doc_id in ascending order.
 BATCHES = 2
 
@@ -36,10 +37,15 @@ def text_digest(text: Column) -> Column:
     return F.unhex(F.sha2(normalised(text).cast("binary"), 256))
 
 
+def bucket_count(rows: int) -> int:
+    """A power of two for an index of so many rows."""
+    return min(MOST_BUCKETS, max(LEAST_BUCKETS, 1 << max(0, rows // BUCKET_ROWS - 1).bit_length()))
+
+
 class DigestIndex:
-    """A digest index in a shared folder. ``buckets`` is fixed when the folder is first used."""
+    """A digest index in a shared folder. ``buckets`` is fixed when the folder is first used: see bucket_count for the rows it will hold."""
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
+    def __init__(self, spark: SparkSession, path: str, buckets: int = LEAST_BUCKETS):
         self.spark, self.path = spark, path
         self.name = f"digest_index_{uuid.uuid5(uuid.NAMESPACE_URL, path).hex}"
         spark.sql(
@@ -51,15 +57,15 @@ class DigestIndex:
     def rows(self) -> DataFrame:
         return self.spark.table(self.name)
 
-    def append(self, digests: DataFrame) -> str:
-        """Add a batch of (doc_id, digest); returns the batch's name."""
-        batch = uuid.uuid4().hex
+    def append(self, digests: DataFrame) -> int:
+        """Add a batch of (doc_id, digest); returns the batch's number, drawn at random."""
+        batch = uuid.uuid4().int >> 65
         groups = digests.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n_rows"))
         groups = materialize(groups, "groups")
         known = self.rows().where("entry").select("digest").hint("merge")
         fresh = groups.join(known, "digest", "left_anti").withColumn("entry", F.lit(True))
         more = groups.join(known, "digest", "left_semi").withColumn("entry", F.lit(False))
-        rows = fresh.unionByName(more).select("digest", "entry", "keep_id", "n_rows", F.lit(batch).alias("batch"))
+        rows = fresh.unionByName(more).select("digest", "entry", "keep_id", "n_rows", F.lit(batch).cast("bigint").alias("batch"))
         (
             rows.repartition(self.buckets, "digest")
             .write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").option("path", self.path).saveAsTable(self.name)
@@ -109,9 +115,9 @@ def exact_duplicates(documents: DataFrame, index: DigestIndex | None = None, tex
     if index:
         decided = index.add(documents, text, doc_id)
     else:
-        index = DigestIndex(documents.sparkSession, shared_path(documents.sparkSession, "digest-index"))
         digests = materialize(digests_of(documents, text, doc_id), "digests")
-        low, high = digests.agg(F.min("doc_id"), F.max("doc_id")).first()
+        low, high, rows = digests.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
+        index = DigestIndex(documents.sparkSession, shared_path(documents.sparkSession, "digest-index"), bucket_count(rows))
         low, high = low or 0, high or 0
         part = F.coalesce(F.floor((F.col("doc_id").cast("double") - float(low)) / (float(high) - float(low) + 1) * batches), F.lit(batches - 1))
         part = F.least(F.greatest(part, F.lit(0)), F.lit(batches - 1))

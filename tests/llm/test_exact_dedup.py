@@ -1,7 +1,7 @@
 import __spark_entry__ as entry
 import duckdb
 
-from quirelake.llm.exact_dedup import exact_duplicates
+from quirelake.llm.exact_dedup import MOST_BUCKETS, bucket_count, exact_duplicates
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -20,6 +20,12 @@ def test_query_takes_the_anti_join(spark, monkeypatch):
 
 def test_no_table_is_left_behind(spark):
     docs = spark.createDataFrame([(1, "a"), (2, "a"), (None, "b")], "doc_id long, text string")
+    before = {t.name for t in spark.catalog.listTables()}
     got = exact_duplicates(docs)
-    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("digest_index_")]
+    assert {t.name for t in spark.catalog.listTables()} == before
     assert sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got.collect()), key=str) == sorted([(1, 1, 2, True), (2, 1, 2, False), (None, None, 1, True)], key=str)
+
+
+def test_buckets_grow_with_the_rows():
+    assert [bucket_count(n) for n in (0, 10**6, 64 * 4_000_000, 65 * 4_000_000, 10**9, 10**15)] == [64, 64, 64, 128, 256, MOST_BUCKETS]
+    assert all(n / bucket_count(n) <= 8_000_000 for n in (10**k for k in range(12)))
