@@ -29,16 +29,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     digest, the_id, the_digest = free_names(docs, "digest", "kept_id", "kept_digest")
-    kept = exact_duplicates(docs, batches=1).where("kept").select(F.col("doc_id").alias(the_id), F.unhex("text_sha256").alias(the_digest)).distinct()
+    kept = exact_duplicates(docs).where("kept").select(F.col("doc_id").alias(the_id), F.unhex("text_sha256").alias(the_digest)).distinct()
     rows = docs.withColumn(digest, text_digest(F.col("text")))
     stay = rows.join(kept, rows["doc_id"].eqNullSafe(kept[the_id]) & (rows[digest] == kept[the_digest]), "left_semi")
     return stay.dropDuplicates(["doc_id", digest]).select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the row with the least doc_id stays. Rows are told apart by their place in the files of ``docs``."""
+    """Of each component the row with the least doc_id stays. Rows are told apart by a number that is written with them once."""
     (row,) = free_names(docs, "row")
-    placed = docs.withColumn(row, F.monotonically_increasing_id())
+    placed = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     parts = shingle_components(placed.select(F.col(row).alias("doc_id"), "text"))
     ids = placed.select(F.col(row).alias("at"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit((1 << 63) - 1)).alias("id"))
     parts = parts.select(F.col("doc_id").alias("at"), "component_id").join(ids, "at")
