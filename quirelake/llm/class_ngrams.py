@@ -42,12 +42,16 @@ FOLDS, HELD_OUT = 7, 2
 #: Units of the clustering (together a power of two, below 2**16), classes, rounds, turns in which units move, and words whose counts every task holds.
 WORDS, ENDINGS, CLASSES, ROUNDS, TURNS, KNOWN = 12_288, 4_096, 64, 12, 2, 200_000
 UNITS = WORDS + ENDINGS
-#: Buckets that units are dealt to, tokens packed at a time, different words counted or remembered at a time, and rows scored at a time.
-BUCKETS, BATCH_TOKENS, MEMORY, SLICE = 128, 3_000_000, 250_000, 1_000
+#: Buckets that units are dealt to, tokens packed at a time, different words counted or remembered at a time, and rows taken from a batch at a time.
+BUCKETS, BATCH_TOKENS, MEMORY, SLICE = 128, 1_500_000, 200_000, 1_000
 #: The end token, which no word equals, and the class that it has to itself.
 END, END_CLASS = b"", 0
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE))
+
+
 def is_training(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % FOLDS != HELD_OUT
 
@@ -72,7 +76,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             c.clear()
         return out
 
-    for batch in batches:
+    for batch in sliced(batches):
         for raw, training in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             into = counts[training]
             into.update(split_words(raw, lower=True))
@@ -133,7 +137,7 @@ def unit_pairs(units: dict[bytes, int], words: int = WORDS):
                         rows.append((int(bucket[a]), kind, _packed(keys[a:b], counts[a:b])))
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int8(), pa.binary()), strict=True)], names=["bucket", "kind", "payload"])
 
-        for batch in batches:
+        for batch in sliced(batches):
             for raw in batch.column(0).to_pylist():
                 for w in split_words(raw, lower=True):
                     u = memory.get(w)
@@ -372,7 +376,7 @@ def _token_parts(shared):
         model: ClassModel = shared.value
         # Of each word of a bounded memory: class, count (-1: elsewhere).
         memory: dict[bytes, tuple[int, int]] = {}
-        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
+        for batch in sliced(batches):
             out, rare_words, rare_times, ends = [], [], [], [0]
             for row, doc, training, raw in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 words = split_words(raw, lower=True)
