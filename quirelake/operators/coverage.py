@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
+import ahocorasick
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 BY = ["paper_id"]
 
@@ -69,35 +74,75 @@ def match_candidates(candidates: DataFrame, refs: DataFrame, threshold: float =
     )
 
 
-def contained_items(items: DataFrame, documents: DataFrame, words: int = 8) -> DataFrame:
-    """(item_id, doc_id) of documents that contain an item's text.
-
-    Items and documents meet at runs of ``words`` words, one run of the item and every run of the
-    document, and only pairs that met are compared; items shorter than a run are compared by all
-    their words as one run, against runs of that length.
+#: Items, and characters of them all, that one automaton in every task may hold.
+AUTOMATON_ITEMS, AUTOMATON_CHARS = 50_000, 2_000_000
+
+
+def _scanned(items: DataFrame, documents: DataFrame) -> DataFrame:
+    """(item_id, doc_id) by one scan of ``documents``; the items, which the caller has counted, are gathered into one automaton."""
+    patterns: dict[str, list] = {}
+    for r in items.select("item_id", F.lower(F.trim("text")).alias("pattern")).where("pattern is not null").collect():
+        patterns.setdefault(r.pattern, []).append(r.item_id)
+    everywhere = patterns.pop("", [])
+    shared = items.sparkSession.sparkContext.broadcast(patterns)
+    kinds = [to_arrow_type(d.schema[c].dataType) for d, c in ((items, "item_id"), (documents, "doc_id"))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = ahocorasick.Automaton()
+        for pattern, ids in shared.value.items():
+            automaton.add_word(pattern, (pattern, ids))
+        automaton.make_automaton()
+        for batch in batches:
+            found, where = [], []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                met = dict(hit for _, hit in automaton.iter(text)) if len(automaton) else {}
+                ids = [i for some in met.values() for i in some] + everywhere
+                found += ids
+                where += [doc] * len(ids)
+            yield pa.RecordBatch.from_arrays([pa.array(found, kinds[0]), pa.array(where, kinds[1])], names=["item_id", "doc_id"])
+
+    schema = ", ".join(f"{c} {d.schema[c].dataType.simpleString()}" for d, c in ((items, "item_id"), (documents, "doc_id")))
+    return documents.where("text is not null").select("doc_id", F.lower("text").alias("text")).mapInArrow(run, schema)
+
+
+def contained_items(items: DataFrame, documents: DataFrame, words: int = 8, most: int = AUTOMATON_ITEMS, chars: int = AUTOMATON_CHARS) -> DataFrame:
+    """(item_id, doc_id) of documents that contain an item's text, whatever the case; an empty item is in every text.
+
+    Up to ``most`` items of ``chars`` characters in all, which are counted, one automaton finds them in a single
+    scan, and no text is exchanged. Of more items, those of two words or fewer are scanned for in parts of that size;
+    the others meet documents at runs of ``words`` words, one run of the item and every run of the document (items
+    shorter than a run: all their words, against runs of that length), and only pairs that met are compared.
     """
+
     def runs(t: Column, k: int) -> Column:
         """Hashes of all runs: k shifted copies side by side, so that the words are split a fixed number of times."""
         shifted = [F.slice(t, i, F.greatest(F.size(t) - k + 1, F.lit(0))).alias(f"w{i}") for i in range(1, k + 1)]
         return F.transform(F.arrays_zip(*shifted), lambda z: F.xxhash64(F.concat_ws(" ", *[z[f"w{i}"] for i in range(1, k + 1)])))
 
+    def size(rows: DataFrame) -> float:
+        """Automata that hold all of them."""
+        n, long = rows.agg(F.count(F.lit(1)), F.sum(F.length("text"))).first()
+        return max(n / most if most else n, (long or 0) / chars if chars else long or 0)
+
+    if size(items) <= 1:
+        return _scanned(items, documents)
     split = lambda c: F.split(F.trim(F.lower(c)), r"\s+")
     inner = lambda t: F.slice(t, 2, F.greatest(F.size(t) - 2, F.lit(0)))  # noqa: E731  the ends may be parts of longer words
     keyed = items.withColumn("_w", inner(split(F.col("text")))).withColumn("_k", F.least(F.size("_w"), F.lit(words)))
-    lengths = [r[0] for r in keyed.select("_k").distinct().collect()]  # at most ``words`` + 1 numbers
-    found = None
+    lengths = [r[0] for r in keyed.where("text is not null").select("_k").distinct().collect()]  # at most ``words`` + 1 numbers
+    found = []
     for k in lengths:
         some = keyed.where(F.col("_k") == k)
         if k == 0:
-            met = some.join(documents.select("doc_id", F.col("text").alias("_dt"))).where(F.contains(F.lower("_dt"), F.lower(F.trim("text"))))
-        else:
-            a = some.select("item_id", F.xxhash64(F.array_join(F.slice("_w", F.lit(1), F.lit(k)), " ")).alias("_h"))
-            b = documents.select("doc_id", F.explode(F.array_distinct(runs(split(F.col("text")), k))).alias("_h"))
-            met = a.join(b, "_h").select("item_id", "doc_id").distinct()
-            met = met.join(items, "item_id").join(documents.select("doc_id", F.col("text").alias("_dt")), "doc_id").where(F.contains(F.lower("_dt"), F.lower(F.trim("text"))))
-        met = met.select("item_id", "doc_id")
-        found = met if found is None else found.union(met)
-    return found
+            parts = math.ceil(2 * size(some)) if most and chars else 1
+            found += [_scanned(some.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == i), documents) for i in range(parts)]
+            continue
+        a = some.select("item_id", F.xxhash64(F.array_join(F.slice("_w", F.lit(1), F.lit(k)), " ")).alias("_h"))
+        b = documents.select("doc_id", F.explode(F.array_distinct(runs(split(F.col("text")), k))).alias("_h"))
+        met = a.join(b, "_h").select("item_id", "doc_id").distinct()
+        met = met.join(items, "item_id").join(documents.select("doc_id", F.col("text").alias("_dt")), "doc_id").where(F.contains(F.lower("_dt"), F.lower(F.trim("text"))))
+        found.append(met.select("item_id", "doc_id"))
+    return reduce(DataFrame.union, found)
 
 
 def coverage(matched: DataFrame, by: list[str] = BY) -> DataFrame:
