@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,64 +90,87 @@ def distribution_summary(citations: DataFrame, sections: DataFrame, by: list[str
     return means.join(refs, by).join(listed, by, "left").withColumn("avg_per_section", F.round(F.try_divide(F.col("citations"), F.col("sections")), 2))
 
 
-HIERARCHY = "section_index int, parent_index int, root_index int, number string"
+def nearest_smaller(headings: Column) -> Column:
+    """array<(section_index, parent_index, root_index)> of ordered headings array<(section_index, level, ...)>.
+
+    A fold: the stack holds the open sections, their levels rising; a heading closes those not below its own level, so that what
+    is left ends with its parent and begins with its root.
+    """
+    stack, out = "array<struct<level:int,section_index:int>>", "array<struct<section_index:int,parent_index:int,root_index:int>>"
+    start = F.struct(F.array().cast(stack).alias("stack"), F.array().cast(out).alias("out"))
+
+    def step(acc: Column, h: Column) -> Column:
+        left = F.filter(acc["stack"], lambda s: s["level"] < h["level"])
+        parent, root = F.get(left, F.size(left) - 1)["section_index"], F.coalesce(F.get(left, F.lit(0))["section_index"], h["section_index"])
+        placed = F.struct(h["section_index"].alias("section_index"), parent.alias("parent_index"), root.alias("root_index"))
+        opened = F.struct(h["level"].alias("level"), h["section_index"].alias("section_index"))
+        return F.struct(F.concat(left, F.array(opened)).cast(stack).alias("stack"), F.concat(acc["out"], F.array(placed)).cast(out).alias("out"))
+
+    return F.aggregate(headings, start, step, lambda acc: acc["out"])
+
+
+def automatic_numbers(headings: Column) -> Column:
+    """array<string> of ordered headings array<(section_index, level, kind, given)>.
+
+    A given number resets the counters and a given letter the letters; an appendix gets the next letter; any other heading counts
+    at its level, and levels that were skipped show as 1.
+    """
+    start = F.struct(F.array().cast("array<int>").alias("counters"), F.lit(0).alias("letter"), F.array().cast("array<string>").alias("out"))
+
+    def step(acc: Column, h: Column) -> Column:
+        given, appendix = h["given"], F.coalesce(h["kind"] == "appendix", F.lit(False))
+        digits = F.coalesce(given.rlike("^[0-9]"), F.lit(False))
+        room = F.slice(F.concat(acc["counters"], F.array_repeat(F.lit(0), h["level"])), F.lit(1), h["level"])
+        counted = F.transform(room, lambda c, i: c + (i == h["level"] - 1).cast("int"))
+        counters = F.when(digits, F.transform(F.split(given, r"\."), lambda c: c.try_cast("int"))).when(given.isNotNull() | appendix, acc["counters"]).otherwise(counted)
+        letter = F.when(digits, acc["letter"]).when(given.isNotNull(), F.ascii(given) - 64).when(appendix, acc["letter"] + 1).otherwise(acc["letter"])
+        shown = F.array_join(F.transform(counted, lambda c: F.greatest(F.lit(1), c).cast("string")), ".")
+        number = F.when(given.isNotNull(), given).when(appendix, F.char(F.lit(64) + letter)).otherwise(shown)
+        return F.struct(counters.cast("array<int>").alias("counters"), letter.cast("int").alias("letter"), F.concat(acc["out"], F.array(number)).cast("array<string>").alias("out"))
+
+    return F.aggregate(headings, start, step, lambda acc: acc["out"])
 
 
 def section_hierarchy(sections: DataFrame, by: list[str] = BY) -> DataFrame:
     """(by, section_index, parent_index, root_index, number): the nearest earlier section of a smaller level, its root, and an automatic number.
 
-    A number in the title resets the counters; an appendix gets letters; a level that begins anew
-    starts at 1. The state runs through a paper's headings in order, so each paper is one group.
+    Both are folds over a paper's headings in order; a null level counts as 1.
     """
-    keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sections.select(*by).schema)
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("section_index")
-        stack: list[tuple[int, int]] = []
-        counters: list[int] = []
-        letter, root, out = 0, {}, []
-        for r in part.itertuples():
-            level = int(r.level)
-            while stack and stack[-1][0] >= level:
-                stack.pop()
-            parent = stack[-1][1] if stack else None
-            root[r.section_index] = r.section_index if parent is None else root[parent]
-            stack.append((level, r.section_index))
-            given = r.given if isinstance(r.given, str) else None
-            if given and given[0].isdigit():
-                counters = [int(x) for x in given.split(".")]
-                number = given
-            elif given:
-                number, letter = given, ord(given) - 64
-            elif r.kind == "appendix":
-                letter += 1
-                number = chr(64 + letter)
-            else:
-                counters = counters[:level] + [0] * (level - len(counters))
-                counters[level - 1] += 1
-                number = ".".join(str(max(1, c)) for c in counters)
-            out.append((r.section_index, parent, root[r.section_index], number))
-        frame = pd.DataFrame(out, columns=["section_index", "parent_index", "root_index", "number"]).astype({"parent_index": "Int32"})
-        for k in by:
-            frame.insert(0, k, part[k].iloc[0])
-        return frame[[*by, "section_index", "parent_index", "root_index", "number"]]
-
-    rows = sections.withColumn("given", T.section_prefix(F.col("section_title"))["number"]).select(*by, "section_index", "level", "kind", "given")
-    return rows.groupBy(*by).applyInPandas(run, f"{keys}, {HIERARCHY}")
+    heading = F.struct(
+        F.col("section_index").cast("int").alias("section_index"), F.coalesce(F.col("level").cast("int"), F.lit(1)).alias("level"), F.col("kind").cast("string").alias("kind"),
+        T.section_prefix(F.col("section_title"))["number"].alias("given"),
+    )
+    listed = sections.groupBy(*by).agg(F.array_sort(F.collect_list(heading)).alias("headings"))
+    joined = F.zip_with(
+        nearest_smaller(F.col("headings")), automatic_numbers(F.col("headings")),
+        lambda p, n: F.struct(p["section_index"].alias("section_index"), p["parent_index"].alias("parent_index"), p["root_index"].alias("root_index"), n.alias("number")),
+    )
+    return listed.select(*by, F.inline(joined))
+
+
+def parent_sections(sections: DataFrame, by: list[str] = BY) -> DataFrame:
+    """(by, section_index, parent_index): the nearest earlier section of a smaller level."""
+    heading = F.struct(F.col("section_index").cast("int").alias("section_index"), F.coalesce(F.col("level").cast("int"), F.lit(1)).alias("level"))
+    listed = sections.groupBy(*by).agg(F.array_sort(F.collect_list(heading)).alias("headings"))
+    return listed.select(*by, F.inline(nearest_smaller(F.col("headings")))).drop("root_index")
 
 
 def section_rollup(citations: DataFrame, hierarchy: DataFrame, by: list[str] = BY) -> DataFrame:
     """(by, section_index, citations, uniq, paragraphs): each section with all below it, at any depth.
 
-    Sections are joined to ancestors twice as far away in each round, until none has one, then summed once.
+    Sections are joined to ancestors twice as far away in each round, until none has one, then summed once. Sections on a
+    cycle of parents are below each other: no distance in a paper exceeds its number of sections, so the rounds end.
     """
+    longest = hierarchy.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
     same = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in by]
     ids = lambda a: [F.col(f"{a}.{k}").alias(k) for k in by]
     every = hierarchy.select(*by, F.col("section_index").alias("leaf"), F.col("section_index").alias("ancestor"))
     jump = _cut(hierarchy.where("parent_index is not null").select(*by, F.col("section_index").alias("low"), F.col("parent_index").alias("high")), "sections")
-    while not jump.isEmpty():
+    for _ in range(longest.bit_length()):
+        if jump.isEmpty():
+            break
         up = every.alias("e").join(jump.alias("j"), [*same("e", "j"), F.col("e.ancestor") == F.col("j.low")]).select(*ids("e"), "leaf", F.col("high").alias("ancestor"))
-        every = _cut(every.union(up), "ancestors")
+        every = _cut(every.union(up).distinct(), "ancestors")
         twice = jump.alias("a").join(jump.alias("b"), [*same("a", "b"), F.col("a.high") == F.col("b.low")])
         jump = _cut(twice.select(*ids("a"), F.col("a.low").alias("low"), F.col("b.high").alias("high")), "sections")
     own = citations.select(*by, F.col("section_index").alias("leaf"), "ref_key", "paragraph_index")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quirelake.functions import text as T
@@ -399,6 +399,41 @@ def best_source(a: Analog) -> DataFrame:
     return rounded(L.best_report(c.unionByName(s), priority, ["nation"]).select("nation", "source", F.col("report").alias("name")))
 
 
+# A paper's orders as its headings: levels and kinds by their keys.
+_TREE = """RECURSIVE h AS (SELECT o_custkey AS paper_id, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i, 1 + o_orderkey % 4 AS level, o_orderkey % 17 = 0 AS appendix,
+    CASE o_orderkey % 13 WHEN 0 THEN '3.2' WHEN 5 THEN 'B' END AS given FROM orders),
+  w AS (SELECT paper_id, 0::BIGINT AS i, []::BIGINT[] AS counters, 0::BIGINT AS letter, '' AS number, []::STRUCT(level BIGINT, i BIGINT)[] AS stack, []::STRUCT(level BIGINT, i BIGINT)[] AS above FROM (SELECT DISTINCT paper_id FROM h)
+    UNION ALL SELECT paper_id, i, CASE WHEN given = '3.2' THEN [3, 2] WHEN given IS NOT NULL OR appendix THEN counters ELSE bumped END, new_letter,
+      CASE WHEN given IS NOT NULL THEN given WHEN appendix THEN chr((64 + new_letter)::INT) ELSE array_to_string(list_transform(bumped, lambda c: greatest(1, c)), '.') END,
+      list_append(kept, {'level': level, 'i': i}), kept
+    FROM (SELECT h.*, w.counters, CASE WHEN given = 'B' THEN 2 WHEN given IS NULL AND appendix THEN w.letter + 1 ELSE w.letter END AS new_letter,
+      list_transform(range(1, h.level + 1), lambda k: coalesce(w.counters[k], 0) + (k = h.level)::INT) AS bumped, list_filter(w.stack, lambda s: s.level < h.level) AS kept
+      FROM w JOIN h ON h.paper_id = w.paper_id AND h.i = w.i + 1))"""
+
+
+def _headings(a: Analog) -> DataFrame:
+    """(paper_id, o_orderkey, section_index, level, kind, section_title)."""
+    key = F.col("o_orderkey")
+    return a.table("orders").select(
+        F.col("o_custkey").alias("paper_id"), key, F.row_number().over(Window.partitionBy("o_custkey").orderBy(key)).alias("section_index"), (1 + key % 4).alias("level"),
+        F.when(key % 17 == 0, "appendix").otherwise("main").alias("kind"), F.when(key % 13 == 0, "3.2 Part").when(key % 13 == 5, "B Extra").otherwise(F.col("o_orderpriority")).alias("section_title"),
+    )
+
+
+@query(f"WITH {_TREE} SELECT paper_id, i AS section_index, above[-1].i AS parent_index, coalesce(above[1].i, i) AS root_index, number FROM w WHERE i > 0")
+def section_tree(a: Analog) -> DataFrame:
+    return P.section_hierarchy(_headings(a))
+
+
+@query(f"""WITH {_TREE}, up AS (SELECT paper_id, i AS leaf, unnest(list_append(list_transform(above, lambda s: s.i), i)) AS section_index FROM w WHERE i > 0)
+SELECT up.paper_id, section_index, count(*) AS citations, count(DISTINCT l_partkey) AS uniq, count(DISTINCT h.o_orderkey) AS paragraphs
+FROM up JOIN h ON h.paper_id = up.paper_id AND h.i = up.leaf JOIN lineitem ON l_orderkey = h.o_orderkey GROUP BY ALL""")
+def section_tree_rollup(a: Analog) -> DataFrame:
+    headings = _headings(a)
+    cited = a.citations().join(headings.select("paper_id", F.col("o_orderkey").alias("paragraph_index"), "section_index"), ["paper_id", "paragraph_index"])
+    return P.section_rollup(cited, P.section_hierarchy(headings))
+
+
 _MATCH = "m AS (SELECT DISTINCT item_id FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(trim(b.text))))"
 
 

@@ -113,11 +113,20 @@ class Pace:
             self._next = max(now, self._next) + self.interval
 
 
+_PACES: dict[tuple, Pace] = {}
+
+
+def worker_pace(*key) -> Pace:
+    """The pace of a service in this worker; its last part is the interval."""
+    return _PACES.setdefault(key, Pace(key[-1]))
+
+
 class ServiceSource(DataSource):
     """``spark.read.format("metadata_service")``: JSON replies of a fetch function, one partition for each query.
 
     Options ``module`` and ``function`` name a function of a query that returns JSON texts; ``queries``
-    are separated by line ends.
+    are separated by line ends; ``attempts`` and ``interval`` (least seconds between the calls of a worker, 0 for none)
+    pace them. A query that fails for good is one row with ``error`` and without ``item``; one without replies has no row.
     """
 
     @classmethod
@@ -125,7 +134,7 @@ class ServiceSource(DataSource):
         return "metadata_service"
 
     def schema(self) -> str:
-        return "query string, pos int, item string"
+        return "query string, pos int, item string, error string"
 
     def reader(self, schema) -> DataSourceReader:
         return ServiceReader(dict(self.options))
@@ -142,9 +151,18 @@ class ServiceReader(DataSourceReader):
         import importlib
 
         fetch = getattr(importlib.import_module(self.options["module"]), self.options["function"])
-        ok, found = Retry()(lambda: list(fetch(partition.value)))
-        for i, item in enumerate(found if ok else []):
-            yield partition.value, i, item
+        pace = worker_pace(self.options["module"], self.options["function"], float(self.options.get("interval", 0)))
+
+        def call() -> list:
+            pace.wait()
+            return list(fetch(partition.value))
+
+        ok, found = Retry(int(self.options.get("attempts", 3)))(call)
+        if not ok:
+            yield partition.value, None, None, f"{type(found).__name__}: {found}"
+            return
+        for i, item in enumerate(found):
+            yield partition.value, i, item, None
 
 
 def register(spark: SparkSession) -> None:

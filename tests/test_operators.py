@@ -50,7 +50,7 @@ def test_hierarchy_and_rollup(spark):
     s = spark.createDataFrame([("p", 1, "Intro", 1, "main"), ("p", 2, "1.1 Setup", 2, "main"), ("p", 3, "Deep", 3, "main"), ("p", 4, "Next", 1, "main"), ("p", 5, "Appendix", 1, "appendix")], "paper_id string, section_index int, section_title string, level int, kind string")
     h = P.section_hierarchy(s)
     assert rows(h, "section_index", "parent_index", "root_index", "number") == [(1, None, 1, "1"), (2, 1, 1, "1.1"), (3, 2, 1, "1.1.1"), (4, None, 4, "2"), (5, None, 5, "A")]
-    assert rows(L.parent_sections(s), "section_index", "parent_index") == [(1, None), (2, 1), (3, 2), (4, None), (5, None)]
+    assert rows(P.parent_sections(s), "section_index", "parent_index") == [(1, None), (2, 1), (3, 2), (4, None), (5, None)]
     cit = spark.createDataFrame([("p", 2, "a", 0), ("p", 3, "a", 1), ("p", 4, "b", 2)], "paper_id string, section_index int, ref_key string, paragraph_index int")
     assert rows(P.section_rollup(cit, h), "section_index", "citations", "uniq") == [(1, 2, 1), (2, 2, 1), (3, 1, 1), (4, 1, 1)]
 

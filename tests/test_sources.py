@@ -116,3 +116,20 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {r.n: r.high_disagreement for r in spark.table("votes_out").collect()} == {2: True, 1: None}
+
+
+def test_a_failed_query_is_a_row_with_its_error(spark, tmp_path, monkeypatch):
+    """One query works, one has no replies, one fails for good: none is lost without a word."""
+    import sys
+
+    (tmp_path / "replies_for_tests.py").write_text("def fetch(query):\n    if query == 'bad':\n        raise ValueError('no such field')\n    return ['{}', '[]'] if query == 'good' else []\n")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    spark.sparkContext.addPyFile(str(tmp_path / "replies_for_tests.py"))
+    M.register(spark)
+    rows = spark.read.format("metadata_service").options(module="replies_for_tests", function="fetch", queries="good\nbad\nnone", attempts="2", interval="0.01").load().collect()
+    sys.modules.pop("replies_for_tests", None)
+    assert sorted(map(tuple, rows), key=str) == [("bad", None, None, "ValueError: no such field"), ("good", 0, "{}", None), ("good", 1, "[]", None)]
+
+
+def test_a_worker_has_one_pace_for_a_service():
+    assert M.worker_pace("m", "f", 0.5) is M.worker_pace("m", "f", 0.5) is not M.worker_pace("m", "g", 0.5)
