@@ -26,10 +26,13 @@ LATEX_CHARS = (
     (r"\&", "&"), (r"\%", "%"), (r"\$", "$"), (r"\#", "#"), (r"\_", "_"), (r"\{", "{"), (r"\}", "}"), (r"\~", "~"), (r"\^", "^"),
     ("``", '"'), ("''", '"'), ("`", "'"), ("'", "'"), ("--", "-"), ("---", "-"),
 )
+# Fixed values.
 STOPWORDS = (
-    "a an the and or but in on at to for of with by from is are was were be been being have has had do does did will would could should "
-    "may might must shall can this that these those i you he she it we they what which who whom whose where when why how"
-).split()
+    "a", "an", "the", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "from", "is", "are", "was", "were", "be",
+    "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "could", "should", "may", "might", "must", "shall", "can",
+    "this", "that", "these", "those", "i", "you", "he", "she", "it", "we", "they", "what", "which", "who", "whom", "whose", "where", "when",
+    "why", "how",
+)
 
 
 _none = lambda kind: F.array().cast(f"array<{kind}>")
@@ -405,12 +408,11 @@ def compare_metadata(title: Column, authors: Column, year: Column, found_title:
 # Keywords, replies, abstracts
 
 
-def keyword_bigrams(text: Column, stopwords=tuple(STOPWORDS), most: int | None = 5) -> Column:
+def keyword_bigrams(text: Column, stopwords=STOPWORDS, most: int | None = 5) -> Column:
     """Distinct pairs of adjacent words, neither a stopword, in order."""
     words = F.regexp_extract_all(F.lower(text), F.lit("[a-z]{2,}"), F.lit(0))
-    stop = F.array(*map(F.lit, stopwords))
     pairs = F.when(F.size(words) > 1, F.arrays_zip(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))).alias("a"), F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))).alias("b")))
-    kept = F.transform(F.filter(pairs, lambda p: ~F.array_contains(stop, p["a"]) & ~F.array_contains(stop, p["b"])), lambda p: F.concat_ws(" ", p["a"], p["b"]))
+    kept = F.transform(F.filter(pairs, lambda p: ~p["a"].isin(*stopwords) & ~p["b"].isin(*stopwords)), lambda p: F.concat_ws(" ", p["a"], p["b"]))
     found = F.coalesce(F.array_distinct(kept), _none("string"))
     return F.slice(found, 1, most) if most else found
 
