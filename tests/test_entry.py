@@ -18,7 +18,7 @@ def test_entry(spark):
 @pytest.mark.parametrize("name", CHECKED)
 def test_oracle(spark, name):
     con = duckdb.connect()
-    for t in ("customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels"):
+    for t in ("customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"):
         con.execute(f"create view {t} as select * from read_parquet('{SMALL}/{t}.parquet')")
     got = entry.queries()[name](spark, SMALL).toPandas()
     want = con.execute(entry.oracle_sql()[name]).fetchdf()
