@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirelake.plans import evidence, relational, texts
+from quirelake.plans import evidence, pages, relational, texts
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,8 +14,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return relational.QUERIES | texts.QUERIES | evidence.QUERIES
+    return relational.QUERIES | texts.QUERIES | pages.QUERIES | evidence.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return relational.SQL | texts.SQL | evidence.SQL
+    return relational.SQL | texts.SQL | pages.SQL | evidence.SQL
