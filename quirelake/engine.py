@@ -6,7 +6,8 @@ the sizes that the graph operators count.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +15,9 @@ from pyspark.sql import functions as F
 from quirelake.config import Config, GraphConfig
 from quirelake.functions import text as T
 from quirelake.operators import coverage as C
+from quirelake.operators import evidence as E
 from quirelake.operators import graph as G
+from quirelake.operators import judging as J
 from quirelake.operators import linkage as L
 from quirelake.operators import paragraphs as P
 from quirelake.operators import report as R
@@ -168,7 +171,7 @@ def score(wide: DataFrame, votes: DataFrame | None = None, config: Config | None
     if judge is not None:
         base = base.withColumn("score", F.coalesce("score", judge))
     stats = V.vote_stats(votes) if votes is not None else ruled.where("false").select(*BY, "sub_id", F.lit(None).cast("double").alias("med"), F.lit(None).cast("double").alias("sd"))
-    voted = V.targets(reg, wide.select(*BY, "c6_auto_fail")).where("votes").select(*BY, "sub_id")
+    voted = V.targets(reg, wide.select(*BY, F.col("c6_auto_fail").alias("auto_fail"))).where("votes").select(*BY, "sub_id")
     fixed = stats.join(voted, [*BY, "sub_id"], "left_semi").select(*BY, "sub_id", F.col("med").alias("corrected_score"), "sd")
     out = base.join(fixed, [*BY, "sub_id"], "left").withColumn("final_score", F.coalesce("corrected_score", "score")).where("final_score is not null")
     out = out.withColumns({"source": F.when(F.col("corrected_score").isNotNull(), "corrected").otherwise("original"), "sd": F.coalesce("sd", F.lit(0.0)), "reasoning": F.lit("")})
@@ -176,7 +179,100 @@ def score(wide: DataFrame, votes: DataFrame | None = None, config: Config | None
     return dims, V.weighted_overall(dims, config.weight_table(spark) if config.weights else None)
 
 
-def report(papers: DataFrame, wide: DataFrame, dimensions: DataFrame, overall: DataFrame) -> DataFrame:
+def details(references: DataFrame, wide: DataFrame, matched: DataFrame | None = None, judgments: DataFrame | None = None, most: int = 3) -> DataFrame:
+    """(paper_id, part, value, supported, sample, examples) beside the scores: V1 with C5 and references that weren't verified, V2 with
+    judged pairs and notes of contradictions, E1 with G4 and key papers that are missing, E2 and R3 with S5, R1 with T5, R2 with S3."""
+    texts = lambda rows, text, order: rows.groupBy(*BY).agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct(order, text))), 1, most), lambda x: x[text]).alias("examples"))
+    named = [("V1", texts(references.where("not is_valid"), "key", "pos"))] if "is_valid" in references.columns else []
+    if matched is not None:
+        named.append(("E1", texts(matched.where("ref_key is null"), "title", "pos")))
+    if judgments is not None:
+        named.append(("V2", texts(judgments.where("judgment = 'contradict'"), "note", "pos")))
+    rows = F.array(*[F.struct(F.lit(part).alias("part"), F.col(c).cast("double").alias("value")) for part, c in (("V1", "c5"), ("V2", "c6_rate"), ("E1", "g4"), ("E2", "s5"), ("R1", "t5"), ("R2", "s3"), ("R3", "s5"))])
+    out = wide.select(*BY, F.explode(rows).alias("d")).select(*BY, "d.part", "d.value")
+    if judgments is None:
+        out = out.withColumns({"supported": F.lit(None).cast("long"), "sample": F.lit(None).cast("long")})
+    else:
+        counts = judgments.groupBy(*BY).agg(F.count_if(F.col("judgment") == "support").alias("supported"), F.count(F.lit(1)).alias("sample")).withColumn("part", F.lit("V2"))
+        out = out.join(counts, [*BY, "part"], "left")
+    if not named:
+        return out.withColumn("examples", F.lit(None).cast("array<string>"))
+    examples = reduce(DataFrame.unionByName, [rows.withColumn("part", F.lit(part)) for part, rows in named])
+    return out.join(examples, [*BY, "part"], "left")
+
+
+def report(papers: DataFrame, wide: DataFrame, dimensions: DataFrame, overall: DataFrame, beside: DataFrame | None = None) -> DataFrame:
     """(paper_id, report); G6 is shown as a share."""
     shown = long_metrics(wide.withColumn("g6", F.coalesce("g6_ratio", F.col("g6"))))
-    return R.report(papers.select(*BY, "source_path"), shown, dimensions, overall)
+    return R.report(papers.select(*BY, "source_path"), shown, dimensions, overall, details=beside)
+
+
+def contexts(wide: DataFrame, beside: DataFrame, definitions: DataFrame) -> DataFrame:
+    """(paper_id, agent, sub_id, context, preset): the text that a judge of each sub-dimension gets. ``definitions`` (metric_id, definition) are the registry's."""
+    spark = wide.sparkSession
+    rows = E.dispatch(V.registry(spark), long_metrics(wide), definitions, wide.select(*BY, F.col("c6_auto_fail").alias("auto_fail")), BY)
+    warned = V.evidence_warnings(wide).groupBy(*BY, "agent").agg(F.sort_array(F.collect_list("code")).alias("warnings"))
+    rows = rows.join(warned, [*BY, "agent"], "left").withColumn("part", F.substring("sub_id", 1, 2)).join(beside.select(*BY, "part", F.col("examples").alias("items")), [*BY, "part"], "left")
+    none = F.array().cast("array<string>")
+    rows = rows.withColumns({"description": F.lit(""), "rubric": F.lit(""), "warnings": F.coalesce("warnings", none), "items": F.coalesce("items", none)})
+    return rows.select(*BY, "agent", "sub_id", E.context_text(rows).alias("context"), "preset")
+
+
+@dataclass
+class Evaluation:
+    extraction: Extraction
+    graph: GraphReport
+    metrics: DataFrame
+    votes: DataFrame | None
+    dimensions: DataFrame
+    overall: DataFrame
+    reports: DataFrame
+
+
+def evaluate(
+    papers: DataFrame, as_of_year: int, metadata: DataFrame | None = None, baseline: DataFrame | None = None, targets: DataFrame | None = None, candidates: DataFrame | None = None,
+    judgments: DataFrame | None = None, models: list[str] | None = None, judge: J.Judge | None = None, definitions: DataFrame | None = None, config: Config | None = None,
+) -> Evaluation:
+    """Papers (paper_id, source_path, text) in, a report for each out.
+
+    ``metadata`` (paper_id, key, source, pos, title, authors, year) verifies references, ``baseline`` (year, cnt) is the field's trend,
+    ``targets`` (paper_id, source, target_id, tokens) say whom references cite, ``candidates`` (paper_id, pos, title, doi) are key
+    papers, ``judgments`` (paper_id, pos, judgment, note) those of cited claims; what isn't given is null in the metrics. ``judge`` is
+    asked by every one of ``models`` for each sub-dimension that rules leave open. References, citations, graph measures, metrics and
+    votes are written once, so that no plan holds more than one step.
+    """
+    config = config or Config()
+    spark = papers.sparkSession
+    found = extract(papers)
+    references = found.references
+    if metadata is not None:
+        priority = spark.createDataFrame([(s.name, s.priority) for s in config.sources], "source string, priority int")
+        checked = L.verify(L.to_verify(references, config.verify_limit), metadata, priority)
+        checked = checked.select(*BY, "key", "source", "comparison", F.col("comparison.is_match").alias("is_valid"), F.col("comparison.confidence").alias("confidence"))
+        references = references.drop("source", "comparison", "is_valid", "confidence").join(checked, [*BY, "key"], "left")
+    found = Extraction(*[G._cut(rows, name) for rows, name in ((found.parts, "parts"), (found.sections, "sections"), (found.citations, "citations"), (references, "references"))])
+    none = lambda schema: spark.createDataFrame([], schema)
+    times = G._cut(temporal(found.references, none("year int, cnt long") if baseline is None else baseline, as_of_year), "times")
+    edges = none("paper_id string, src string, dst string")
+    if targets is not None:
+        ids = F.struct("doi", "arxiv_id", F.lit("").alias("openalex_id"), F.lit("").alias("semantic_scholar_id"))
+        edges = L.real_edges(found.references.select(*BY, "key", T.identity_tokens(ids).alias("tokens")), targets)[0]
+    graph = analyze_graph(found.references.withColumn("year", T.year_int(F.col("year"))), G._cut(edges, "edges"), as_of_year, config.graph)
+    graph = replace(graph, clusters=G._cut(graph.clusters, "clusters"), stats=G._cut(graph.stats, "stats"))
+    matched = covered = None
+    if candidates is not None:
+        matched, covered = coverage(candidates, found.references, config.coverage_threshold)
+        matched = G._cut(matched, "matched")
+        covered = C.coverage(matched)
+    judged = None if judgments is None else P.alignment_rates(judgments, config.contradiction_threshold)
+    wide = G._cut(metrics(found, times, structural(found), graph, section_alignment(found, graph.clusters), judged, covered), "metrics")
+    beside = details(found.references, wide, matched, judgments)
+    votes = None
+    if judge is not None and models:
+        asked = V.targets(V.registry(spark), wide.select(*BY, F.col("c6_auto_fail").alias("auto_fail"))).where("votes").select(*BY, "sub_id")
+        texts = contexts(wide, beside, none("metric_id string, definition string") if definitions is None else definitions).where("preset is null")
+        votes = G._cut(J.judge_votes(texts.drop("preset").join(asked, [*BY, "sub_id"], "left_semi"), models, judge), "votes")
+    dimensions, overall = score(wide, votes, config)
+    dimensions = G._cut(dimensions, "dimensions")
+    overall = V.weighted_overall(dimensions, config.weight_table(spark) if config.weights else None)
+    return Evaluation(found, graph, wide, votes, dimensions, overall, report(papers, wide, dimensions, overall, beside))

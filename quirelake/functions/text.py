@@ -188,16 +188,15 @@ def is_reference_start(line: Column) -> Column:
 
 
 def reference_block(text: Column) -> Column:
-    """Lines after a references heading; else from the first entry at 60 % of the lines or later; else the last 30 %."""
+    """Lines after a references heading; else from the first entry at 60 % of the lines or later, or the first at all; else the last 30 %."""
     lines = F.split(text, "\n")
     n = F.size(lines)
-    plain = lambda s: F.lower(F.trim(F.regexp_replace(s, r"^[#\s]+|[:\s]+$", "")))
-    known = F.array(*map(F.lit, HEADINGS))
-    heading = lambda s: F.array_contains(known, plain(s)) | ((F.length(F.trim(s)) <= 40) & F.exists(known, lambda h: F.contains(plain(s), h)))
-    first = lambda test: F.array_min(F.transform(lines, lambda s, i: F.when(test(s, i), i)))
-    at = first(lambda s, i: heading(s))
-    entry = first(lambda s, i: (i >= F.floor(n * 0.6).cast("int")) & is_reference_start(F.trim(s)))
-    begin = F.coalesce(at + 1, entry, F.floor(n * 0.7).cast("int"))
+    named = "|".join(HEADINGS)
+    heading = lambda s: s.rlike(rf"(?i)^\s*#*\s*({named})[:\s]*$") | ((F.length(F.trim(s)) <= 40) & s.rlike(rf"(?i)\b({named})\b"))
+    at = F.array_min(F.transform(lines, lambda s, i: F.when(heading(s), i)))
+    starts = F.array_compact(F.transform(lines, lambda s, i: F.when(is_reference_start(F.trim(s)), i)))
+    late = F.array_min(F.filter(starts, lambda i: i >= F.floor(n * 0.6).cast("int")))
+    begin = F.coalesce(at + 1, late, F.array_min(starts), F.floor(n * 0.7).cast("int"))
     return F.array_join(F.slice(lines, begin + 1, F.greatest(n - begin, F.lit(0))), "\n")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quirelake.operators import evidence as E
 from quirelake.operators.voting import grade, threshold_note
 
 BY = ["paper_id"]
@@ -21,7 +22,6 @@ NOTES = {
     "S5": ([(0.7, "Well-organized structure"), (0.4, ""), (0, "Weak structure-content alignment")], True),
     "G6": ([(0.10, "Low isolation"), (0.25, ""), (0, "Many isolated references")], False),
 }
-ADVICE = {"V": "Check the references that could not be verified and the claims they support.", "E": "Add the missing key papers and compare methods in more depth.", "R": "Balance sections and close the gaps between years."}
 
 
 def in_order(lines: Column, *order: str) -> Column:
@@ -47,28 +47,32 @@ def evidence_table(metrics: DataFrame, by: list[str] = BY, compat: bool = False)
     return metrics.groupBy(*by).agg(F.concat_ws("\n", F.lit("## Evidence"), F.lit("| Metric | Value | Note |\n|---|---|---|"), in_order(line, "metric_id")).alias("evidence"))
 
 
-def assessment_table(dimensions: DataFrame, by: list[str] = BY) -> DataFrame:
-    """(by, assessment) from (by, agent, sub_id, final_score, source, sd, reasoning)."""
-    badge = F.when(F.col("sd") > 1, " (high variance)").otherwise("")
-    line = F.concat(F.lit("| "), F.col("agent"), F.lit(" | "), F.col("sub_id"), F.lit(" | "), F.format_number("final_score", 1), badge, F.lit(" | "), F.col("source"), F.lit(" |"))
-    return dimensions.groupBy(*by).agg(
-        F.concat_ws("\n", F.lit("## Assessment"), F.lit("| Agent | Dimension | Score | Source |\n|---|---|---|---|"), in_order(line, "agent", "sub_id"), F.concat(F.lit("Lowest: "), F.min_by("sub_id", F.struct("final_score", "sub_id")))).alias("assessment")
-    )
+def with_details(dimensions: DataFrame, details: DataFrame | None, by: list[str] = BY) -> DataFrame:
+    """``dimensions`` with _value, _supported, _sample and _examples of ``details`` (by, part, value, supported, sample, examples); part is the start of a sub_id."""
+    if details is None:
+        none = {"_value": "double", "_supported": "long", "_sample": "long", "_examples": "array<string>"}
+        return dimensions.withColumns({c: F.lit(None).cast(kind) for c, kind in none.items()})
+    some = details.select(*by, F.col("part").alias("_p"), *[F.col(c).alias(f"_{c}") for c in ("value", "supported", "sample", "examples")])
+    return dimensions.withColumn("_p", F.substring("sub_id", 1, 2)).join(some, [*by, "_p"], "left").drop("_p")
 
 
-def recommendation(sub_id: Column) -> Column:
-    out = F.lit("Review this dimension.")
-    for prefix, text in ADVICE.items():
-        out = F.when(F.startswith(sub_id, F.lit(prefix)), text).otherwise(out)
-    return out
+def assessment_table(dimensions: DataFrame, by: list[str] = BY, details: DataFrame | None = None) -> DataFrame:
+    """(by, assessment) from (by, agent, sub_id, final_score, source, sd, reasoning); with ``details``, the evidence beside each score."""
+    badge = F.when(F.col("sd") > 1, " (high variance)").otherwise("")
+    beside = F.concat(F.lit(" "), E.evidence_line(F.col("sub_id"), F.col("_value"), F.col("_supported"), F.col("_sample")), F.lit(" |"))
+    line = F.concat(F.lit("| "), F.col("agent"), F.lit(" | "), F.col("sub_id"), F.lit(" | "), F.format_number("final_score", 1), badge, F.lit(" | "), F.col("source"), F.lit(" |"), F.lit("") if details is None else beside)
+    top = "| Agent | Dimension | Score | Source |\n|---|---|---|---|" if details is None else "| Agent | Dimension | Score | Source | Evidence |\n|---|---|---|---|---|"
+    lowest = F.concat(F.lit("Lowest: "), F.min_by("sub_id", F.struct("final_score", "sub_id")))
+    return with_details(dimensions, details, by).groupBy(*by).agg(F.concat_ws("\n", F.lit("## Assessment"), F.lit(top), in_order(line, "agent", "sub_id"), lowest).alias("assessment"))
 
 
-def findings_text(dimensions: DataFrame, low: float = 3.5, high: float = 4.0, by: list[str] = BY) -> DataFrame:
-    """(by, findings): low dimensions with a recommendation, weakest first; then high ones, strongest first."""
+def findings_text(dimensions: DataFrame, low: float = 3.5, high: float = 4.0, by: list[str] = BY, details: DataFrame | None = None) -> DataFrame:
+    """(by, findings): low dimensions with advice, weakest first; then high ones with what supports them, strongest first."""
     score = F.format_number("final_score", 1)
     weak = F.col("final_score") < low
-    line = F.when(weak, F.concat(F.lit("- "), F.col("sub_id"), F.lit(" ("), score, F.lit("): "), recommendation(F.col("sub_id")))).otherwise(F.concat(F.lit("- "), F.col("sub_id"), F.lit(" ("), score, F.lit("): strength")))
-    rows = dimensions.where((F.col("final_score") < low) | (F.col("final_score") >= high))
+    text = F.when(weak, E.recommendation(F.col("sub_id"), F.col("_examples"), F.col("_value"))).otherwise(E.strength(F.col("sub_id"), F.col("_value")))
+    line = F.concat(F.lit("- "), F.col("sub_id"), F.lit(" ("), score, F.lit("): "), text)
+    rows = with_details(dimensions.where((F.col("final_score") < low) | (F.col("final_score") >= high)), details, by)
     rows = rows.withColumns({"_part": F.when(weak, 0).otherwise(1), "_rank": F.when(weak, F.col("final_score")).otherwise(-F.col("final_score"))})
     return rows.groupBy(*by).agg(F.concat_ws("\n", F.lit("## Key findings"), in_order(line, "_part", "_rank", "sub_id")).alias("findings"))
 
@@ -80,11 +84,11 @@ def paragraph_table(rollup: DataFrame, by: list[str] = BY) -> DataFrame:
     return rollup.groupBy(*by).agg(F.concat_ws("\n", F.lit("## Citation distribution"), F.lit("| Paragraph | Citations | References |\n|---|---|---|"), in_order(line, "paragraph_index")).alias("distribution"))
 
 
-def report(papers: DataFrame, metrics: DataFrame, dimensions: DataFrame, overall: DataFrame, by: list[str] = BY) -> DataFrame:
-    """(by, report): the parts of every paper joined; a part without rows is left out."""
+def report(papers: DataFrame, metrics: DataFrame, dimensions: DataFrame, overall: DataFrame, by: list[str] = BY, details: DataFrame | None = None) -> DataFrame:
+    """(by, report): the parts of every paper joined; a part without rows is left out. ``details`` as in ``with_details``."""
     rows = papers.join(overall, by, "left")
     rows = rows.withColumn("_head", header(rows))
-    for part in (evidence_table(metrics, by), assessment_table(dimensions, by), findings_text(dimensions, by=by)):
+    for part in (evidence_table(metrics, by), assessment_table(dimensions, by, details), findings_text(dimensions, by=by, details=details)):
         rows = rows.join(part, by, "left")
     return rows.select(*by, F.concat_ws("\n\n", "_head", "evidence", "assessment", "findings").alias("report"))
 

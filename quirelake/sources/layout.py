@@ -140,18 +140,20 @@ def sections(parts: DataFrame, by: list[str] | None = None) -> DataFrame:
 def placed_sentences(text: Column) -> Column:
     """(text, start, end) of each sentence: blanks collapsed, places those of the text as it is; an abbreviation ends none."""
     cut = F.split(F.regexp_replace(F.translate(text, "\x01", " "), rf"({T.SENTENCE_END})", "$1\x01"), "\x01")
-    start = F.struct(F.array().cast(f"array<{PIECE}>").alias("out"), F.lit(0).alias("at"))
+    # An abbreviation lies within one piece, so whether a sentence goes on is each piece's own matter.
+    whole = F.transform(F.transform(cut, lambda p: F.struct(p.alias("raw"), T.collapse(p).alias("text"))), lambda p: F.struct(
+        p["text"].alias("text"), F.length(p["raw"]).alias("long"), F.length(F.regexp_replace(p["raw"], r"\s+$", "")).alias("shown"), T.ends_with_abbreviation(p["text"]).alias("open")
+    ))
+    start = F.struct(F.array().cast(f"array<{PIECE}>").alias("out"), F.lit(0).alias("at"), F.lit(False).alias("open"))
 
     def step(acc: Column, piece: Column) -> Column:
-        before = F.get(acc["out"], F.size(acc["out"]) - 1)
-        end = acc["at"] + F.length(F.regexp_replace(piece, r"\s+$", ""))
-        goes_on = (F.size(acc["out"]) > 0) & F.coalesce(T.ends_with_abbreviation(before["text"]), F.lit(False))
-        row = F.struct(T.collapse(piece).alias("text"), acc["at"].alias("start"), end.alias("end"))
-        longer = F.struct(F.concat_ws(" ", before["text"], T.collapse(piece)).alias("text"), before["start"].alias("start"), end.alias("end"))
-        out = F.when(goes_on, F.concat(F.slice(acc["out"], F.lit(1), F.size(acc["out"]) - 1), F.array(longer))).otherwise(F.concat(acc["out"], F.array(row)))
-        return F.struct(out.alias("out"), (acc["at"] + F.length(piece)).alias("at"))
-
-    return F.filter(F.aggregate(cut, start, step, lambda acc: acc["out"]), lambda s: s["text"] != "")
+        before, end = F.get(acc["out"], F.size(acc["out"]) - 1), acc["at"] + piece["shown"]
+        row = F.struct(piece["text"].alias("text"), acc["at"].alias("start"), end.alias("end"))
+        longer = F.struct(F.concat_ws(" ", before["text"], piece["text"]).alias("text"), before["start"].alias("start"), end.alias("end"))
+        out = F.when(acc["open"], F.concat(F.slice(acc["out"], F.lit(1), F.size(acc["out"]) - 1), F.array(longer))).otherwise(F.concat(acc["out"], F.array(row)))
+        return F.struct(out.alias("out"), (acc["at"] + piece["long"]).alias("at"), piece["open"].alias("open"))
+
+    return F.filter(F.aggregate(whole, start, step, lambda acc: acc["out"]), lambda s: s["text"] != "")
 
 
 def citations(parts: DataFrame, by: list[str] | None = None) -> DataFrame:

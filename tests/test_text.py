@@ -105,3 +105,10 @@ def test_page_ranges(spark):
 def test_scholar(spark):
     html = '<div class="gs_ri"><h3 class="gs_rt">[PDF] Deep <b>nets</b></h3><div class="gs_a">J Doe, A Roe - NeurIPS, 2019</div><a>Cited by 42</a></div>'
     assert one(spark, T.scholar_hit(F.col("text")), html).asDict() == {"title": "Deep nets", "year": "2019", "authors": "J Doe, A Roe", "cited_by": 42}
+
+
+def test_reference_block_places(spark):
+    block = lambda t: spark.createDataFrame([(t,)], "t string").select(T.reference_block(F.col("t")).alias("b")).first()["b"]
+    assert block("a\n## References:\n[1] x") == "[1] x" and block("User preferences\nb\nMore\nand\nReferences\n[1] x") == "[1] x"
+    assert block("a\nb\n[1] x\nc\n[2] y") == "[2] y" and block("a\n[1] x\nb\nc\nd\ne") == "[1] x\nb\nc\nd\ne"
+    assert block("a\nb\nc\nd") == "c\nd" and block("") == ""
