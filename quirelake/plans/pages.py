@@ -1,10 +1,12 @@
-"""Queries of the layout scan over pages made of whole tables."""
+"""Queries of the layout scan, of Markdown papers and of judges, over papers and targets made of whole tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quirelake import engine
+from quirelake.operators import graph, judging, paragraphs, voting
 from quirelake.sources import layout
 
 QUERIES: dict = {}
@@ -76,3 +78,48 @@ def layout_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def layout_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = layout.sections(layout.paragraphs(papers(spark, sf_dir)))
     return found.select("paper_id", "section_index", "section_title", F.col("page").cast("long").alias("page"), "paragraph_index")
+
+
+# A customer's orders are the paragraphs and the reference list of a Markdown paper; Spark and DuckDB both read this.
+PARAGRAPHS = """SELECT paper_id, i, n, year, CASE WHEN o_orderkey % 3 = 0 THEN 'Nets [' || CAST(i AS STRING) || '] work, see [' || CAST(CASE WHEN i < n THEN i + 1 ELSE 1 END AS STRING) || '].' WHEN o_orderkey % 3 = 1 THEN 'Graphs help [1-' || CAST(CASE WHEN i < 3 THEN i ELSE 3 END AS STRING) || ']. They do.' ELSE 'No mark here.' END AS text
+FROM (SELECT o_custkey AS paper_id, o_orderkey, CAST(YEAR(o_orderdate) AS INT) AS year, CAST(ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INT) AS i, CAST(COUNT(*) OVER (PARTITION BY o_custkey) AS INT) AS n FROM {orders}) numbered"""
+
+
+def markdown_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(paper_id, text)."""
+    rows = spark.sql(PARAGRAPHS, orders=spark.read.parquet(f"{sf_dir}/orders.parquet"))
+    cite = lambda c: F.concat(F.lit("["), F.col("i").cast("string"), F.lit("] A. Author. Paper number "), F.col("i").cast("string"), F.lit(" on nets. "), F.col("year").cast("string"), F.lit("."))
+    listed = rows.groupBy("paper_id").agg(F.sort_array(F.collect_list(F.struct("i", "text", cite("i").alias("entry")))).alias("_p"))
+    body, entries = F.array_join(F.col("_p.text"), "\n\n"), F.array_join(F.col("_p.entry"), "\n")
+    return listed.select("paper_id", F.concat(F.lit("# Nets\n\n## 1 Introduction\n\n"), body, F.lit("\n\n## References\n\n"), entries).alias("text"))
+
+
+@add(f"""WITH p AS ({PARAGRAPHS.replace("{orders}", "orders")}),
+m AS (SELECT paper_id, n, unnest(regexp_extract_all(text, '[0-9]+(-[0-9]+)?', 0)) AS part FROM p), c AS (SELECT DISTINCT paper_id, unnest(range(split_part(part, '-', 1)::INT, (CASE WHEN part LIKE '%-%' THEN split_part(part, '-', 2) ELSE part END)::INT + 1)) AS i FROM m)
+SELECT paper_id, count(*) AS total, count(*) - count(c.i) AS uncited, 1 - count(c.i) / count(*) AS rate, (max(year) - min(year))::INTEGER AS span FROM p LEFT JOIN c USING (paper_id, i) GROUP BY 1""")
+def paper_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C3 and T1 of Markdown papers: paragraphs, citations and the reference list read from the text, linked by number."""
+    found = engine.extract(markdown_papers(spark, sf_dir))
+    rates = paragraphs.orphan_rate(found.references, found.citations)
+    years = found.references.groupBy("paper_id").agg((F.max(F.col("year").cast("int")) - F.min(F.col("year").cast("int"))).alias("span"))
+    return rates.join(years, "paper_id").select("paper_id", "total", "uncited", "rate", "span")
+
+
+def table_judge(model: str, context: str, attempt: int) -> str:
+    """Answers by the context's number: raises for some targets, for others at the first attempt only, or names no score."""
+    n = int(context) + len(model)
+    if n % 7 == 6 or (attempt == 1 and n % 5 == 0):
+        raise ValueError(context)
+    return "no opinion" if n % 7 == 5 else f"Score: {n % 7}"
+
+
+@add("""WITH v AS (SELECT event_id, CASE WHEN n % 7 = 6 THEN NULL WHEN n % 7 = 5 THEN 5.0 ELSE (n % 7)::DOUBLE END AS score, CASE WHEN n % 7 = 6 THEN 3 WHEN n % 5 = 0 THEN 2 ELSE 1 END AS attempts
+  FROM (SELECT event_id, event_id + unnest([1, 2, 9]) AS n FROM events))
+SELECT event_id, count(score) AS n, median(score) AS med, stddev_samp(score) AS sd, sum(attempts)::BIGINT AS attempts FROM v GROUP BY 1 HAVING count(score) >= 2""")
+def judge_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event judged by three models; median and deviation of those with two votes or more, and the attempts made."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("event_id").cast("string").alias("context"))
+    votes = judging.judge_votes(events, ["a", "bb", "ccccccccc"], table_judge)
+    votes = graph._cut(votes.select("event_id", "score", "attempts"), "votes")
+    made = votes.groupBy("event_id").agg(F.sum("attempts").alias("attempts"))
+    return voting.vote_stats(votes, [], "event_id").join(made, "event_id").select("event_id", "n", "med", "sd", "attempts")
