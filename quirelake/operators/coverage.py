@@ -7,12 +7,13 @@ from collections.abc import Iterator
 from functools import reduce
 
 import ahocorasick
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from quirelake.operators.titles import near_keys, word_key
+
 BY = ["paper_id"]
 
 
@@ -26,35 +27,11 @@ def first_titles(rows: DataFrame, order: list, by: list[str] = BY) -> DataFrame:
     return kept.withColumn("_rk", F.row_number().over(Window.partitionBy(*by, "_t").orderBy(*order))).where("_rk = 1").drop("_rk", "_t")
 
 
-def common_subsequence(x: str, y: str) -> int:
-    """Length of the longest common subsequence; one wide integer holds a row, a bit for each place of ``x``."""
-    places: dict[str, int] = {}
-    for i, c in enumerate(x):
-        places[c] = places.get(c, 0) | 1 << i
-    row = every = (1 << len(x)) - 1
-    for c in y:
-        met = row & places.get(c, 0)
-        row = (row + met | row - met) & every
-    return len(x) - row.bit_count()
-
-
-def token_sort_ratio(a: Column, b: Column) -> Column:
-    """200 * longest common subsequence of the sorted words / sum of lengths; in Arrow batches."""
-
-    @F.pandas_udf("double")
-    def ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for left, right in batches:
-            yield pd.Series([200.0 * common_subsequence(x, y) / (len(x) + len(y)) if x or y else 100.0 for x, y in zip(left, right, strict=True)])
-
-    words = lambda c: F.array_join(F.array_sort(F.filter(F.split(F.lower(F.trim(c)), r"\s+"), lambda w: w != "")), " ")
-    return ratio(words(a), words(b))
-
-
 def match_candidates(candidates: DataFrame, refs: DataFrame, threshold: float = 0.85, method: str = "ratio", by: list[str] = BY) -> DataFrame:
     """``candidates`` (by, pos, title, doi) with match_type (doi, title or null) and ref_key, the first reference that matches.
 
-    Titles meet within a paper's own two lists. ``ratio``: those whose lengths let them reach the threshold have
-    their token-sort ratio taken. ``substring``: one title holds the other.
+    ``ratio``: titles of a token-sort ratio of at least ``threshold``, met by their parts (``titles.near_keys``), not pair by pair;
+    ``by=[]`` compares all rows of both tables. ``substring``: one title holds the other.
     """
     doi = lambda c: F.nullif(F.lower(F.trim(c)), F.lit(""))
     by_doi = refs.withColumn("_d", doi(F.col("doi"))).where("_d is not null").groupBy(*by, "_d").agg(F.min_by("key", "pos").alias("doi_key"))
@@ -64,10 +41,10 @@ def match_candidates(candidates: DataFrame, refs: DataFrame, threshold: float =
     if method == "substring":
         pairs = c.join(r, by).where("contains(lower(_ct), lower(_rt)) or contains(lower(_rt), lower(_ct))")
     else:
-        long = lambda t: F.length(F.array_join(F.filter(F.split(F.lower(F.trim(t)), r"\s+"), lambda w: w != ""), " "))
-        x, y = F.col("_cl"), F.col("_rl")
-        met = c.withColumn("_cl", long(F.col("_ct"))).join(r.withColumn("_rl", long(F.col("_rt"))), by).where(2 * F.least(x, y) >= threshold * (x + y))
-        pairs = met.where(token_sort_ratio(F.col("_ct"), F.col("_rt")) >= threshold * 100)
+        c, r = c.withColumn("key", word_key(F.col("_ct"))), r.withColumn("key", word_key(F.col("_rt")))
+        near = near_keys(c, r, threshold, by)
+        first = r.select(*by, F.col("key").alias("right_key"), "_r", "_k").join(near, [*by, "right_key"]).groupBy(*by, F.col("left_key").alias("key")).agg(F.min(F.struct("_r", "_k")).alias("_b"))
+        pairs = c.join(first, [*by, "key"]).select(*by, "_c", "_b._r", "_b._k")
     best = pairs.groupBy(*by, F.col("_c").alias("pos")).agg(F.min_by("_k", "_r").alias("title_key"))
     return rows.join(best, [*by, "pos"], "left").select(
         *candidates.columns, F.when(F.col("doi_key").isNotNull(), "doi").when(F.col("title_key").isNotNull(), "title").alias("match_type"), F.coalesce("doi_key", "title_key").alias("ref_key")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirelake import engine
-from quirelake.operators import graph, judging, paragraphs, voting
+from quirelake.operators import graph, judging, paragraphs, titles, voting
 from quirelake.sources import layout
 
 QUERIES: dict = {}
@@ -123,3 +123,25 @@ def judge_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     votes = graph._cut(votes.select("event_id", "score", "attempts"), "votes")
     made = votes.groupBy("event_id").agg(F.sum("attempts").alias("attempts"))
     return voting.vote_stats(votes, [], "event_id").join(made, "event_id").select("event_id", "n", "med", "sd", "attempts")
+
+
+# The longest common subsequence row by row: the new row is the running maximum of what each character adds to the last.
+TITLES_SQL = r"""k AS (SELECT page_id, title, array_to_string(list_sort(list_filter(regexp_split_to_array(lower(trim(title)), '\s+'), lambda w: w <> '')), ' ') AS key
+  FROM (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages)),
+d AS (SELECT key, length(key) AS n, unnest(range(1, length(key) + 1)) AS i FROM (SELECT DISTINCT key FROM k)),
+held AS (SELECT key, n, substr(key, i, 1) AS c, count(*) AS m FROM d GROUP BY ALL),
+pairs AS (SELECT a.key AS a, b.key AS b, a.n AS x, b.n AS y FROM held a JOIN held b ON a.c = b.c AND a.key < b.key AND 200 * least(a.n, b.n) >= 85 * (a.n + b.n)
+  GROUP BY ALL HAVING 200 * sum(least(a.m, b.m)) >= 85 * (a.n + b.n)),
+steps(a, b, x, y, i, best) AS (SELECT a, b, x, y, 0, list_transform(range(y + 1), lambda j: 0) FROM pairs UNION ALL
+  SELECT a, b, x, y, i + 1, list_concat([0], list_transform(range(1, y + 1), lambda j: list_max(v[1:j]))) FROM
+    (SELECT *, list_transform(range(1, y + 1), lambda j: greatest(best[j + 1], best[j] + (substr(b, j, 1) = substr(a, i + 1, 1))::INTEGER)) AS v FROM steps WHERE i < x)),
+near AS (SELECT a, b, 200::DOUBLE * best[y + 1] / (x + y) AS ratio FROM steps WHERE i = x AND 200 * best[y + 1] >= 85 * (x + y)),
+each_way AS (SELECT a AS key, b AS other, ratio FROM near UNION ALL SELECT b, a, ratio FROM near)"""
+
+
+@add(f"""WITH RECURSIVE {TITLES_SQL}
+SELECT page_id, title, count(other) AS n_near, arg_min(other, (-ratio, other)) AS nearest, max(ratio) AS nearest_ratio FROM k LEFT JOIN each_way USING (key) GROUP BY 1, 2""")
+def similar_page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page with the titles of all pages that are near to its own, counted, and the nearest of them."""
+    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title")
+    return titles.similar_titles(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", title))

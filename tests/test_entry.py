@@ -4,7 +4,7 @@ import pandas as pd
 import pytest
 
 SMALL = "/root/testdata/sf0.001"
-CHECKED = ["temporal_metrics", "structural_metrics", "graph_degrees", "components_hist", "cocitation_pairs", "vote_stats", "coverage", "markers", "marker_numbers", "reference_entries", "reply_scores", "layout_citations", "layout_sections", "paper_orphans", "judge_votes"]
+CHECKED = ["temporal_metrics", "structural_metrics", "graph_degrees", "components_hist", "cocitation_pairs", "vote_stats", "coverage", "markers", "marker_numbers", "reference_entries", "reply_scores", "layout_citations", "layout_sections", "paper_orphans", "judge_votes", "similar_page_titles"]
 
 
 def test_every_oracle_has_a_query():
