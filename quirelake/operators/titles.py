@@ -4,7 +4,8 @@ The ratio of two titles is 200 * longest common subsequence / sum of lengths, ta
 order (code points of UTF-8, joined by one space). Two titles of lengths ``x >= y`` and ratio ``100 * t`` differ by at
 most ``(1 - t) * (x + y) <= 2 * (1 - t) * x`` insertions and deletions. So if the longer is cut into one part more than
 that, some part is whole in the shorter, shifted by no more than what is inserted or deleted before it. Parts meet
-substrings by an equality join; the ratio is then taken, in Arrow batches, of the pairs that met.
+substrings by an equality join; of the pairs that met and have enough characters in common, whatever their order, the
+ratio is then taken in Arrow batches.
 
 Equal keys are one row on each side before the join, so copies of a title meet nothing twice. A frequent part is a
 skewed join key, which adaptive execution splits on both sides.
@@ -15,12 +16,15 @@ Null titles are near none; titles without words have the empty key and are near
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from quirelake.operators.graph import _cut
+
 #: Kept away from the bounds, so that rounding never makes a bound narrower.
 EPS = 1e-9
 
@@ -57,6 +61,26 @@ def _part_count(length: Column, threshold: float) -> Column:
     return (F.floor(2 * (1 - threshold) * length + EPS) + 1).cast("int")
 
 
+#: Characters are counted by code point modulo BUCKETS, four counts of BITS bits in a long.
+BUCKETS, BITS = 32, 16
+BAG = [f"_bag{i}" for i in range(BUCKETS // 4)]
+
+
+def _bags(keys: DataFrame) -> DataFrame:
+    """``keys`` with how often the characters of each bucket occur; a count that is too large is only used where none is, see ``_common``."""
+    codes = F.transform(F.filter(F.split("key", ""), lambda c: c != ""), F.ascii)
+    count = lambda b: F.size(F.filter(F.col("_codes"), lambda c: c % BUCKETS == b)).cast("long")
+    four = lambda i: reduce(Column.bitwiseOR, (F.shiftleft(count(4 * i + j).bitwiseAND((1 << BITS) - 1), BITS * j) for j in range(4)))
+    return keys.withColumn("_codes", codes).withColumns({c: four(i) for i, c in enumerate(BAG)}).drop("_codes")
+
+
+def _common() -> Column:
+    """An upper bound of the common subsequence: characters of each bucket that both keys have, beyond 65,535 characters the shorter's length."""
+    one = lambda c, j: F.shiftrightunsigned(F.col(c), BITS * j).bitwiseAND((1 << BITS) - 1)
+    both = reduce(lambda a, b: a + b, (F.least(one(f"l{c}", j), one(f"s{c}", j)) for c in BAG for j in range(4)))
+    return F.when(F.col("_x") < 1 << BITS, both).otherwise(F.col("_y").cast("long"))
+
+
 def _parts(keys: DataFrame, threshold: float, by: list[str]) -> DataFrame:
     """(by, long, _x, _at, _part): every key cut into even parts, with their places from 1."""
     x, m = F.col("_x"), F.col("_m")
@@ -64,7 +88,7 @@ def _parts(keys: DataFrame, threshold: float, by: list[str]) -> DataFrame:
     part = lambda i: F.struct((edge(i) + 1).alias("at"), F.substring(F.col("key"), edge(i) + 1, edge(i + 1) - edge(i)).alias("part"))
     cut = keys.withColumn("_x", F.length("key")).withColumn("_m", _part_count(x, threshold))
     cut = cut.withColumn("_p", F.explode(F.transform(F.sequence(F.lit(0), m - 1), part)))
-    return cut.select(*by, F.col("key").alias("long"), "_x", F.col("_p.at").alias("_at"), F.col("_p.part").alias("_part"))
+    return cut.select(*by, F.col("key").alias("long"), "_x", *[F.col(c).alias(f"l{c}") for c in BAG], F.col("_p.at").alias("_at"), F.col("_p.part").alias("_part"))
 
 
 def _grams(keys: DataFrame, threshold: float, by: list[str]) -> DataFrame:
@@ -75,16 +99,17 @@ def _grams(keys: DataFrame, threshold: float, by: list[str]) -> DataFrame:
     sizes = F.array_distinct(F.concat(sizes, F.transform(F.sequence(y, longest), lambda x: F.ceil(x / _part_count(x, threshold)).cast("int"))))
     cut = keys.withColumn("_y", F.length("key")).withColumn("_n", F.explode(sizes)).where("_n <= _y")
     cut = cut.withColumn("_from", F.explode(F.sequence(F.lit(1), y - F.col("_n") + 1)))
-    return cut.select(*by, F.col("key").alias("short"), "_y", "_from", F.substring(F.col("key"), F.col("_from"), F.col("_n")).alias("_part"))
+    return cut.select(*by, F.col("key").alias("short"), "_y", *[F.col(c).alias(f"s{c}") for c in BAG], "_from", F.substring(F.col("key"), F.col("_from"), F.col("_n")).alias("_part"))
 
 
 def _meeting(longer: DataFrame, shorter: DataFrame, threshold: float, by: list[str], ties: Column) -> DataFrame:
-    """(by, long, short), each once: pairs with a part in common at places that the threshold allows."""
+    """(by, long, short), each once: pairs with a part in common at places that the threshold allows, and enough characters."""
     x, y = F.col("_x"), F.col("_y")
     least = F.ceil(threshold * (x + y) / 2 - EPS)
-    met = _parts(longer, threshold, by).join(_grams(shorter, threshold, by), [*by, "_part"])
+    met = _parts(_bags(longer), threshold, by).join(_grams(_bags(shorter), threshold, by), [*by, "_part"])
     shift = F.col("_at") - F.col("_from")
-    return met.where(((x > y) | ((x == y) & ties)) & (least <= y) & (shift <= x - least) & (-shift <= y - least)).select(*by, "long", "short").distinct()
+    near = met.where(((x > y) | ((x == y) & ties)) & (least <= y) & (shift <= x - least) & (-shift <= y - least))
+    return near.where(_common() >= least).select(*by, "long", "short").distinct()
 
 
 def near_keys(left: DataFrame, right: DataFrame, threshold: float = 0.85, by: list[str] | None = None) -> DataFrame:
@@ -117,10 +142,11 @@ def _check(threshold: float) -> None:
 
 def similar_titles(rows: DataFrame, threshold: float = 0.85, by: list[str] | None = None) -> DataFrame:
     """``rows`` (by, title, ...) with n_near (other keys within the threshold), nearest (the key of greatest ratio, the least
-    on ties) and nearest_ratio. Rows of one key get the same; pairs stay pairs of keys."""
+    on ties) and nearest_ratio. Rows of one key get the same; pairs stay pairs of keys, which are written once."""
     by = by or []
     keyed = rows.withColumn("_key", word_key(F.col("title")))
-    pairs = near_key_pairs(keyed.select(*by, F.col("_key").alias("key")), threshold, by)
+    keys = _cut(keyed.select(*by, F.col("_key").alias("key")).where("key is not null").distinct(), "title-keys")
+    pairs = near_key_pairs(keys, threshold, by)
     other = F.array(*[F.struct(F.col(a).alias("_key"), F.col(b).alias("near")) for a, b in (("left_key", "right_key"), ("right_key", "left_key"))])
     each = pairs.select(*by, "ratio", F.explode(other).alias("_o")).select(*by, "_o._key", "_o.near", "ratio")
     found = each.groupBy(*by, "_key").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("ratio")).alias("r"), "near")).alias("_b"))

@@ -93,3 +93,13 @@ def test_match_candidates_over_a_corpus(spark):
     )
     first = lambda t: next((f"k{i}" for i, x in enumerate(r) if x and ratio(key(t), key(x)) >= 85), None)
     assert {x.pos: x.ref_key for x in got.collect()} == {i: first(t) for i, t in enumerate(c)}
+
+
+def test_keys_too_long_to_count(spark, monkeypatch):
+    """Keys of more characters than a count holds are not bounded by their characters, so none is lost."""
+    monkeypatch.setattr(T, "BITS", 4)
+    rng = random.Random(9)
+    made = sorted({key(t) for t in some_titles(rng, 80)})
+    want = {(a, b) for a in made for b in made if a < b and ratio(a, b) >= 85}
+    assert any(len(a) > 16 for a, _ in want)
+    assert {(r.left_key, r.right_key) for r in T.near_key_pairs(spark.createDataFrame([(k,) for k in made], "key string")).collect()} == want
