@@ -1,14 +1,13 @@
 """Titles alike up to inserted and deleted characters, over a corpus: the pairs whose ratio reaches a threshold, all of them.
 
 The ratio of two titles is 200 * longest common subsequence / sum of lengths, taken of their lower-cased words in
-order (code points of UTF-8, joined by one space). Two titles of lengths ``x >= y`` and ratio ``100 * t`` differ by at
-most ``(1 - t) * (x + y) <= 2 * (1 - t) * x`` insertions and deletions. So if the longer is cut into one part more than
-that, some part is whole in the shorter, shifted by no more than what is inserted or deleted before it. Parts meet
-substrings by an equality join; of the pairs that met and have enough characters in common, whatever their order, the
-ratio is then taken in Arrow batches.
+order (code points of UTF-8, joined by one space). Random or short words share so many short parts that a join by parts
+meets a third of all pairs, so pairs are compared outright, by blocks: keys are dealt to blocks of about ``BLOCK`` by
+hash, and two blocks are one group. There a product of matrices counts the characters that two keys have in common,
+whatever their order, which bounds the subsequence; that of the pairs left is taken in words of 64 bits, many pairs at
+once, and of longer keys in wide integers. A group's memory depends on ``BLOCK``, not on the table; no pair is lost.
 
-Equal keys are one row on each side before the join, so copies of a title meet nothing twice. A frequent part is a
-skewed join key, which adaptive execution splits on both sides.
+Equal keys are one row on each side, so copies of a title meet nothing twice.
 
 Null titles are near none; titles without words have the empty key and are near each other only.
 """
@@ -16,8 +15,8 @@ Null titles are near none; titles without words have the empty key and are near
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,59 +56,101 @@ def token_sort_ratio(a: Column, b: Column) -> Column:
     return key_ratio(word_key(a), word_key(b))
 
 
-def _part_count(length: Column, threshold: float) -> Column:
-    return (F.floor(2 * (1 - threshold) * length + EPS) + 1).cast("int")
-
-
-#: Characters are counted by code point modulo BUCKETS, four counts of BITS bits in a long.
-BUCKETS, BITS = 32, 16
-BAG = [f"_bag{i}" for i in range(BUCKETS // 4)]
-
-
-def _bags(keys: DataFrame) -> DataFrame:
-    """``keys`` with how often the characters of each bucket occur; a count that is too large is only used where none is, see ``_common``."""
-    codes = F.transform(F.filter(F.split("key", ""), lambda c: c != ""), F.ascii)
-    count = lambda b: F.size(F.filter(F.col("_codes"), lambda c: c % BUCKETS == b)).cast("long")
-    four = lambda i: reduce(Column.bitwiseOR, (F.shiftleft(count(4 * i + j).bitwiseAND((1 << BITS) - 1), BITS * j) for j in range(4)))
-    return keys.withColumn("_codes", codes).withColumns({c: four(i) for i, c in enumerate(BAG)}).drop("_codes")
-
-
-def _common() -> Column:
-    """An upper bound of the common subsequence: characters of each bucket that both keys have, beyond 65,535 characters the shorter's length."""
-    one = lambda c, j: F.shiftrightunsigned(F.col(c), BITS * j).bitwiseAND((1 << BITS) - 1)
-    both = reduce(lambda a, b: a + b, (F.least(one(f"l{c}", j), one(f"s{c}", j)) for c in BAG for j in range(4)))
-    return F.when(F.col("_x") < 1 << BITS, both).otherwise(F.col("_y").cast("long"))
-
-
-def _parts(keys: DataFrame, threshold: float, by: list[str]) -> DataFrame:
-    """(by, long, _x, _at, _part): every key cut into even parts, with their places from 1."""
-    x, m = F.col("_x"), F.col("_m")
-    edge = lambda i: F.floor(i * x / m).cast("int")
-    part = lambda i: F.struct((edge(i) + 1).alias("at"), F.substring(F.col("key"), edge(i) + 1, edge(i + 1) - edge(i)).alias("part"))
-    cut = keys.withColumn("_x", F.length("key")).withColumn("_m", _part_count(x, threshold))
-    cut = cut.withColumn("_p", F.explode(F.transform(F.sequence(F.lit(0), m - 1), part)))
-    return cut.select(*by, F.col("key").alias("long"), "_x", *[F.col(c).alias(f"l{c}") for c in BAG], F.col("_p.at").alias("_at"), F.col("_p.part").alias("_part"))
-
-
-def _grams(keys: DataFrame, threshold: float, by: list[str]) -> DataFrame:
-    """(by, short, _y, _from, _part): the substrings of every key that are as long as parts of keys it can be near to."""
-    y = F.col("_y")
-    longest = F.floor(y * (2 - threshold) / threshold + EPS).cast("int")
-    sizes = F.transform(F.sequence(y, longest), lambda x: F.floor(x / _part_count(x, threshold)).cast("int"))
-    sizes = F.array_distinct(F.concat(sizes, F.transform(F.sequence(y, longest), lambda x: F.ceil(x / _part_count(x, threshold)).cast("int"))))
-    cut = keys.withColumn("_y", F.length("key")).withColumn("_n", F.explode(sizes)).where("_n <= _y")
-    cut = cut.withColumn("_from", F.explode(F.sequence(F.lit(1), y - F.col("_n") + 1)))
-    return cut.select(*by, F.col("key").alias("short"), "_y", *[F.col(c).alias(f"s{c}") for c in BAG], "_from", F.substring(F.col("key"), F.col("_from"), F.col("_n")).alias("_part"))
-
-
-def _meeting(longer: DataFrame, shorter: DataFrame, threshold: float, by: list[str], ties: Column) -> DataFrame:
-    """(by, long, short), each once: pairs with a part in common at places that the threshold allows, and enough characters."""
-    x, y = F.col("_x"), F.col("_y")
-    least = F.ceil(threshold * (x + y) / 2 - EPS)
-    met = _parts(_bags(longer), threshold, by).join(_grams(_bags(shorter), threshold, by), [*by, "_part"])
-    shift = F.col("_at") - F.col("_from")
-    near = met.where(((x > y) | ((x == y) & ties)) & (least <= y) & (shift <= x - least) & (-shift <= y - least))
-    return near.where(_common() >= least).select(*by, "long", "short").distinct()
+#: Characters are counted by code point modulo BUCKETS; of one bucket up to 2 ** BITS are told apart, the others count as alike.
+BUCKETS, BITS = 64, 4
+#: Keys of a block; two blocks are compared in one group.
+BLOCK = 2048
+#: Pairs whose subsequence is taken at once.
+PAIRS = 1 << 16
+
+
+def _counts(codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """A column for the first, second, ... last character told apart of each bucket, 1 where a key has so many, and how many more each key has."""
+    deep = 1 << BITS
+    n = np.zeros((len(codes), BUCKETS), np.int64)
+    rows = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
+    np.add.at(n, (rows, np.concatenate([*codes, np.zeros(0, np.uint32)]).astype(np.int64) % BUCKETS), 1)
+    steps = (n[:, :, None] > np.arange(deep)).reshape(len(codes), -1).astype(np.float32)
+    return steps, np.maximum(n - deep, 0).sum(1)
+
+
+def _subsequences(a: list[np.ndarray], b: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Lengths of the longest common subsequences of ``a[i]`` and ``b[j]``, ``a`` of at most 64 characters: ``common_subsequence``, a pair in a word."""
+    every = np.unique(np.concatenate([*a, *b]))
+    places = np.zeros((len(a), len(every)), np.uint64)
+    for row, c in zip(places, a, strict=True):
+        np.bitwise_or.at(row, np.searchsorted(every, c), np.uint64(1) << np.arange(len(c), dtype=np.uint64))
+    long = np.array([len(c) for c in b])
+    text = np.zeros((len(b), max(long.max(), 1)), np.int64)
+    for row, c in zip(text, b, strict=True):
+        row[: len(c)] = np.searchsorted(every, c)
+    out = np.zeros(len(i), np.int64)
+    for at in range(0, len(i), PAIRS):
+        left, right = i[at : at + PAIRS], j[at : at + PAIRS]
+        row = np.full(len(left), ~np.uint64(0))
+        for k in range(long[right].max()):
+            met = row & np.where(k < long[right], places[left, text[right, k]], np.uint64(0))
+            row = (row + met) | (row - met)
+        out[at : at + PAIRS] = np.bitwise_count(~row)
+    return out
+
+
+def _near_in_block(left: list[str], right: list[str], threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of two blocks whose ratio may reach the threshold: all that do, by their lengths, characters and, up to 64 of them, subsequence."""
+    codes = [[np.frombuffer(k.encode("utf-32-le", "surrogatepass"), np.uint32) for k in side] for side in (left, right)]
+    x, y = (np.array([len(c) for c in side]) for side in codes)
+    (p, more_p), (q, more_q) = _counts(codes[0]), _counts(codes[1])
+    used = np.flatnonzero(p.any(0) & q.any(0))
+    least = np.ceil(threshold * (x[:, None] + y) / 2 - EPS)
+    near = p[:, used] @ q[:, used].T + np.minimum(more_p[:, None], more_q) >= least
+    i, j = np.nonzero(np.triu(near, 1) if same else near)
+    short = np.flatnonzero((x[i] <= 64) & (y[j] > 0))
+    if len(short):
+        fine = np.ones(len(i), bool)
+        a, at_a = np.unique(i[short], return_inverse=True)
+        b, at_b = np.unique(j[short], return_inverse=True)
+        fine[short] = _subsequences([codes[0][v] for v in a], [codes[1][v] for v in b], at_a, at_b) >= least[i[short], j[short]]
+        i, j = i[fine], j[fine]
+    return i, j
+
+
+def _blocked(sides: list[DataFrame], by: list[str], mirror: bool) -> DataFrame:
+    """(by, _side, key, _a, _b): the keys of one or two sides dealt to blocks by hash, and a row for each pair of blocks that they are in."""
+    keys = sides[0].withColumn("_side", F.lit(0)) if mirror else sides[0].withColumn("_side", F.lit(0)).unionByName(sides[1].withColumn("_side", F.lit(1)))
+    keys = _cut(keys, "keys")
+    n = keys.groupBy(*by).agg(*[F.ceil(F.count_if(F.col("_side") == s) / BLOCK).cast("int").alias(f"_n{s}") for s in (0, 1)])
+    keys = keys.join(n, by) if by else keys.crossJoin(F.broadcast(n))
+    block = F.pmod(F.xxhash64("key"), F.when(F.col("_side") == 0, F.col("_n0")).otherwise(F.col("_n1"))).cast("int")
+    keys = keys.withColumn("_k", block)
+    upto = lambda n: F.filter(F.sequence(F.lit(0), n - 1), lambda v: v < n)
+    if mirror:
+        pairs = F.transform(upto(F.col("_n0")), lambda v: F.struct(F.least(v, "_k").alias("a"), F.greatest(v, "_k").alias("b")))
+    else:
+        pairs = F.when(F.col("_side") == 0, F.transform(upto(F.col("_n1")), lambda v: F.struct(F.col("_k").alias("a"), v.alias("b")))).otherwise(
+            F.transform(upto(F.col("_n0")), lambda v: F.struct(v.alias("a"), F.col("_k").alias("b")))
+        )
+    return keys.select(*by, "_side", "key", "_k", F.explode(pairs).alias("_p")).select(*by, "_side", "key", "_k", F.col("_p.a").alias("_a"), F.col("_p.b").alias("_b"))
+
+
+def _met(sides: list[DataFrame], threshold: float, by: list[str], mirror: bool) -> DataFrame:
+    """(by, left_key, right_key) of the pairs that may reach the threshold, each once."""
+    blocked = _blocked(sides, by, mirror)
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        a, b = part["_a"].iloc[0], part["_b"].iloc[0]
+        first = part["_k"] == a if mirror else part["_side"] == 0
+        left = part.loc[first, "key"].tolist()
+        same = mirror and a == b
+        right = left if same else part.loc[~first, "key"].tolist()
+        i, j = _near_in_block(left, right, threshold, same) if left and right else ([], [])
+        frame = pd.DataFrame({"left_key": [left[v] for v in i], "right_key": [right[v] for v in j]}, dtype="object")
+        for at, k in enumerate(by):
+            frame.insert(at, k, part[k].iloc[0])
+        return frame
+
+    keys = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in sides[0].select(*by).schema)
+    tasks = max(200, 4 * blocked.sparkSession.sparkContext.defaultParallelism)
+    return blocked.repartition(tasks, *by, "_a", "_b").groupBy(*by, "_a", "_b").applyInPandas(run, f"{keys}left_key string, right_key string")
 
 
 def near_keys(left: DataFrame, right: DataFrame, threshold: float = 0.85, by: list[str] | None = None) -> DataFrame:
@@ -117,9 +158,7 @@ def near_keys(left: DataFrame, right: DataFrame, threshold: float = 0.85, by: li
     _check(threshold)
     by = by or []
     a, b = (side.select(*by, "key").where("key is not null").distinct() for side in (left, right))
-    one = _meeting(a, b, threshold, by, F.lit(True)).select(*by, F.col("long").alias("left_key"), F.col("short").alias("right_key"))
-    two = _meeting(b, a, threshold, by, F.lit(False)).select(*by, F.col("short").alias("left_key"), F.col("long").alias("right_key"))
-    return _reaching(one.unionByName(two), threshold)
+    return _reaching(_met([a, b], threshold, by, False), threshold)
 
 
 def near_key_pairs(keys: DataFrame, threshold: float = 0.85, by: list[str] | None = None) -> DataFrame:
@@ -127,8 +166,8 @@ def near_key_pairs(keys: DataFrame, threshold: float = 0.85, by: list[str] | Non
     _check(threshold)
     by = by or []
     every = keys.select(*by, "key").where("key is not null").distinct()
-    met = _meeting(every, every, threshold, by, F.col("long") < F.col("short"))
-    return _reaching(met.select(*by, F.least("long", "short").alias("left_key"), F.greatest("long", "short").alias("right_key")), threshold)
+    met = _met([every], threshold, by, True)
+    return _reaching(met.select(*by, F.least("left_key", "right_key").alias("left_key"), F.greatest("left_key", "right_key").alias("right_key")), threshold)
 
 
 def _reaching(pairs: DataFrame, threshold: float) -> DataFrame:
@@ -137,7 +176,7 @@ def _reaching(pairs: DataFrame, threshold: float) -> DataFrame:
 
 def _check(threshold: float) -> None:
     if not 0.5 < threshold <= 1:
-        raise ValueError("a threshold above 0.5 and up to 1 is needed; below it parts would be empty")
+        raise ValueError("a threshold above 0.5 and up to 1 is needed")
 
 
 def similar_titles(rows: DataFrame, threshold: float = 0.85, by: list[str] | None = None) -> DataFrame:

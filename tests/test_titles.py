@@ -103,3 +103,14 @@ def test_keys_too_long_to_count(spark, monkeypatch):
     want = {(a, b) for a in made for b in made if a < b and ratio(a, b) >= 85}
     assert any(len(a) > 16 for a, _ in want)
     assert {(r.left_key, r.right_key) for r in T.near_key_pairs(spark.createDataFrame([(k,) for k in made], "key string")).collect()} == want
+
+
+def test_blocks_lose_no_pair_and_bound_what_a_group_holds(spark, monkeypatch):
+    monkeypatch.setattr(T, "BLOCK", 16)
+    rng = random.Random(8)
+    made = sorted({key(t) for t in some_titles(rng, 120)})
+    keys = spark.createDataFrame([(k,) for k in made], "key string")
+    sizes = T._blocked([keys], [], True).groupBy("_a", "_b").count().collect()
+    assert len(sizes) > 20 and max(r["count"] for r in sizes) < len(made) // 2
+    got = sorted((r.left_key, r.right_key) for r in T.near_key_pairs(keys).collect())
+    assert got == [(a, b) for a in made for b in made if a < b and ratio(a, b) >= 85]
