@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quirelake.operators.graph import dealt
+
 AS_OF = 2001
 
 # The same relations for DuckDB.
@@ -36,9 +38,14 @@ class Analog:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    def lines(self) -> DataFrame:
+        """Order lines, many of them dealt by order in tasks of a bounded number of rows, which joins and sums by order keep."""
+        lines = self.table("lineitem")
+        return dealt(lines, lines.count(), "l_orderkey")
+
     def citations(self) -> DataFrame:
         """(paper_id, paragraph_index, ref_key, line, year, section, ...)."""
-        lines = self.table("lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_returnflag")
+        lines = self.lines().select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_returnflag")
         orders = self.table("orders").select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("year"), F.col("o_orderpriority").alias("section"))
         return lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).select(
             F.col("o_custkey").alias("paper_id"), F.col("o_orderkey").alias("paragraph_index"), F.col("l_partkey").alias("ref_key"), F.col("l_linenumber").alias("line"), "year", "section", "l_quantity", "l_returnflag"
@@ -50,9 +57,10 @@ class Analog:
     def edges(self) -> DataFrame:
         """(paper_id, src, dst) of one graph over all parts, ids as text."""
         order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-        lines = self.table("lineitem").withColumn("dst", F.lead("l_partkey").over(order))
-        pairs = lines.where("dst is not null and dst <> l_partkey").select(F.col("l_partkey").cast("string").alias("src"), F.col("dst").cast("string").alias("dst")).distinct()
-        return pairs.select(F.lit("parts").alias("paper_id"), "src", "dst")
+        columns = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+        lines = self.lines().select(*columns).withColumn("dst", F.lead("l_partkey").over(order))
+        pairs = lines.where("dst is not null and dst <> l_partkey").select(F.col("l_partkey").alias("src"), "dst").distinct()
+        return pairs.select(F.lit("parts").alias("paper_id"), F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"))
 
     def nodes(self) -> DataFrame:
         """(paper_id, id, year): parts, with the first year of their orders."""
