@@ -117,6 +117,20 @@ def test_betweenness_in_several_shares(spark):
     assert got == pytest.approx({(p, v): x for p, edges in papers.items() for v, x in brandes(edges).items()})
 
 
+def test_betweenness_with_a_hub_in_many_groups(spark, monkeypatch):
+    """A node that half of all links meet at, and so little work to a group that there are as many as the cores allow."""
+    monkeypatch.setattr(G, "SEARCH_STEPS", 100)
+    g = np.random.default_rng(5)
+    edges = {(str(a), str(b)) for a, b in g.integers(0, 900, (2500, 2)) if a != b} | {("7", str(i)) for i in range(0, 900, 2) if i != 7} | {(str(i), "7") for i in range(1, 900, 2) if i != 7}
+    df = spark.createDataFrame([("p", a, b) for a, b in sorted(edges)], "paper_id string, src string, dst string")
+    dealt = []
+    repartition = type(df).repartition
+    monkeypatch.setattr(type(df), "repartition", lambda self, *args: dealt.append(args[0]) or repartition(self, *args))
+    got = {r["id"]: r["betweenness"] for r in G.betweenness(df).collect()}
+    assert got == pytest.approx(brandes(sorted(edges)))
+    assert max(dealt) >= 4 * spark.sparkContext.defaultParallelism
+
+
 def test_clusters_of_the_whole_graph(spark):
     edges, nodes, _ = part_edges()
     linked = {v for e in edges for v in e}
