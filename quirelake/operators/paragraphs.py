@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirelake.functions import text as T
-from quirelake.operators.graph import _cut
+from quirelake.operators.graph import _cut, _once
 
 BY = ["paper_id"]
 EXCLUDED = ("title", "abstract", "references")
@@ -145,7 +145,8 @@ def section_hierarchy(sections: DataFrame, by: list[str] = BY) -> DataFrame:
         nearest_smaller(F.col("headings")), automatic_numbers(F.col("headings")),
         lambda p, n: F.struct(p["section_index"].alias("section_index"), p["parent_index"].alias("parent_index"), p["root_index"].alias("root_index"), n.alias("number")),
     )
-    return listed.select(*by, F.inline(joined))
+    # Never empty; an outer inline evaluates the folds once, a plain one also tests them for null and for their size first.
+    return listed.select(*by, F.inline_outer(joined))
 
 
 def parent_sections(sections: DataFrame, by: list[str] = BY) -> DataFrame:
@@ -161,6 +162,7 @@ def section_rollup(citations: DataFrame, hierarchy: DataFrame, by: list[str] = B
     Sections are joined to ancestors twice as far away in each round, until none has one, then summed once. Sections on a
     cycle of parents are below each other: no distance in a paper exceeds its number of sections, so the rounds end.
     """
+    hierarchy = _once(hierarchy, "hierarchy")
     longest = hierarchy.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
     same = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in by]
     ids = lambda a: [F.col(f"{a}.{k}").alias(k) for k in by]
