@@ -37,10 +37,12 @@ class Extraction:
 
 
 def extract(papers: DataFrame) -> Extraction:
-    """Sections, citations and references of papers (paper_id, text); citations are linked, and the reference list itself holds none."""
+    """Sections, citations and references of papers (paper_id, text); citations are linked, and the reference list itself holds none.
+
+    References and citations are each read from the text and written once, as linking takes both several times."""
     parts = S.paragraphs(papers)
-    references = L.normalised_references(S.references(papers))
-    body = S.citations(parts).where(F.coalesce(T.section_kind(F.col("section_title")), F.lit("main")) != "references")
+    references = G._cut(L.normalised_references(S.references(papers)), "references")
+    body = G._cut(S.citations(parts.where(F.coalesce(T.section_kind(F.col("section_title")), F.lit("main")) != "references")), "citations")
     return Extraction(parts, S.sections(parts), link(body, references), references)
 
 

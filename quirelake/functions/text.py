@@ -90,8 +90,8 @@ def contexts(text: Column, marker: Column, around: int = 100) -> Column:
 
 
 def ends_with_abbreviation(sentence: Column) -> Column:
-    lowered = F.lower(F.rtrim(sentence))
-    return F.exists(F.array(*map(F.lit, ABBREVIATIONS)), lambda a: F.endswith(lowered, a))
+    longest = max(map(len, ABBREVIATIONS))
+    return F.lower(F.substring(F.rtrim(sentence), -longest, longest)).rlike(f"(?:{'|'.join(a.replace('.', chr(92) + '.') for a in ABBREVIATIONS)})\\z")
 
 
 def sentences(text: Column) -> Column:
@@ -131,14 +131,14 @@ def sentence_citations(sentence: Column) -> Column:
     none = _none("struct<author:string,year:string>")
 
     def parts(inside: Column) -> Column:
-        step = lambda acc, p: F.when(author_year_part(F.trim(p), F.get(acc, F.size(acc) - 1)["author"]).isNull(), acc).otherwise(
-            F.concat(acc, F.array(author_year_part(F.trim(p), F.get(acc, F.size(acc) - 1)["author"])))
-        )
+        step = lambda acc, p: F.concat(acc, F.array_compact(F.array(author_year_part(F.trim(p), F.get(acc, F.size(acc) - 1)["author"]))))
         found = F.aggregate(F.split(inside, ";"), none, step)
         return F.transform(found, lambda f: row(F.concat(F.lit("("), inside, F.lit(")")), f["author"], f["year"]))
 
     paren = F.flatten(F.transform(F.regexp_extract_all(sentence, F.lit(PAREN), F.lit(1)), parts))
-    return F.concat(numeric, inline, paren).cast(CITATION)
+    # Most sentences hold no parenthesis, so no author either.
+    named = F.when(F.contains(sentence, F.lit("(")), F.concat(inline, paren).cast(CITATION)).when(sentence.isNotNull(), F.array().cast(CITATION))
+    return F.concat(numeric.cast(CITATION), named)
 
 
 def author_key(author: Column, compat: bool = False) -> Column:
@@ -189,15 +189,20 @@ def is_reference_start(line: Column) -> Column:
 
 def reference_block(text: Column) -> Column:
     """Lines after a references heading; else from the first entry at 60 % of the lines or later, or the first at all; else the last 30 %."""
-    lines = F.split(text, "\n")
-    n = F.size(lines)
     named = "|".join(HEADINGS)
     heading = lambda s: s.rlike(rf"(?i)^\s*#*\s*({named})[:\s]*$") | ((F.length(F.trim(s)) <= 40) & s.rlike(rf"(?i)\b({named})\b"))
-    at = F.array_min(F.transform(lines, lambda s, i: F.when(heading(s), i)))
-    starts = F.array_compact(F.transform(lines, lambda s, i: F.when(is_reference_start(F.trim(s)), i)))
-    late = F.array_min(F.filter(starts, lambda i: i >= F.floor(n * 0.6).cast("int")))
-    begin = F.coalesce(at + 1, late, F.array_min(starts), F.floor(n * 0.7).cast("int"))
-    return F.array_join(F.slice(lines, begin + 1, F.greatest(n - begin, F.lit(0))), "\n")
+
+    def begin(lines: Column) -> Column:
+        n = F.size(lines)
+        at = F.array_min(F.transform(lines, lambda s, i: F.when(heading(s), i)))
+        starts = F.array_compact(F.transform(lines, lambda s, i: F.when(is_reference_start(F.trim(s)), i)))
+        late = F.array_min(F.filter(starts, lambda i: i >= F.floor(n * 0.6).cast("int")))
+        return F.coalesce(at + 1, late, F.array_min(starts), F.floor(n * 0.7).cast("int"))
+
+    # Arrays of one, so that lines and their place are made once.
+    placed = F.transform(F.array(F.split(text, "\n")), lambda lines: F.struct(lines.alias("lines"), begin(lines).alias("begin")))
+    rest = F.transform(placed, lambda x: F.array_join(F.slice(x["lines"], x["begin"] + 1, F.greatest(F.size(x["lines"]) - x["begin"], F.lit(0))), "\n"))
+    return F.get(rest, F.lit(0))
 
 
 def split_entries(block: Column) -> Column:

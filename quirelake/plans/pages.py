@@ -48,7 +48,7 @@ r AS (SELECT * EXCLUDE (part), '[' || unnest(CASE WHEN part LIKE '%-%' THEN rang
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(paper_id, layout): every paper's pages as layout JSON."""
     read = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "orders")}
-    lines = spark.sql(LINES, **read).select("paper_id", "page", "block", "n", "text", F.col("size").cast("double").alias("size"), *[F.col(c).cast("double").alias(c) for c in ("x0", "y0")])
+    lines = spark.sql(LINES, **read).select("paper_id", "page", "block", "n", "text", F.col("size").cast("double").alias("size"), *[F.col(c).cast("double").alias(c) for c in ("x0", "y0")]).repartition("paper_id")
     box = lambda bottom: F.array("x0", "y0", F.lit(300.0), bottom)
     row = F.struct("n", F.struct(box(F.col("y0") + 10).alias("bbox"), F.array(F.struct("text", "size")).alias("spans")).alias("x"))
     blocks = lines.groupBy("paper_id", "page", "block").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), (F.max("y0") + 10).alias("y1"), F.sort_array(F.collect_list(row)).alias("_x"))
@@ -99,7 +99,7 @@ m AS (SELECT paper_id, n, unnest(regexp_extract_all(text, '[0-9]+(-[0-9]+)?', 0)
 SELECT paper_id, count(*) AS total, count(*) - count(c.i) AS uncited, 1 - count(c.i) / count(*) AS rate, (max(year) - min(year))::INTEGER AS span FROM p LEFT JOIN c USING (paper_id, i) GROUP BY 1""")
 def paper_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C3 and T1 of Markdown papers: paragraphs, citations and the reference list read from the text, linked by number."""
-    found = engine.extract(markdown_papers(spark, sf_dir))
+    found = engine.extract(graph._cut(markdown_papers(spark, sf_dir), "papers"))
     rates = paragraphs.orphan_rate(found.references, found.citations)
     years = found.references.groupBy("paper_id").agg((F.max(F.col("year").cast("int")) - F.min(F.col("year").cast("int"))).alias("span"))
     return rates.join(years, "paper_id").select("paper_id", "total", "uncited", "rate", "span")

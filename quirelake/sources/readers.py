@@ -50,15 +50,15 @@ def sections(parts: DataFrame, by: list[str] | None = None) -> DataFrame:
 def citations(parts: DataFrame, by: list[str] | None = None) -> DataFrame:
     """One row for each citation of a body paragraph: marker, kind, number or author and year, sentence, place, section."""
     by = by or ["paper_id"]
-    body = parts.where("not is_heading").select(*by, "section_index", "section_title", "paragraph_index", F.posexplode(T.sentences(F.col("text"))).alias("sentence_index", "sentence"))
-    found = body.select("*", F.posexplode(T.sentence_citations(F.col("sentence"))).alias("citation_index", "c"))
+    body = parts.where("not is_heading").select(*by, "section_index", "section_title", "paragraph_index", F.posexplode_outer(T.sentences(F.col("text"))).alias("sentence_index", "sentence")).where("sentence_index is not null")
+    found = body.select("*", F.posexplode_outer(T.sentence_citations(F.col("sentence"))).alias("citation_index", "c")).where("citation_index is not null")
     return found.select(*by, "section_index", "section_title", "paragraph_index", "sentence_index", "citation_index", "sentence", "c.marker", "c.kind", F.col("c.number").alias("reference_number"), "c.author", "c.year")
 
 
 def references(papers: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(by, pos, key, reference_number, title, author, year, doi, arxiv_id, raw) from the text's reference list."""
     by = by or ["paper_id"]
-    rows = papers.select(*by, F.posexplode(T.split_entries(T.reference_block(F.col("text")))).alias("pos", "entry"))
+    rows = papers.select(*by, F.posexplode_outer(T.split_entries(T.reference_block(F.col("text")))).alias("pos", "entry")).where("pos is not null")
     parsed = rows.select(*by, "pos", T.parsed_entry(F.col("entry")).alias("p")).select(*by, "pos", "p.*")
     return parsed.withColumn("key", F.concat(F.lit("ref_"), F.coalesce("reference_number", F.col("pos") + 1).cast("string")))
 
