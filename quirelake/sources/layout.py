@@ -2,7 +2,7 @@
 
 A page holds blocks, a block lines, a line spans of one font size each. Nothing but columns: lines stay arrays
 within their block, paragraphs are gaps and islands over a paper's blocks in order, places are running sums of
-lengths. Blocks are exchanged once, by paper.
+lengths. Blocks are read once, written to the shared folder, and exchanged once, by paper.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirelake.functions import text as T
+from quirelake.operators.graph import _cut
 
 SPAN = "struct<text:string,size:double>"
 LINE = f"struct<bbox:array<double>,spans:array<{SPAN}>>"
@@ -38,38 +39,47 @@ def _line(x: Column) -> Column:
 
 
 def blocks(papers: DataFrame, layout: str = "layout", by: list[str] | None = None) -> DataFrame:
-    """(by, page_pos, page, block, bbox, spans, lines) of text blocks; a page without a number has its place's, a text that is no layout gives none."""
+    """(by, page_pos, page, block, bbox, spans, lines) of text blocks, of a span its size and how long its text is; a page without a number has its place's, a text that is no layout gives none."""
     by = by or ["paper_id"]
-    pages = papers.select(*by, F.posexplode(F.from_json(layout, PAGES)["pages"]).alias("page_pos", "p"))
+    # An outer explode evaluates what it takes once; a plain one also tests it for null and for its size first.
+    pages = papers.select(*by, F.posexplode_outer(F.from_json(layout, PAGES)["pages"]).alias("page_pos", "p")).where("page_pos is not null")
     rows = pages.select(*by, "page_pos", F.coalesce("p.number", F.col("page_pos") + 1).alias("page"), F.posexplode("p.blocks").alias("block", "b")).where(F.col("b.type").isin(*TEXT_TYPES))
     lines = F.coalesce(F.col("b.lines"), F.array().cast(f"array<{LINE}>"))
     spans = F.flatten(F.filter(F.transform(lines, lambda x: x["spans"]), lambda s: s.isNotNull()))
-    return rows.select(*by, "page_pos", "page", "block", F.when(F.size("b.bbox") == 4, F.col("b.bbox")).alias("bbox"), spans.alias("spans"), F.transform(lines, _line).alias("lines"))
+    return rows.select(*by, "page_pos", "page", "block", F.when(F.size("b.bbox") == 4, F.col("b.bbox")).alias("bbox"), F.transform(spans, lambda s: F.struct(s["size"].alias("size"), F.length(s["text"]).alias("long"))).alias("spans"), F.transform(lines, _line).alias("lines"))
 
 
 def body_size(rows: DataFrame, by: list[str]) -> DataFrame:
     """(by, body): the size, to one place, of most characters; of several, the one met first. Counted map-side by paper and size."""
-    spans = rows.select(*by, "page_pos", "block", F.posexplode("spans").alias("span", "s")).where("s.size > 0 and s.text <> ''")
-    counted = spans.groupBy(*by, F.bround("s.size", 1).alias("_size")).agg(F.sum(F.length("s.text")).alias("_n"), F.min(F.struct("page_pos", "block", "span")).alias("_at"))
+    spans = rows.select(*by, "page_pos", "block", F.posexplode("spans").alias("span", "s")).where("s.size > 0 and s.long > 0")
+    counted = spans.groupBy(*by, F.bround("s.size", 1).alias("_size")).agg(F.sum("s.long").alias("_n"), F.min(F.struct("page_pos", "block", "span")).alias("_at"))
     return counted.groupBy(*by).agg(F.min_by("_size", F.struct(-F.col("_n"), "_at")).alias("body"))
 
 
 def heading(text: Column, size: Column, body: Column, allowed: Column | None = None) -> Column:
     """The heading that a text set in ``size`` is, or null. Of ``allowed`` headings, if three or more are known, it must be one."""
+
+    def formed(name: Column) -> Column:
+        words = F.regexp_extract_all(name, F.lit(_WORD), F.lit(0))
+        capitals = F.size(F.filter(words, lambda w: w.rlike("^[A-Z]")))
+        looks = (
+            F.lower(name).rlike("^(references|bibliography)") | name.rlike(r"^\d+(\.\d+)*\s+\S") | ((name == F.upper(name)) & (name != F.lower(name)))
+            | ((F.size(words) > 0) & (capitals >= 0.6 * F.size(words)))
+        )
+        fits = (name != "") & (F.length(name) <= 80) & ~F.endswith(name, F.lit(".")) & looks
+        if allowed is not None:
+            fits &= F.coalesce((F.size(allowed) < 3) | F.array_contains(allowed, name), F.lit(True))
+        return F.when(fits, name)
+
+    def named(lines: Column) -> Column:
+        first, second = F.get(lines, F.lit(0)), F.get(lines, F.lit(1))
+        whole = F.when(first.rlike(r"^(\d+(\.\d+)*|[A-Z])$") & second.isNotNull(), F.concat_ws(" ", first, second)).otherwise(first)
+        return T.collapse(F.regexp_replace(F.regexp_replace(whole, r"^#+", ""), r"\*\*(.+?)\*\*", "$1"))
+
+    # Few texts are set so large; what is made of one is made once, as an array of one that the next step goes over.
     lines = F.filter(F.transform(F.split(text, "\n"), T.collapse), lambda x: x != "")
-    first, second = F.get(lines, F.lit(0)), F.get(lines, F.lit(1))
-    whole = F.when(first.rlike(r"^(\d+(\.\d+)*|[A-Z])$") & second.isNotNull(), F.concat_ws(" ", first, second)).otherwise(first)
-    name = T.collapse(F.regexp_replace(F.regexp_replace(whole, r"^#+", ""), r"\*\*(.+?)\*\*", "$1"))
-    words = F.regexp_extract_all(name, F.lit(_WORD), F.lit(0))
-    capitals = F.size(F.filter(words, lambda w: w.rlike("^[A-Z]")))
-    formed = (
-        F.lower(name).rlike("^(references|bibliography)") | name.rlike(r"^\d+(\.\d+)*\s+\S") | ((name == F.upper(name)) & (name != F.lower(name)))
-        | ((F.size(words) > 0) & (capitals >= 0.6 * F.size(words)))
-    )
-    fits = (name != "") & (F.length(name) <= 80) & ~F.endswith(name, F.lit(".")) & formed & (body.isNull() | (size >= body + HEADING_POINTS))
-    if allowed is not None:
-        fits &= F.coalesce((F.size(allowed) < 3) | F.array_contains(allowed, name), F.lit(True))
-    return F.when(fits, name)
+    found = F.transform(F.transform(F.array(lines), named), formed)
+    return F.when(body.isNull() | (size >= body + HEADING_POINTS), F.get(found, F.lit(0)))
 
 
 def _placed(lines: Column) -> Column:
@@ -93,8 +103,8 @@ def paragraphs(papers: DataFrame, layout: str = "layout", by: list[str] | None =
     ``headings`` names a column of headings known from elsewhere. A null or broken layout gives no rows.
     """
     by = by or ["paper_id"]
-    rows = blocks(papers, layout, by)
-    rows = rows.join(body_size(rows, by), by, "left")
+    rows = _cut(blocks(papers, layout, by), "blocks")
+    rows = rows.repartition(*by).join(body_size(rows, by), by, "left")
     allowed = None
     if headings is not None:
         rows = rows.join(papers.select(*by, F.col(headings).alias("_allowed")), by, "left")
@@ -120,7 +130,8 @@ def paragraphs(papers: DataFrame, layout: str = "layout", by: list[str] | None =
     rows = rows.withColumn("paragraph_index", F.sum("_new").over(Window.partitionBy(*by).orderBy("page_pos", "block")).cast("int"))
     extra = [F.first("body").alias("body")] + ([F.first("_allowed").alias("_allowed")] if headings is not None else [])
     whole = rows.groupBy(*by, "paragraph_index").agg(F.min("page").alias("page"), F.sort_array(F.collect_list(F.struct("block", "lines"))).alias("_b"), *extra)
-    whole = whole.withColumn("lines", _placed(F.flatten(F.transform("_b", lambda b: b["lines"])))).withColumn("text", F.array_join(F.transform("lines", lambda x: x["text"]), "\n")).where("trim(text) <> ''")
+    whole = whole.where(F.exists("_b", lambda b: F.exists(b["lines"], lambda x: F.trim(x["text"]) != "")))
+    whole = whole.withColumn("lines", _placed(F.flatten(F.transform("_b", lambda b: b["lines"])))).withColumn("text", F.array_join(F.transform("lines", lambda x: x["text"]), "\n"))
     whole = whole.withColumn("heading", heading(F.col("text"), F.array_max(F.transform("lines", lambda x: x["size"])), F.col("body"), allowed))
     order = Window.partitionBy(*by).orderBy("paragraph_index")
     whole = whole.withColumn("section_index", F.count("heading").over(order).cast("int")).withColumn("section_title", F.last("heading", ignorenulls=True).over(order))
@@ -159,8 +170,9 @@ def placed_sentences(text: Column) -> Column:
 def citations(parts: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Citations of body paragraphs with the page, the paragraph, and number and box of the line in which their sentence begins."""
     by = by or ["paper_id"]
-    body = parts.where("heading is null").select(*by, "page", "paragraph_index", "section_index", "section_title", "lines", F.posexplode(placed_sentences(F.col("text"))).alias("sentence_index", "s"))
-    found = body.select("*", F.posexplode(T.sentence_citations(F.col("s.text"))).alias("citation_index", "c"))
+    marked = lambda c: F.col(c).rlike(r"[\[(]")
+    body = parts.where(F.col("heading").isNull() & marked("text")).select(*by, "page", "paragraph_index", "section_index", "section_title", "lines", F.posexplode_outer(placed_sentences(F.col("text"))).alias("sentence_index", "s"))
+    found = body.where(marked("s.text")).select("*", F.posexplode_outer(T.sentence_citations(F.col("s.text"))).alias("citation_index", "c")).where("citation_index is not null")
     a, b = F.col("s.start"), F.col("s.end")
     at = F.get(F.filter("lines", lambda x: ((x["start"] <= a) & (a < x["end"])) | ((a <= x["start"]) & (x["start"] < b))), F.lit(0))
     return found.select(
