@@ -41,8 +41,7 @@ def _line(x: Column) -> Column:
 def blocks(papers: DataFrame, layout: str = "layout", by: list[str] | None = None) -> DataFrame:
     """(by, page_pos, page, block, bbox, spans, lines) of text blocks, of a span its size and how long its text is; a page without a number has its place's, a text that is no layout gives none."""
     by = by or ["paper_id"]
-    # An outer explode evaluates what it takes once; a plain one also tests it for null and for its size first.
-    pages = papers.select(*by, F.posexplode_outer(F.from_json(layout, PAGES)["pages"]).alias("page_pos", "p")).where("page_pos is not null")
+    pages = papers.select(*by, F.posexplode(F.from_json(layout, PAGES)["pages"]).alias("page_pos", "p"))
     rows = pages.select(*by, "page_pos", F.coalesce("p.number", F.col("page_pos") + 1).alias("page"), F.posexplode("p.blocks").alias("block", "b")).where(F.col("b.type").isin(*TEXT_TYPES))
     lines = F.coalesce(F.col("b.lines"), F.array().cast(f"array<{LINE}>"))
     spans = F.flatten(F.filter(F.transform(lines, lambda x: x["spans"]), lambda s: s.isNotNull()))
@@ -171,8 +170,8 @@ def citations(parts: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Citations of body paragraphs with the page, the paragraph, and number and box of the line in which their sentence begins."""
     by = by or ["paper_id"]
     marked = lambda c: F.col(c).rlike(r"[\[(]")
-    body = parts.where(F.col("heading").isNull() & marked("text")).select(*by, "page", "paragraph_index", "section_index", "section_title", "lines", F.posexplode_outer(placed_sentences(F.col("text"))).alias("sentence_index", "s"))
-    found = body.where(marked("s.text")).select("*", F.posexplode_outer(T.sentence_citations(F.col("s.text"))).alias("citation_index", "c")).where("citation_index is not null")
+    body = parts.where(F.col("heading").isNull() & marked("text")).select(*by, "page", "paragraph_index", "section_index", "section_title", "lines", F.posexplode(placed_sentences(F.col("text"))).alias("sentence_index", "s"))
+    found = body.where(marked("s.text")).select("*", F.posexplode(T.sentence_citations(F.col("s.text"))).alias("citation_index", "c"))
     a, b = F.col("s.start"), F.col("s.end")
     at = F.get(F.filter("lines", lambda x: ((x["start"] <= a) & (a < x["end"])) | ((a <= x["start"]) & (x["start"] < b))), F.lit(0))
     return found.select(

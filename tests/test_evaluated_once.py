@@ -1,33 +1,26 @@
-"""What an explode takes is evaluated once, and a heading's name only where its size allows one."""
-
-import pytest
+"""Steps that several others read are written once; sentences that an abbreviation ends, and their citations."""
 
 from pyspark.sql import functions as F
 
+from quirelake import engine
 from quirelake.functions import text as T
 from quirelake.operators import paragraphs as P
-from quirelake.sources import layout, readers
+from quirelake.sources import layout
 
 
 def optimized(df) -> str:
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
-@pytest.mark.parametrize("step", ["blocks", "sentences", "citations", "references", "sections"])
-def test_no_filter_repeats_the_exploded_fold(spark, step):
-    """A plain explode has Spark test its input for null and size, which evaluates it again."""
-    if step == "blocks":
-        plan, fold = optimized(layout.blocks(spark.createDataFrame([("p", "{}")], "paper_id string, layout string"))), "from_json"
-    elif step == "references":
-        plan, fold = optimized(readers.references(spark.createDataFrame([("p", "x")], "paper_id string, text string"))), "aggregate("
-    elif step == "sections":
-        rows = spark.createDataFrame([("p", 1, 1, "main", "x")], "paper_id string, section_index int, level int, kind string, section_title string")
-        plan, fold = optimized(P.section_hierarchy(rows)), "aggregate("
-    else:
-        parts = readers.paragraphs(spark.createDataFrame([("p", "A b [1]. C (2000).")], "paper_id string, text string"))
-        plan, fold = optimized(readers.citations(parts)), "regexp_extract_all(" if step == "citations" else "aggregate("
-    assert fold in plan
-    assert not [line for line in plan.splitlines() if line.lstrip(" :+-").startswith("Filter") and fold in line]
+def test_shared_steps_are_written_once(spark):
+    """What several steps read is not made again by each: no plan holds the parse or the fold that it comes from."""
+    papers = spark.createDataFrame([("p", "# A\n\nB [1].\n\n## References\n\n[1] C. Title. 2000.")], "paper_id string, text string")
+    found = engine.extract(papers)
+    assert "aggregate(" not in optimized(found.references) and "aggregate(" not in optimized(found.citations) and found.citations.first().ref_key == "ref_1"
+    assert "from_json" not in optimized(layout.paragraphs(spark.createDataFrame([("p", "{}")], "paper_id string, layout string")))
+    rows = spark.createDataFrame([("p", 1, 1, "main", "x")], "paper_id string, section_index int, level int, kind string, section_title string")
+    cited = spark.createDataFrame([("p", 1, "r", 1)], "paper_id string, section_index int, ref_key string, paragraph_index int")
+    assert "aggregate(" not in optimized(P.section_rollup(cited, P.section_hierarchy(rows)))
 
 
 def test_abbreviations_and_citations_of_odd_sentences(spark):
