@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirelake.functions import text as T
-from quirelake.operators.graph import _cut, _once
+from quirelake.operators.graph import _cut, _once, exchanged
 
 BY = ["paper_id"]
 EXCLUDED = ("title", "abstract", "references")
@@ -183,7 +183,7 @@ def section_rollup(citations: DataFrame, hierarchy: DataFrame, by: list[str] = B
 def orphan_rate(refs: DataFrame, citations: DataFrame, by: list[str] = BY) -> DataFrame:
     """(by, total, uncited, rate): C3, references that no citation names."""
     cited = citations.where("ref_key is not null").select(*by, F.col("ref_key").alias("key")).distinct().withColumn("_c", F.lit(1))
-    return refs.join(cited, [*by, "key"], "left").groupBy(*by).agg(
+    return refs.join(exchanged(cited), [*by, "key"], "left").groupBy(*by).agg(
         F.count(F.lit(1)).alias("total"), F.count_if(F.col("_c").isNull()).alias("uncited"), F.avg(F.col("_c").isNull().cast("int")).alias("rate")
     )
 

@@ -102,7 +102,7 @@ def paper_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = engine.extract(graph._cut(markdown_papers(spark, sf_dir), "papers"))
     rates = paragraphs.orphan_rate(found.references, found.citations)
     years = found.references.groupBy("paper_id").agg((F.max(F.col("year").cast("int")) - F.min(F.col("year").cast("int"))).alias("span"))
-    return rates.join(years, "paper_id").select("paper_id", "total", "uncited", "rate", "span")
+    return rates.join(graph.exchanged(years), "paper_id").select("paper_id", "total", "uncited", "rate", "span")
 
 
 def table_judge(model: str, context: str, attempt: int) -> str:

@@ -30,3 +30,12 @@ def test_abbreviations_and_citations_of_odd_sentences(spark):
     assert [got[i][0] for i in range(len(rows))] == [False, True, True, True, False, False, False, None, False, False, False]
     assert [m for m, _, _ in got[8][1]] == ["[1]", "[3]", "[4]"] + ["(B, 2001; 2002b; C 1999)"] * 3 and [(a, y) for _, a, y in got[8][1][3:]] == [("B", "2001"), ("B", "2002b"), ("C", "1999")]
     assert [(a, y) for _, a, y in got[9][1]] == [("Kipf", "2017"), ("see", "2001")] and got[10][1] == [("[2]", None, None)] and got[7][1] is None and got[0][1] == []
+
+
+def test_tables_that_grow_with_the_papers_are_not_broadcast(spark):
+    """However small the files that they were written to are."""
+    papers = spark.createDataFrame([("p", "# A\n\nB [1]. C (2000).\n\n## References\n\n[1] C. Title. 2000.")], "paper_id string, text string")
+    found = engine.extract(papers)
+    rates = P.orphan_rate(found.references, found.citations)
+    assert [(r.total, r.uncited) for r in rates.collect()] == [(1, 0)]
+    assert "Broadcast" not in rates._jdf.queryExecution().executedPlan().toString()
